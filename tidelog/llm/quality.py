@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import documents, written
 
 #: Measures held against a fence, with the least distance of it from the upper quartile.
-SLACK = {"symbols_pm": 150, "upper_pm": 250, "repeat_pm": 150, "dup_lines_pm": 400, "word_len_pc": 500}
+SLACK = {"symbols_pm": 150, "upper_pm": 250, "repeat_pm": 350, "dup_lines_pm": 600, "word_len_pc": 500}
 #: A (language, source) or language with fewer documents takes the wider sketch.
 MIN_GROUP = 50
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidelog.llm import quality
+from tidelog.llm import pii, quality
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op9_pii": pii.op9_pii,
 }
 
 ORACLE_SQL = {
