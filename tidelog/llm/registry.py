@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidelog.llm import pii, quality
+from tidelog.llm import jaccard, pii, quality
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_pii": pii.op9_pii,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op8_ngram_jaccard_join": jaccard.ORACLE_SQL,
 }
