@@ -18,6 +18,7 @@ costs time and changes no result.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -34,7 +35,7 @@ from tidelog.llm.textarrays import chunks
 #: The pre-splitting pattern of byte-level BPE: a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 START = -1
-MOST_STATES, MOST_WORDS = 400_000, 400_000
+MOST_STATES, MOST_WORDS = 250_000, 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -186,6 +187,8 @@ def codec(path: str | None = None) -> Codec:
     """One codec a process and vocabulary."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
+        gc.freeze()  # the tables hold no cycles: passes over them would find nothing
+        gc.set_threshold(200_000, 50, 50)
     return _codecs[path]
 
 
