@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents
+from tidelog.llm.common import batch_rows, documents
 from tidelog.llm.textarrays import chunks
 
 #: The pre-splitting pattern of byte-level BPE: a fixed value.
@@ -227,5 +227,6 @@ def decoded(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def op7_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every whole text."""
+    batch_rows(spark, 512)
     out = decoded(encoded(documents(spark, sf_dir).select("doc_id", "text"), path=path, keep=["doc_id"]), path=path)
     return out.selectExpr("row.doc_id AS doc_id", "CAST(size(ids) AS BIGINT) AS n_tokens", "sha2(array_join(ids, ','), 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")

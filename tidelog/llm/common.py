@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of an Arrow batch from now on: few where rows hold texts, so that a batch stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, written
+from tidelog.llm.common import batch_rows, documents, written
 from tidelog.llm.graph import components
 from tidelog.llm.textarrays import chunks, encoded, groups, mix, shingle_sets
 
@@ -217,13 +217,17 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     several texts; rows without an id have a null component. Other columns are
     ignored, whatever their names; an empty table gives no rows.
     """
+    spark = df.sparkSession
+    batch_rows(spark, 512)
     source = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     prints = written(source.mapInArrow(_fingerprints(width, similarity, True), "id long, n long, s1 long, s2 long, keys array<long>"), "prints")
     whole = prints.where("n > 0 AND id IS NOT NULL")
     same = whole.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("keys").alias("keys"))
     same = written(same, "classes")
+    batch_rows(spark, 10_000)
     met = same.selectExpr("explode(keys) AS key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meetings, "u long, v long")
     family = written(components(met).selectExpr("v AS id", "c AS family"), "families")
+    batch_rows(spark, 512)
     wanted = family.select("id")
     if family.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
