@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidelog.llm import bpe, gif, jaccard, packing, pii, quality
+from tidelog.llm import bpe, gif, jaccard, langid, packing, pii, quality, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_gif_media": gif.op6_gif_media,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_pii": pii.op9_pii,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE_SQL = {
