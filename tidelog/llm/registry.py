@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidelog.llm import bpe, gif, jaccard, langid, packing, pii, quality, secrets
+from tidelog.llm import bpe, gif, jaccard, langid, licences, packing, pii, quality, secrets, shards
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_license_scan": licences.op3_license_scan,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_sharding": shards.op5_sharding,
     "op6_gif_media": gif.op6_gif_media,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
@@ -17,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op3_license_scan": licences.ORACLE_SQL,
+    "op5_sharding": shards.ORACLE_SQL,
     "op8_ngram_jaccard_join": jaccard.ORACLE_SQL,
 }
