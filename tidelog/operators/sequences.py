@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.shared import shared_dir
+
 
 def tombstones(removals: DataFrame, key: list[str], target: str, tombstone: str) -> DataFrame:
     """The greatest tombstone of each target."""
@@ -78,6 +80,7 @@ def depths(tree: DataFrame, object: str, op: str, parent: str, most: int = 64) -
 
     most bounds the rounds at 2**most levels, beyond any table.
     """
+    shared_dir(tree.sparkSession)  # checkpoints need one
     x = tree.select(object, op, F.col(parent).alias("_up"), F.lit(1).cast("long").alias("depth")).dropDuplicates([object, op])
     for _ in range(most):
         x = x.checkpoint()
