@@ -7,8 +7,9 @@ of one object's elements needs its rows together; that step runs per object.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +50,21 @@ def _walk(ops: list[int], parents: list[int]) -> list[int]:
     return out
 
 
-def tree_order(log: DataFrame, object: str = "object", op: str = "op", parent: str = "parent") -> DataFrame:
-    """(object, op, pos): pre-order place of each op of a causal tree; repeated ops count once, orphans wait outside."""
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ops, parents = ([x.values.to_numpy().tolist() for x in b.column(c)] for c in ("ops", "parents"))
+        yield pa.RecordBatch.from_arrays([b.column("object"), pa.array(map(_walk, ops, parents), pa.list_(pa.int64()))], ["object", "ops"])
+
 
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        ops = _walk(rows["op"].tolist(), rows["parent"].tolist())
-        return pd.DataFrame({"object": rows["object"].iloc[0], "op": ops, "pos": range(len(ops))})
+def tree_order(log: DataFrame, object: str = "object", op: str = "op", parent: str = "parent") -> DataFrame:
+    """(object, op, pos): pre-order place of each op of a causal tree; repeated ops count once, orphans wait outside.
 
-    x = log.select(F.col(object).alias("object"), F.col(op).alias("op"), F.col(parent).alias("parent")).dropDuplicates(["object", "op"])
-    return x.groupBy("object").applyInPandas(order, "object long, op long, pos long")
+    One row an object holds its ops and parents for the walk, so many small
+    objects share an Arrow batch.
+    """
+    x = log.select(F.col(object).cast("long").alias("object"), F.struct(F.col(op).cast("long").alias("op"), F.col(parent).cast("long").alias("parent")).alias("e"))
+    trees = x.groupBy("object").agg(F.collect_set("e").alias("e")).select("object", F.col("e.op").alias("ops"), F.col("e.parent").alias("parents"))
+    return trees.mapInArrow(_orders, "object long, ops array<long>").select("object", F.posexplode("ops").alias("pos", "op")).select("object", "op", F.col("pos").cast("long").alias("pos"))
 
 
 def tree_deleted(log: DataFrame, object: str, op: str, parent: str, empty) -> DataFrame:
