@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog import types
 from tidelog.functions import ids, times
-from tidelog.operators import reducers, sequences, stores, views
+from tidelog.operators import edits, reducers, sequences, stores, views
 from tidelog.sources import adapters, text
 from tidelog.streaming import live
 
@@ -106,6 +106,42 @@ def orset_any_alive(spark, sf_dir):
     return _alive(spark, sf_dir).groupBy("object").agg(F.min("item").alias("item"))
 
 
+@query(f"SELECT user_id AS object, CAST(1000000000 AS BIGINT) AS op, event_id AS ref FROM ({_ALIVE}) WHERE value > 100")
+def remove_values(spark, sf_dir):
+    """Tombstones for every observed alive value over 100."""
+    state = orset_reduce(spark, sf_dir)
+    return edits.removed(state, F.col("value") > 100, F.lit(1_000_000_000).cast("long"), ["object"])
+
+
+@query(f"""
+    SELECT user_id AS object, event_type AS field, CAST(1000000000 AS BIGINT) AS op, CAST(0 AS BIGINT) AS ref, max(value) AS value FROM ({_ALIVE}) WHERE event_type = 'view' GROUP BY ALL UNION ALL
+    SELECT user_id, event_type, CAST(1000000001 AS BIGINT), event_id, value FROM ({_ALIVE}) WHERE event_type = 'view'
+""")
+def assign_field(spark, sf_dir):
+    """Every object's view field is assigned its greatest value: one add, and tombstones for what was observed."""
+    state = orset_reduce(spark, sf_dir)
+    views_only = state.where("field = 'view'")
+    new = reducers.alive(views_only, "ref").groupBy("object", "field").agg(F.max("value").alias("value"))
+    return edits.assigned(views_only, new, F.lit(1_000_000_000).cast("long"), ["object", "field"])
+
+
+@query("SELECT o_orderkey AS object, u.field AS field, o_orderkey AS op, u.value AS value FROM orders, LATERAL (SELECT unnest(['status', 'priority']) AS field, unnest([o_orderstatus, o_orderpriority]) AS value) u")
+def new_structs(spark, sf_dir):
+    """Every order becomes a new object of two fields with one event."""
+    rows = adapters.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS object", "o_orderkey AS op", "o_orderstatus AS status", "o_orderpriority AS priority")
+    return edits.new_struct(rows, "object", ["status", "priority"], "op")
+
+
+@query("""
+    SELECT conv_id AS object, 100 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS op,
+           CASE WHEN turn = 0 THEN 0 ELSE 99 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) END AS ref, text FROM conversations
+""")
+def insert_run(spark, sf_dir):
+    """A conversation's texts inserted as one run at the start of a list."""
+    items = adapters.conversation_chain(spark, sf_dir).selectExpr("object", "op AS turn", "text", "CAST(0 AS BIGINT) AS at")
+    return edits.inserted(items, ["object"], "at", "turn", F.lit(100).cast("long")).select("object", "op", "ref", "text")
+
+
 def _field(name: str, how: str, sql: str):
     @query(f"SELECT user_id AS object, event_type AS field, {sql} AS value FROM ({_ALIVE}) GROUP BY ALL")
     def field(spark, sf_dir):
