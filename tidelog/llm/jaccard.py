@@ -235,7 +235,8 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     sets = sets.where("n > 0").dropDuplicates(["id", "s1", "s2"]).join(family, "id")
     sets = written(sets, "sets")
     cut = sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = sets.join(cut, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = written(cut.where("blocks > 1"), "cut")  # few families, so that the join seldom deals sets out by family
+    dealt = sets.join(cut, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     small = dealt.selectExpr("*", "id AS label", "explode(if(block = 0 AND blocks > 1, concat(array(named_struct('i', 0, 'j', 0, 'side', 2)), transform(sequence(1, blocks - 1), j -> named_struct('i', 0, 'j', j, 'side', 0))), if(block = 0, array(named_struct('i', 0, 'j', 0, 'side', 2)), array(named_struct('i', block, 'j', block, 'side', 2), named_struct('i', 0, 'j', block, 'side', 1))))) AS p")
     found = _compared(small.selectExpr("*", "p.i AS i", "p.j AS j", "p.side AS side"), similarity)
     if not cut.where("blocks > 2").isEmpty():
