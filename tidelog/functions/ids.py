@@ -10,6 +10,8 @@ from tidelog.types import MASK60
 #: The order-preserving alphabets: fixed values.
 BASE64 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz~"
 BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+#: The alphabet of base64(): a fixed value.
+_BUILT_IN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
 def _letters(v: Column, alphabet: str, bits: int, count: int, top: int) -> Column:
@@ -20,17 +22,18 @@ def _letters(v: Column, alphabet: str, bits: int, count: int, top: int) -> Colum
 
 def encode60(v: Column) -> Column:
     """Ten letters of a 60-bit value; their order is the values' order."""
-    return _letters(v, BASE64, 6, 10, 60)
+    raw = F.unhex(F.lpad(F.hex(F.shiftleft(v, 4)), 16, "0"))
+    return F.translate(F.substring(F.base64(raw), 1, 10), _BUILT_IN, BASE64)
 
 
 def encode60_short(v: Column) -> Column:
     """The letters without trailing zeros; 0 is "0"."""
-    return F.coalesce(F.nullif(F.regexp_replace(encode60(v), "0+$", ""), F.lit("")), F.lit("0"))
+    return F.regexp_replace(encode60(v), "(?<=.)0+$", "")
 
 
 def encode60_base32(v: Column) -> Column:
     """Twelve letters of five bits without trailing zeros: file names."""
-    return F.coalesce(F.nullif(F.regexp_replace(_letters(v, BASE32, 5, 12, 60), "0+$", ""), F.lit("")), F.lit("0"))
+    return F.regexp_replace(_letters(v, BASE32, 5, 12, 60), "(?<=.)0+$", "")
 
 
 def decode60(s: Column) -> Column:

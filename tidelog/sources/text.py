@@ -23,7 +23,7 @@ from tidelog.functions import ids
 ZERO = (0, 0, 0, 0, 0)
 _LETTER = {c: i for i, c in enumerate(ids.BASE64)}
 #: How many letters of the base each sign stands for, and the signs of versions: fixed values.
-_REUSED = {"(": 4, "[": 5, "{": 6, "}": 7, "]": 8, ")": 9}
+KEPT = {"(": 4, "[": 5, "{": 6, "}": 7, "]": 8, ")": 9}
 _VERSIONS = "$%+-"
 _ID = re.compile(r"(?P<tick>`?)(?:(?P<variety>[0-9A-F])/)?(?P<keep>[(\[{}\])]?)(?P<value>[0-9A-Za-z_~]*)(?P<version>[$%+-]?)(?P<keep2>[(\[{}\])]?)(?P<origin>[0-9A-Za-z_~]*)")
 _SPACE = re.compile(r"\s*")
@@ -43,7 +43,7 @@ def _word(letters: str) -> int:
 
 def _joined(keep: str, letters: str, base: int) -> int:
     """A field from the kept leading letters of its base and new letters after them."""
-    n = _REUSED.get(keep, 0)
+    n = KEPT.get(keep, 0)
     if not n and not letters:
         return base
     low = 60 - 6 * n
@@ -91,7 +91,9 @@ def _atoms(text: str, at: int, base: tuple) -> tuple[list[tuple], int]:
         elif m := _PLAIN_INTEGER.match(text, at):
             out.append(("integer", int(m[0]), None, None, None))
         elif c == ">" or c and (c.isalnum() or c in "_~`([{"):
-            base, at = read_id(text, _SPACE.match(text, at + (c == ">")).end(), base, base)
+            at = _SPACE.match(text, at + (c == ">")).end()
+            if c != ">" or _ID.match(text, at).end() > at:  # a bare sign repeats the id before
+                base, at = read_id(text, at, base, base)
             out.append(("uuid", None, None, None, base))
             continue
         else:
@@ -115,7 +117,9 @@ def frames(text: str) -> Iterator[list[dict]]:
         for k, sign in enumerate("*#@:"):
             at = _SPACE.match(text, at).end()
             if text[at : at + 1] == sign:
-                now[k], at = read_id(text, _SPACE.match(text, at + 1).end(), last[k], before)
+                at += 1
+                if _ID.match(text, at).end() > at:  # a bare sign repeats the key of the op before
+                    now[k], at = read_id(text, at, last[k], before)
                 seen.add(sign)
             before = now[k]
         payload, at = _atoms(text, at, now[1])
@@ -126,17 +130,17 @@ def frames(text: str) -> Iterator[list[dict]]:
             raise ValueError(f"frame breaks off at {at}")
         if term in ("!", "?") and term:
             header, chunk, index = (tuple(now), "value" if term == "!" else "query"), chunk + 1, 0
-            rows.append(_row(chunk, header[1], now, header[0], -1, payload))
+            rows.append(log_row(chunk, header[1], now, header[0], -1, payload))
         elif term == ";" or header is None or seen & {"*", "#"}:
             header, chunk = None, chunk + 1
-            rows.append(_row(chunk, "closed", now, None, 0, payload))
+            rows.append(log_row(chunk, "closed", now, None, 0, payload))
         elif seen or payload or term == ",":
-            rows.append(_row(chunk, header[1], now, header[0], index, payload))
+            rows.append(log_row(chunk, header[1], now, header[0], index, payload))
             index += 1
         last = now
 
 
-def _row(chunk: int, kind: str, now: list, header: tuple | None, index: int, payload: list) -> dict:
+def log_row(chunk: int, kind: str, now: list, header: tuple | None, index: int, payload: list) -> dict:
     u = lambda x: dict(zip(("variety", "value", "variant", "version", "origin"), x))
     of = header or (ZERO,) * 4
     atoms = [dict(zip(("tag", "i", "f", "s"), a[:4]), u=u(a[4]) if a[4] else None) for a in payload]
