@@ -56,14 +56,55 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("object"), pa.array(map(_walk, ops, parents), pa.list_(pa.int64()))], ["object", "ops"])
 
 
-def tree_order(log: DataFrame, object: str = "object", op: str = "op", parent: str = "parent") -> DataFrame:
-    """(object, op, pos): pre-order place of each op of a causal tree; repeated ops count once, orphans wait outside.
+def _ranked(nodes: DataFrame, most: int = 64) -> DataFrame:
+    """(object, op, pos) of trees of any size by list ranking: the tour of a tree, each step's distance to its end by pointer doubling.
+
+    A tour enters a node, goes to its greatest child or leaves it, and from
+    there to its next smaller sibling or leaves the parent. Every round is an
+    equi-join that halves what is left of the tours, so a tree with a third of
+    all rows is as spread as the others. Orphans' tours do not end at the root.
+    """
+    shared_dir(nodes.sparkSession)  # checkpoints need one
+    older = F.expr("lead(op) OVER (PARTITION BY object, parent ORDER BY op DESC)")
+    x = nodes.withColumn("sibling", older)
+    child = nodes.groupBy("object", F.col("parent").alias("op")).agg(F.max("op").alias("child"))
+    step = lambda op, leaves: F.struct(op.alias("op"), leaves.alias("leaves"))
+    no, yes = F.lit(False), F.lit(True)
+    enters = x.join(child, ["object", "op"], "left").select("object", step(F.col("op"), no).alias("at"), F.when(F.col("child").isNull(), step(F.col("op"), yes)).otherwise(step(F.col("child"), no)).alias("to"), F.lit(1).cast("long").alias("n"))
+    leaves = x.select("object", step(F.col("op"), yes).alias("at"), F.when(F.col("sibling").isNull(), step(F.col("parent"), yes)).otherwise(step(F.col("sibling"), no)).alias("to"), F.lit(0).cast("long").alias("n"))
+    x = enters.unionByName(leaves).withColumn("open", yes)
+    for _ in range(most):
+        x = x.checkpoint()
+        if x.where("open").isEmpty():
+            break
+        ahead = x.select("object", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("open").alias("_open"))
+        moved = x.where("open").join(ahead, ["object", "to"], "left")
+        moved = moved.select("object", "at", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_open", no).alias("open"))
+        x = x.where("NOT open").unionByName(moved)
+    else:
+        raise ValueError("a tree has a cycle")
+    ends = x.where("NOT at.leaves AND to.op = 0 AND to.leaves")
+    total = ends.groupBy("object").agg(F.max("n").alias("total"))
+    return ends.join(total, "object").select("object", F.col("at.op").alias("op"), (F.col("total") - F.col("n")).alias("pos"))
+
+
+def tree_order(log: DataFrame, object: str = "object", op: str = "op", parent: str = "parent", local: int = 100_000) -> DataFrame:
+    """(object, op, pos): pre-order place of each op of a causal tree; repeated ops count once (under the greatest parent), orphans wait outside.
 
     One row an object holds its ops and parents for the walk, so many small
-    objects share an Arrow batch.
+    objects share an Arrow batch. Objects of more than local ops are ranked by
+    joins instead, with the same result.
     """
-    x = log.select(F.col(object).cast("long").alias("object"), F.struct(F.col(op).cast("long").alias("op"), F.col(parent).cast("long").alias("parent")).alias("e"))
-    trees = x.groupBy("object").agg(F.collect_set("e").alias("e")).select("object", F.col("e.op").alias("ops"), F.col("e.parent").alias("parents"))
+    x = log.select(F.col(object).cast("long").alias("object"), F.col(op).cast("long").alias("op"), F.col(parent).cast("long").alias("parent"))
+    x = x.where("object IS NOT NULL AND op IS NOT NULL AND parent IS NOT NULL").groupBy("object", "op").agg(F.max("parent").alias("parent"))
+    big = x.groupBy("object").count().where(F.col("count") > local).select("object").persist()
+    if big.isEmpty():
+        return _walked(x)
+    return _walked(x.join(big, "object", "left_anti")).unionByName(_ranked(x.join(big, "object", "left_semi")))
+
+
+def _walked(nodes: DataFrame) -> DataFrame:
+    trees = nodes.groupBy("object").agg(F.collect_list(F.struct("op", "parent")).alias("e")).select("object", F.col("e.op").alias("ops"), F.col("e.parent").alias("parents"))
     return trees.mapInArrow(_orders, "object long, ops array<long>").select("object", F.posexplode("ops").alias("pos", "op")).select("object", "op", F.col("pos").cast("long").alias("pos"))
 
 
