@@ -2,7 +2,10 @@
 
 import random
 
-from tidelog.operators import sequences
+from pyspark.sql import functions as F
+
+from tidelog.operators import lists, sequences
+from tidelog.sources import text
 
 
 def tree(seed, n):
@@ -19,3 +22,67 @@ def test_ranking_is_the_walk(spark):
     assert walked == ranked
     assert [x for x in walked if x[0] == 9] == [(9, 7, 0)]
     assert sorted(p for o, _, p in walked if o == 5) == list(range(399))
+
+
+#: Log, list in order as op:tombstone, patches that wait as ref>ops, removals that wait.
+CASES = {
+    "an op on an empty state": ("*rga#x! *rga#x@time'A';", "time", "", ""),
+    "two ops": ("*rga#x@2:1'B'; *rga#x@3:2'C';", "", "1>2 3", ""),
+    "state and patch": ("*rga#x@1:0!@'A' *rga#x@2:1!:0'B'", "1 2", "", ""),
+    "diverged states": ("*rga#x@2:0!@1'A'@2'B' *rga#x@3:0!@1'A'@3'C'", "1 3 2", "", ""),
+    "newer removal in a state": ("*rga#x@2:0!@1'A'@2'B' *rga#x@4:0!@1:4'A'@3:0'C'", "1:4 3 2", "", ""),
+    "patch and removal": ("*rga#x@3:1!@2:0'B'@3'C' *rga#x@4:2;", "", "1>2:4 3", ""),
+    "removal patch": ("*rga#x@2:0!@1'A'@2'B' *rga#x@4:3-!@3:1,@4:2,", "1:3 2:4", "", ""),
+    "convoluted": ("*rga#x@5:0!@1:4a'A'@5:0'E'@3:0'C'@2:5'B' *rga#x@7:0!@1:4a'A'@6:0'F'@3:7'C'@4:0'D'@2:5'B'", "1:4a 6 5 3:7 4 2:5", "", ""),
+    "eclipsed removal": ("*rga#x@4:0!@1'A'@2:4'B' *rga#x@3:2;", "1 2:4", "", ""),
+    "removal without target": ("*rga#x@2:0!@1'A'@2'B' *rga#x@4:3;", "1 2", "", "3:4"),
+    "the target arrives": ("*rga#x@4:0!@1'A'@2'B' *rga#x@4:4-!:3, *rga#x@3:2'C';", "1 2 3:4", "", ""),
+    "patch without parent": ("*rga#x@2:0!@1'A'@2'B' *rga#x@5:3!@4:0'D'@5'E' *rga#x@6:6-!:3,", "1 2", "3>4 5", "3:6"),
+    "all arrive": ("*rga#x@6:0!@1'A'@2'B' *#@6:3!@4:0'D'@5'E' *#@6:6-!:3, *rga#x@3:2!@'C'", "1 2 3:6 4 5", "", ""),
+}
+
+
+def test_fixed_point(spark):
+    names = list(CASES)
+    log = text.parsed_log(spark.createDataFrame([("\n.\n".join(CASES[c][0].replace("#x", f"#c{i:02d}") for i, c in enumerate(names)),)], "text string"))
+    assert log.where("error IS NOT NULL").isEmpty()
+    rows, waiting = lists.reduced(*lists.from_log(log))
+    short = lambda s: s[1:11].rstrip("0") or "0"
+    got = {i: [{}, []] for i in range(len(names))}
+    for r in sorted(rows.collect(), key=lambda r: r["pos"]):
+        said = short(r["op"]) + (f":{short(r['gone'])}" if r["gone"] != lists.ZERO else "")
+        got[int(r["object"][2:4])][0].setdefault(short(r["ref"]), []).append(said)
+    for r in waiting.collect():
+        got[int(r["object"][2:4])][1].append(f"{short(r['target'])}:{short(r['tombstone'])}")
+    for i, name in enumerate(names):
+        states = " ".join(got[i][0].pop("0", []))
+        patches = " ".join(f"{k}>{' '.join(v)}" for k, v in got[i][0].items())
+        assert (states, patches, " ".join(got[i][1])) == CASES[name][1:], name
+
+
+def test_edits_give_the_wanted_list(spark):
+    r = random.Random(4)
+    old = {o: [r.choice("abcd") for _ in range(r.randrange(12))] for o in range(30)}
+    new = {o: [r.choice("abcd") for _ in range(r.randrange(12))] if o % 3 else v for o, v in old.items()}
+    cells = lambda d: [(o, i, 10 * i + 10, c) for o, v in d.items() for i, c in enumerate(v)]
+    schema = "object long, pos int, op long, value string"
+    current, wanted = spark.createDataFrame(cells(old), schema), spark.createDataFrame(cells(new), schema).drop("op")
+    ops = lists.edited(current, wanted, F.lit(1000).cast("long"))
+    assert {x["object"] for x in ops.select("object").distinct().collect()} <= {o for o in old if old[o] != new[o]}
+    zero = F.lit(0).cast("long")
+    states = current.select("object", zero.alias("chunk"), zero.alias("ref"), F.col("pos").cast("long").alias("pos"), "op", zero.alias("gone"), "value")
+    inserts = ops.where("value IS NOT NULL").select("object", F.col("op").alias("chunk"), "ref", zero.alias("pos"), "op", zero.alias("gone"), "value")
+    removals = ops.where("value IS NULL").selectExpr("object", "ref AS target", "op AS tombstone")
+    rows, waiting = lists.reduced(states.unionByName(inserts).withColumnRenamed("value", "payload"), removals, 0)
+    assert waiting.isEmpty()
+    got = {o: [] for o in old}
+    for x in sorted(rows.where("gone = 0").collect(), key=lambda x: x["pos"]):
+        assert x["ref"] == 0
+        got[x["object"]].append(x["payload"])
+    assert got == new
+
+
+def test_no_lists(spark):
+    log = text.parsed_log(spark.createDataFrame([("*lww#x@1:a 5;",)], "text string"))
+    rows, waiting = lists.reduced(*lists.from_log(log))
+    assert rows.isEmpty() and waiting.isEmpty()
