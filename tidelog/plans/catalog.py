@@ -5,6 +5,7 @@ Every query reads its whole tables and returns plain columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidelog import types
 from tidelog.functions import ids, times
-from tidelog.operators import edits, reducers, sequences, stores, views
-from tidelog.sources import adapters, text
+from tidelog.operators import documents, edits, lists, reducers, schema, sequences, stores, views
+from tidelog.shared import shared_dir
+from tidelog.sources import adapters, binary, frames, text
 from tidelog.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,3 +410,73 @@ def text_round_trip(spark, sf_dir):
     frames = text.serialized(log.selectExpr("object", "op", "field", "value"))
     frames = frames.repartition(spark.sparkContext.defaultParallelism)  # reading is Python work: as many tasks as cores, however few bytes
     return text.parsed(frames).selectExpr("object", "op", "field", "value")
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """(object, op, field, value) of parsed log rows."""
+    return rows.where("op_index >= 0").select(F.col("object_id.value").alias("object"), F.col("op_id.value").alias("op"), ids.encode60_short(F.col("ref_id.value")).alias("field"), F.col("payload")[0]["f"].alias("value"))
+
+
+@query(ORACLE_SQL["text_round_trip"])
+def delta_round_trip(spark, sf_dir):
+    """The log as delta-coded text frames, parsed again."""
+    made = frames.delta_coded(adapters.events_log(spark, sf_dir), ["frame_no"])
+    return _told(text.parsed_log(made.repartition(spark.sparkContext.defaultParallelism)))
+
+
+@query(ORACLE_SQL["text_round_trip"])
+def binary_round_trip(spark, sf_dir):
+    """The log as binary frames, parsed again."""
+    made = binary.serialized(adapters.events_log(spark, sf_dir), ["frame_no"])
+    return _told(binary.parsed_log(made.repartition(spark.sparkContext.defaultParallelism)))
+
+
+@query("SELECT doc_id AS object, replace(text, 'an', 'AN') AS text FROM documents")
+def rga_edit(spark, sf_dir):
+    """Every document, a list of its lines, is edited by differences into another text; the ops are applied and read back."""
+    docs = adapters.table(spark, sf_dir, "documents")
+    lines = lambda t: docs.selectExpr("doc_id AS object", f"posexplode(split({t}, '\n')) AS (pos, value)")
+    current = lines("text").withColumn("op", F.col("pos").cast("long") + 1)
+    ops = lists.edited(current, lines("replace(text, 'an', 'AN')"), F.lit(1_000_000_000).cast("long"))
+    zero = F.lit(0).cast("long")
+    states = current.select("object", zero.alias("chunk"), zero.alias("ref"), F.col("pos").cast("long").alias("pos"), "op", zero.alias("gone"), F.col("value").alias("payload"))
+    runs = ops.where("value IS NOT NULL").select("object", F.col("op").alias("chunk"), "ref", zero.alias("pos"), "op", zero.alias("gone"), F.col("value").alias("payload"))
+    rows, _ = lists.reduced(states.unionByName(runs), ops.where("value IS NULL").selectExpr("object", "ref AS target", "op AS tombstone"), 0)
+    return sequences.text_of(rows.where("gone = 0"), ["object"], "pos", "payload", "\n")
+
+
+@query("SELECT user_id AS object, event_id AS op, event_type AS field, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS pos FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+def rga_states(spark, sf_dir):
+    """Two replicas' lists, each newest first, merged to a fix-point."""
+    zero = F.lit(0).cast("long")
+    log = adapters.events_lww(spark, sf_dir)
+    made = [log.where(f"op % {n} = 0").select("object", F.lit(n).cast("long").alias("chunk"), zero.alias("ref"), (-F.col("op")).alias("pos"), "op", zero.alias("gone"), F.col("field").alias("payload")) for n in (2, 3)]
+    rows, _ = lists.reduced(made[0].unionByName(made[1]), log.where("false").selectExpr("object", "op AS target", "op AS tombstone"), 0)
+    return rows.select("object", "op", F.col("payload").alias("field"), F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT user_id AS document, event_type AS field, max(event_id) AS op, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def document_compaction(spark, sf_dir):
+    """Every user's log is a document that three replicas save versions of; the versions are compacted and read."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    reduce = lambda x: reducers.lww(x, ["document", "field"], "op", ["value"])
+    log = adapters.events_lww(spark, sf_dir).selectExpr("object AS document", "op % 3 AS version", "field", "op", "value")
+    documents.save(log, path)
+    documents.compact(spark, path, reduce)
+    return documents.loaded(spark, path, reduce)
+
+
+_EVENTS = schema.Struct(
+    "Visit", "set", (schema.Field("click", "Float", "max"), schema.Field("error", "Float", "min"), schema.Field("purchase", "Float"), schema.Field("signup", "String"), schema.Field("view", "Float", "set")), prefix="user", title=True
+)
+
+
+@query("""
+    SELECT user_id AS object, max(value) FILTER (event_type = 'click') AS "userClick", min(value) FILTER (event_type = 'error') AS "userError", arg_max(value, event_id) FILTER (event_type = 'purchase') AS "userPurchase",
+           count(*) FILTER (event_type = 'view') AS "userView" FROM events GROUP BY user_id
+""")
+def schema_view(spark, sf_dir):
+    """Every user's events as a typed object, a merge strategy a field."""
+    log = adapters.events_lww(spark, sf_dir).withColumn("value", F.col("value").cast("string"))
+    x = schema.view(log, _EVENTS)
+    return x.withColumn("userView", F.size("userView").cast("long")).drop("userSignup")

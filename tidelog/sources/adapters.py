@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog import types
+from tidelog.functions import ids
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,3 +36,17 @@ def events_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turn n of a conversation refers to turn n - 1."""
     return table(spark, sf_dir, "conversations").selectExpr("conv_id AS object", "turn + 1 AS op", "turn AS parent", "role", "text")
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of types.OPLOG: a frame a user, a chunk a field, and its ops by event id; the replica is the user."""
+    name = types.uuid(0, ids.decode60(F.col("field")))
+    user, zero = types.uuid(0, F.col("object"), 0, 2, 0), types.uuid()
+    head = [types.uuid(0, ids.decode60(F.lit("lww"))).alias("type_id"), user.alias("object_id"), zero.alias("header_op_id"), zero.alias("header_ref_id")]
+    x = events_lww(spark, sf_dir).withColumn("chunk_no", F.expr("CAST(ascii(field) * 256 + ascii(substring(field, 2)) AS INT)"))
+    x = x.withColumn("op_index", F.expr("CAST(row_number() OVER (PARTITION BY object, field ORDER BY op) - 1 AS INT)"))
+    frame = [F.col("object").alias("frame_no"), "chunk_no", F.lit("value").alias("chunk_kind"), *head]
+    atom = F.struct(F.lit("float").alias("tag"), F.lit(None).cast("long").alias("i"), F.col("value").alias("f"), F.lit(None).cast("string").alias("s"), F.lit(None).cast(types.UUID).alias("u"))
+    body = x.select(*frame, "op_index", types.uuid(0, F.col("op"), 0, 2, F.col("object")).alias("op_id"), name.alias("ref_id"), F.array(atom).alias("payload"))
+    heads = x.select("object", "chunk_no").distinct().select(*frame, F.lit(-1).alias("op_index"), zero.alias("op_id"), zero.alias("ref_id"), F.array().cast(types.PAYLOAD).alias("payload"))
+    return heads.unionByName(body)
