@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, StringType, _parse_datatype_string
 from tidelog import types
 from tidelog.functions import ids
 from tidelog.sources.frames import KEYS, cut
-from tidelog.sources.text import log_row
+from tidelog.sources.text import batched, log_row
 
 #: Fixed values of the format: the first bytes, and the types of blocks.
 MAGIC = b"RON2"
@@ -170,15 +170,13 @@ def parsed_log(frames: DataFrame, data: str = "data") -> DataFrame:
     schema = _parse_datatype_string(f"{types.OPLOG}, error string")
     arrow = to_arrow_schema(schema)
 
+    def told(raw: bytes) -> list[dict]:
+        try:
+            return [r | {"frame_no": 0, "error": None} for r in frame(raw)]
+        except (ValueError, IndexError, struct.error) as e:
+            return [dict.fromkeys(arrow.names) | {"frame_no": 0, "error": str(e)}]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                if raw is None:
-                    continue
-                try:
-                    rows = [r | {"frame_no": 0, "error": None} for r in frame(bytes(raw))]
-                except (ValueError, IndexError, struct.error) as e:
-                    rows = [dict.fromkeys(arrow.names) | {"frame_no": 0, "error": str(e)}]
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+        return batched((r for b in batches for raw in b.column(0).to_pylist() if raw is not None for r in told(raw)), arrow)
 
     return frames.select(F.col(data).cast("binary")).mapInArrow(run, schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -147,6 +148,12 @@ def log_row(chunk: int, kind: str, now: list, header: tuple | None, index: int,
     return {"chunk_no": chunk, "chunk_kind": kind, "type_id": u(now[0]), "object_id": u(now[1]), "header_op_id": u(of[2]), "header_ref_id": u(of[3]), "op_index": index, "op_id": u(now[2]), "ref_id": u(now[3]), "payload": atoms}
 
 
+def batched(rows: Iterator[dict], arrow: pa.Schema, n: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches of n, however they are spread over frames."""
+    while some := list(islice(rows, n)):
+        yield pa.RecordBatch.from_pylist(some, arrow)
+
+
 def parsed_log(texts: DataFrame, text: str = "text") -> DataFrame:
     """Log rows of each text's frames, with error where a text breaks: then the rows before it stay.
 
@@ -155,17 +162,17 @@ def parsed_log(texts: DataFrame, text: str = "text") -> DataFrame:
     schema: StructType = _parse_datatype_string(f"{types.OPLOG}, error string")
     arrow = to_arrow_schema(schema)
 
+    def told(t: str) -> Iterator[dict]:
+        number = 0
+        try:
+            for number, frame in enumerate(frames(t)):
+                for r in frame:
+                    yield r | {"frame_no": number, "error": None}
+        except (ValueError, KeyError) as e:
+            yield dict.fromkeys(arrow.names) | {"frame_no": number, "error": str(e)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                rows, number = [], 0
-                try:
-                    for number, frame in enumerate(frames(t or "")):
-                        rows += [r | {"frame_no": number, "error": None} for r in frame]
-                except (ValueError, KeyError) as e:
-                    rows.append(dict.fromkeys(arrow.names) | {"frame_no": number, "error": str(e)})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
+        return batched((r for b in batches for t in b.column(0).to_pylist() if t for r in told(t)), arrow)
 
     return texts.select(F.col(text).cast("string")).mapInArrow(run, schema)
 
