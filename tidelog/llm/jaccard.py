@@ -4,7 +4,8 @@ Shingles are hashed into token groups. Two sets of n and m shingles with
 similarity s or more differ in (n + m)(1 - s) / (1 + s) shingles at most, so
 with one group more than that some group is the same in both: documents meet
 by equi-join on the content of a group, once for each size class and the
-next. Documents that meet form families. In a family, points of group counts
+next. At lower similarities such groups would be small, so groups are half as
+many, and documents meet by two of the three parts of a group. Documents that meet form families. In a family, points of group counts
 are packed into R-tree leaves; the summed coordinate minima of two leaves or
 two points bound the overlap, and surviving pairs are verified on their sets.
 
@@ -35,6 +36,8 @@ COUNTS = 32
 LEAF = 32
 #: Sets and shingles of a block at most (a single set may be larger).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 250_000
+#: Similarity from which single token groups hold shingles enough (9 at 0.9) to be met by; below, parts of groups are combined.
+SINGLE_GROUPS = Fraction(17, 20)
 #: Family members up to which their ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -94,11 +97,57 @@ def _meeting_keys(offsets: np.ndarray, values: np.ndarray, similarity: Fraction)
     return doc[order], key[order]
 
 
+def _pair_keys(offsets: np.ndarray, values: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) for each two of the three parts of each token group, in the set's own size class and the next.
+
+    For similarities whose single groups would be too small. Of need groups,
+    more than half the differences allowed, some group has one difference at
+    most, and so two equal parts. Parts that are both empty say nothing, but
+    a group with two filled parts or three has no such two: a set with need
+    such groups shares filled parts with every partner. Where partners share
+    none, each has such parts only in groups with two differences, fewer than
+    need, so both get the groups of a further hash as well; the eighth has
+    just need groups and keeps what is empty.
+    """
+    n = np.diff(offsets)
+    last, parts = size_classes(similarity, int(n.max(initial=1)))
+    own = np.searchsorted(last, n)
+    docs, keys = [], []
+    for up in (0, 1):
+        level = own + up
+        todo = np.flatnonzero((n > 0) & (parts[level] > 1))
+        for seed in range(8):
+            if not len(todo):
+                break
+            size, need = n[todo], (parts[level[todo]] - 1) // 2 + 1
+            doc = np.repeat(np.arange(len(todo)), size)
+            at = np.repeat(offsets[todo] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            v, g = values[at], need + (need // 8 + 1 if seed < 7 else 0)
+            off = np.cumsum(g) - g
+            slot = 3 * off[doc] + (mix(v, 11 + seed) % (3 * g[doc]).astype(_U)).astype(np.int64)
+            content = np.zeros(3 * g.sum(), _U)
+            np.add.at(content, slot, mix(v, 3))
+            filled = (np.bincount(slot, minlength=len(content)) > 0).reshape(-1, 3)
+            of = np.repeat(np.arange(len(todo)), g)
+            name = (np.repeat(level[todo], g) * 8 + seed).astype(_U) * _U(1 << 40) + (3 * (np.arange(g.sum()) - off[of])).astype(_U)
+            for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+                keep = filled[:, i] | filled[:, j] | (seed == 7)
+                pair = mix(content[i::3][keep], 6) + content[j::3][keep]
+                docs.append(todo[of[keep]])
+                keys.append(mix(pair + mix(name[keep] + _U(k), 5)))
+            todo = todo[np.bincount(of[filled.sum(1) > 1], minlength=len(todo)) < need]
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    doc, key = np.concatenate(docs), np.concatenate(keys)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], key[order]
+
+
 def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _fingerprints(width: int, similarity: Fraction, with_keys: bool):
+def _fingerprints(width: int, similarity: Fraction, with_keys: bool, with_sets: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             offsets, values = shingle_sets(encoded(b.column("text")), width)
@@ -111,6 +160,8 @@ def _fingerprints(width: int, similarity: Fraction, with_keys: bool):
                 ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(n)))))
                 out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(key)))
                 names = ["id", "n", "s1", "s2", "keys"]
+            elif not with_sets:
+                names = ["id", "n", "s1", "s2"]
             else:
                 out.append(pa.array([values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary()))
                 names = ["id", "n", "s1", "s2", "shingles"]
@@ -119,6 +170,55 @@ def _fingerprints(width: int, similarity: Fraction, with_keys: bool):
     return run
 
 
+def _packed_keys(width: int, similarity: Fraction, names: list[int]):
+    """(bucket, ids, counts, keys): the pair keys of many documents by bucket, each as the six bytes that the bucket leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            offsets, values = shingle_sets(encoded(b.column("text")), width)
+            doc, key = _pair_keys(offsets, values, similarity)
+            bucket = (key % _U(len(names))).astype(np.int64)
+            order = np.lexsort((doc, bucket))
+            doc, key, bucket = doc[order], (key[order] // _U(len(names))).astype("<u8"), bucket[order]
+            ids = b.column("id").to_numpy()
+            new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])))[: len(doc)])
+            count = np.diff(np.concatenate((new, [len(doc)])))
+            short = key.view(np.uint8).reshape(-1, 8)[:, :6]
+            used = np.unique(bucket)
+            runs, at = np.searchsorted(bucket[new], [used, used + 1]), np.searchsorted(bucket, [used, used + 1])
+            cols = [
+                pa.array([names[k] for k in used.tolist()], pa.int64()),
+                pa.array([ids[doc[new[i:j]]].tobytes() for i, j in runs.T], pa.binary()),
+                pa.array([count[i:j].astype(np.uint32).tobytes() for i, j in runs.T], pa.binary()),
+                pa.array([short[i:j].tobytes() for i, j in at.T], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "ids", "counts", "keys"])
+
+    return run
+
+
+def _unpacked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) of packed keys; keys of several buckets that share bytes only meet without need."""
+    for b in batches:
+        for ids, counts, keys in zip(*(b.column(c).to_pylist() for c in ("ids", "counts", "keys"))):
+            key = np.zeros((len(keys) // 6, 8), np.uint8)
+            key[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view("<i8")[:, 0]), pa.array(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)))], ["key", "id"])
+
+
+def _met_by_pairs(source: DataFrame, prints: DataFrame, same: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """(key, id) in partitions by key, without documents that are copies of others throughout."""
+    spark = source.sparkSession
+    copies = written(prints.where("n > 0 AND id IS NOT NULL").select("id").distinct().join(same.select("id").distinct(), "id", "left_anti"), "copies")
+    few = copies.count() <= BROADCAST_IDS
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = spark.range(64 * parts).selectExpr("id", f"pmod(hash(id), {parts}) AS p").groupBy("p").agg(F.min("id").alias("id"))
+    names = [r["id"] for r in at.collect()]  # a bucket for each partition
+    once = source.where("id IS NOT NULL").join(F.broadcast(copies) if few else copies, "id", "left_anti").select("id", "text")
+    dealt = once.mapInArrow(_packed_keys(width, similarity, names), "bucket long, ids binary, counts binary, keys binary").repartition(parts, "bucket")
+    return dealt.mapInArrow(_unpacked_keys, "key long, id long")
+
+
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, id): an edge from the first of each key to each other."""
     key, head = None, None
@@ -220,12 +320,18 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     spark = df.sparkSession
     batch_rows(spark, 512)
     source = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    prints = written(source.mapInArrow(_fingerprints(width, similarity, True), "id long, n long, s1 long, s2 long, keys array<long>"), "prints")
+    single = similarity >= SINGLE_GROUPS
+    prints = source.mapInArrow(_fingerprints(width, similarity, single, False), "id long, n long, s1 long, s2 long" + ", keys array<long>" * single)
+    prints = written(prints, "prints")
     whole = prints.where("n > 0 AND id IS NOT NULL")
-    same = whole.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("keys").alias("keys"))
+    same = whole.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.max("id").alias("last"), *[F.first("keys").alias("keys")] * single)
     same = written(same, "classes")
-    batch_rows(spark, 10_000)
-    met = same.selectExpr("explode(keys) AS key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meetings, "u long, v long")
+    if single:
+        batch_rows(spark, 10_000)
+        keys = same.selectExpr("explode(keys) AS key", "id").repartition("key")
+    else:
+        keys = _met_by_pairs(source, prints, same, width, similarity)
+    met = keys.sortWithinPartitions("key", "id").mapInArrow(_meetings, "u long, v long")
     family = written(components(met).selectExpr("v AS id", "c AS family"), "families")
     batch_rows(spark, 512)
     wanted = family.select("id")
