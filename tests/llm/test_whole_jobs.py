@@ -7,7 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tidelog.llm import jaccard
+from tidelog.llm import jaccard, secrets
 
 # near-duplicates by five words and 0.8
 
@@ -86,3 +86,41 @@ def test_pairs_at_the_rule_share_a_key_and_others_few(n):
         keys = [set(key[doc == k].tolist()) for k in range(3)]
         assert gone + more == 0 or keys[0] & keys[1]
         assert not keys[0] & keys[2] or n < 12
+
+
+# assigned secrets
+
+KEY = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+ASSIGNED = [
+    (f"word export API_KEY={KEY} more", KEY),
+    ("word password=Sup3rS3cretXy9kQ27bZ more", "Sup3rS3cretXy9kQ27bZ"),
+    (f"word AWS_SECRET_ACCESS_KEY={KEY} more", KEY),
+    (f'word AWS_SECRET_ACCESS_KEY = "{KEY}" more', KEY),
+    (f"see x.org/login?token={KEY}&user=bob more", KEY),
+    (f"word MY_APP_TOKEN={KEY}", KEY),
+]
+
+
+@pytest.mark.parametrize("text,value", ASSIGNED)
+def test_assigned_values_are_candidates_with_their_evidence(text, value):
+    spans = [(s, e) for s, e in secrets.candidate_spans(text) if value in text[s:e]]
+    assert [text[s:e] for s, e in spans] == [value]
+    s, e = spans[0]
+    told = dict(zip(secrets.FEATURES, secrets.features(value, text[max(0, s - 60) : s], text[e : e + 30], "src", frozenset())))
+    assert (told["assigned"], told["cue"]) == (1, 1)
+
+
+def test_assigned_values_are_masked_without_their_names(spark):
+    rows = [(i, t, "src") for i, (t, _) in enumerate(ASSIGNED)]
+    got = secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: t.replace(v, "[secret]") for i, (t, v) in enumerate(ASSIGNED)}
+
+
+def test_what_values_leave_of_runs_is_judged():
+    text = f"{'ab0/' * 6}password={KEY} {KEY[::-1]}"
+    assert [text[s:e] for s, e in secrets.candidate_spans(text)] == ["ab0/" * 6, KEY, KEY[::-1]]
+
+
+def test_labelled_findings_are_candidates():
+    for v, b, a, _, _ in secrets.labelled_findings(300, seed=3):
+        assert (len(b), len(b) + len(v)) in secrets.candidate_spans(b + v + a) or len(b) == 60

@@ -18,6 +18,7 @@ import random
 import re
 import string
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -39,22 +40,31 @@ CUES = "token secret key apikey api_key password passwd pwd auth bearer credenti
 HARMLESS = "example sample test dummy placeholder sha sha1 sha256 md5 checksum hash commit revision digest uuid id version file image".split()
 PLAIN_PATHS = "test tests example examples doc docs sample fixture mock".split()
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=\-.]{16,}")
-_ASSIGNED = re.compile(r"(?i)(?:token|secret|api_?key|passw(?:or)?d|pwd|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,})")
+#: A run ends where '=' assigns; '=' at its end is padding.
+_RUN = re.compile(r"[A-Za-z0-9+/_\-.]{16,}={0,2}(?![A-Za-z0-9+/_\-.])|={16,}|[A-Za-z0-9+/_\-.]{16,}")
+#: The value ends before the next field of a query string.
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|(?:api|access|private|secret|auth)[_-]?key|passw(?:or)?d|pwd|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?((?:(?!&[\w.\-]+=)[^\s\"']){6,})")
+_NAME = re.compile(r"[A-Za-z0-9_\-.]*$")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|_+")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _PART = re.compile(r"[a-z]{3,}")
 FEATURES = ("length", "changes", "digits", "upper", "symbols", "hex", "entropy", "distinct", "covered", "slashes", "dots", "dashes", "quoted", "assigned", "cue", "harmless", "plain_path")
 
 
 def candidate_spans(text: str) -> list[tuple[int, int]]:
-    """Spans to judge, in order and apart: token runs that are no plain word, and assigned values."""
-    spans = [m.span() for m in _RUN.finditer(text) if not m.group().strip(".-_/").isalpha()]
-    spans += [m.span(1) for m in _ASSIGNED.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(set(spans), key=lambda x: (x[0], -x[1])):
-        if not out or s >= out[-1][1]:
-            out.append((s, e))
-    return out
+    """Spans to judge, in order and apart: assigned values, and what these and their names leave of token runs that are no plain word."""
+    found = list(_ASSIGNED.finditer(text))
+    taken = [(_NAME.search(text, max(0, m.start() - 100), m.start()).start(), m.end(1)) for m in found]
+    out, k = [m.span(1) for m in found], 0
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        for a, b in [*takewhile(lambda t: t[0] < e, taken[k:]), (e, e)] if k < len(taken) else [(e, e)]:
+            if a - s >= 16 and not text[s:a].strip(".-_/").isalpha():
+                out.append((s, a))
+            s = max(s, b)
+    return sorted(out)
 
 
 def covered(value: str, words: frozenset[str]) -> float:
@@ -73,7 +83,8 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
     n = max(1, len(value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
     counts = [value.count(c) for c in set(value)]
-    near = [w.lower() for w in _WORD.findall(before)[-4:] + _WORD.findall(after)[:2]]
+    names = _WORD.findall(before)[-4:] + _WORD.findall(after)[:2]
+    near = [p.lower() for w in names for p in (w, *_HUMP.split(w))]
     return [
         float(min(n, 200)), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("s") / n,
         sum(c in string.hexdigits for c in value) / n, -sum(k / n * math.log2(k / n) for k in counts), len(counts) / n, covered(value, words),
@@ -83,21 +94,27 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
-    """(value, before, after, path, label): made findings of usual shapes, real ones and false ones by turns."""
+    """(value, before, after, path, label): made findings of usual shapes, real ones and false ones by turns.
+
+    Each is a candidate of its text, cut as candidate_spans cuts it; a shape
+    that is no candidate, or a real value that is cut otherwise, is made anew.
+    """
     r = random.Random(seed)
     of = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     mixed, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 6)))
     out = []
-    for i in range(n):
-        real = i % 2
+    while len(out) < n:
+        real = len(out) % 2
         quote = r.choice(['"', '"', "'", ""])
         mark = r.choice([" = ", "=", ": "])
         if real:
             value = r.choice([of(hexes, 40), of(hexes, 40), of(hexes, 32), of(mixed, r.randint(20, 64)), "AKIA" + of(string.ascii_uppercase + string.digits, 16), "ghp_" + of(mixed, 36), "sk_live_" + of(mixed, 24), of(mixed + "+/", 43) + "="])
             cue = r.choice([c for c in CUES if c not in ("auth", "private")])
-            before, path = f"{word()} {cue}{mark}{quote}", r.choice(["src", "config", "src0", "deploy/app"])
+            if r.random() < 0.3:
+                cue = f"{word()}_{cue}"
+            before, path = f"{r.choice([word() + ' ', word() + ' ', 'export ', '?', word() + '&'])}{cue}{mark}{quote}", r.choice(["src", "config", "src0", "deploy/app"])
             if r.random() < 0.3:
                 value = value.upper()
                 before = before.upper()
@@ -120,7 +137,11 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
                 value, before, quote = r.choice([f"{word()}.{r.randint(1, 99)}", f"{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}", word() + "." + word() + "." + word() + ".com", of(string.digits, 20)]), f"{word()} ", ""
             path = r.choice(["src", "docs/example", "tests", "src0", "sample"])
         after = f"{quote} {word()}"
-        out.append((value, before, after, path, real))
+        text, at = before + value + after, len(before)
+        spans = [(s, e) for s, e in candidate_spans(text) if s < at + len(value) and e > at]
+        if spans and (not real or spans == [(at, at + len(value))]):
+            s, e = spans[0]
+            out.append((text[s:e], text[max(0, s - 60) : s], text[e : e + 30], path, real))
     return out
 
 
