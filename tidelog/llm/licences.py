@@ -67,8 +67,57 @@ RULES = (
     ("Proprietary", ("Copyright", "AllRights")),
     ("Proprietary", ("AllRights",)),
 )
+_TERMS = r"(?:this (?:program|library|file|software|work|project) is free software )?(?:you can|it can be) redistributed? (?:it )?and or modif(?:y|ied) (?:it )?under the terms of the gnu "
+_LATER = r"(?: of the licen[sc]e)?(?: or)? at your option any later version"
+_FSF = r"(?: as published by the free software foundation)?"
+#: Sentences of whole licence texts and notices, which the query's SQL does not name; looked up after SENTENCES.
+TEXT_SENTENCES = (
+    ("ApacheObtain", r"you may obtain a copy of the licen[sc]e at"),
+    ("ApacheUrl", r"https? www apache org licen[sc]es licen[sc]e 2 0(?: txt| html)?"),
+    ("BSDSource", r"(?:[0-9a-z] )?redistributions? of source code must retain the .{0,200}"),
+    ("BSDBinary", r"(?:[0-9a-z] )?redistributions? in binary form must reproduce the .{0,300}"),
+    ("BSDNoEndorse", r"(?:[0-9a-z] )?(?:neither the name|the names? of) .{0,200}endorse or promote products derived from this software.{0,120}"),
+    ("BSDAsIs", r"this software is provided by .{0,160}as is and any express(?:ed)? or implied warranties.{0,300}"),
+    ("NoEvent", r"in no event shall .{0,200}liable for any .{0,700}"),
+    ("GPL3Later", _TERMS + r"general public licen[sc]e" + _FSF + r" (?:either )?version 3(?: 0)?" + _LATER),
+    ("GPL3Terms", _TERMS + r"general public licen[sc]e" + _FSF + r" version 3(?: 0)?(?: of the licen[sc]e)?(?: only)?"),
+    ("GPL2Later", _TERMS + r"general public licen[sc]e" + _FSF + r" (?:either )?version 2(?: 0)?" + _LATER),
+    ("GPL2Terms", _TERMS + r"general public licen[sc]e" + _FSF + r" version 2(?: 0)?(?: of the licen[sc]e)?(?: only)?"),
+    ("GPLTerms", _TERMS + r"general public licen[sc]e" + _FSF),
+    ("LGPLTerms", _TERMS + r"(?:lesser|library) general public licen[sc]e.{0,200}"),
+    ("AGPLTerms", _TERMS + r"affero general public licen[sc]e.{0,200}"),
+    ("Version3Later", r"(?:either )?version 3(?: 0)?" + _LATER),
+    ("Version3", r"(?:either )?version 3(?: 0)? of the licen[sc]e(?: only)?"),
+    ("Version2Later", r"(?:either )?version 2(?: 0)?" + _LATER),
+    ("Version2", r"(?:either )?version 2(?: 0)? of the licen[sc]e(?: only)?"),
+    ("LGPLVersion", r"(?:either )?version 2 1(?: of the licen[sc]e)?(?:" + _LATER + ")?"),
+    ("GNUDetails", r"see the gnu (?:lesser |library |affero )?general public licen[sc]e for more details"),
+    ("GNUCopy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public licen[sc]e .{0,200}"),
+    ("GNUSee", r"if not see https? www gnu org licen[sc]es"),
+)
+#: Rules on them, after RULES.
+TEXT_RULES = (
+    ("AGPL", ("AGPLTerms",)),
+    ("LGPL", ("LGPLTerms",)),
+    ("GPL-3.0-or-later", ("GPL3Later",)),
+    ("GPL-3.0-or-later", ("GPLTerms", "Version3Later")),
+    ("GPL-3.0", ("GPL3Terms",)),
+    ("GPL-3.0", ("GPLTerms", "Version3")),
+    ("GPL-2.0-or-later", ("GPL2Later",)),
+    ("GPL-2.0-or-later", ("GPLTerms", "Version2Later")),
+    ("GPL-2.0", ("GPL2Terms",)),
+    ("GPL-2.0", ("GPLTerms", "Version2")),
+)
+#: Identifiers that a rule passes over between its own.
+FILLERS = ("ApacheUrl", "BSDSource", "BSDBinary", "BSDAsIs", "NoEvent", "GNUDetails", "GNUCopy", "GNUSee")
 #: What a sentence must hold to be looked at.
 SPEAKS = r"(?i)licen[sc]e|copyright|\(c\)|all rights|permission|redistribut|provided .{0,4}as is|public domain|later version|endorse"
+#: The same over line ends.
+_SPEAKS_LINES = SPEAKS.replace("provided .{0,4}as is", r"provided[\s\S]{0,6}as\s+is").replace("all rights", r"all\s+rights").replace("public domain", r"public\s+domain").replace("later version", r"later\s+version")
+#: A line that ends where it does: a copyright notice or a licence's title.
+_TITLE = r"(?im)^([ \t#*/;%-]*(?:(?:copyright|\(c\)|©)\s[^\n]*|all rights reserved\.?|(?:the )?[\w .-]{0,40}licen[sc]e(?: \([\w .-]+\))?)[ \t]*)\n"
+#: Ends of sentences, empty lines (comment marks aside), and list marks.
+_ENDS = r"(?<=[.!?;])\s+|\s*\n(?:[ \t#*/;%-]*\n)+|\n(?=\s*(?:[-•]|\(?[0-9a-zA-Z]{1,2}[.)])\s)"
 UNKNOWN = "Unknown"
 
 
@@ -80,15 +129,25 @@ def normal(sentence: str) -> str:
 def scanned(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, sentences, licences): kept columns, identifiers in order, and licences in the order of their rules.
 
+    A sentence may run over lines: it is looked up joined, from its first line
+    on or from the first that speaks. Where that is unknown, or several of its
+    lines are known by themselves, its lines are sentences of their own.
     A sentence that speaks of licensing but is not known is Unknown and parts
     what stands on either side. Null and empty texts have neither; rows are
     scanned one by one, whole; an empty table gives no rows.
     """
     x = df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    speaking = rf"if(t RLIKE r'{SPEAKS}', transform(filter(split(t, r'\s*\n\s*|(?<=[.!?;])\s+'), s -> s RLIKE r'{SPEAKS}'), s -> {normal('s')}), CAST(array() AS ARRAY<STRING>))"
-    known = "CASE " + " ".join(f"WHEN s RLIKE r'^(?:{p})$' THEN '{i}'" for i, p in SENTENCES) + f" ELSE '{UNKNOWN}' END"
-    x = x.selectExpr("row", f"{speaking} AS said").selectExpr("row", f"transform(said, s -> {known}) AS sentences")
-    rules = ", ".join(f"struct('{name}' AS name, r'(?<=;){';'.join(seq)};' AS seq)" for name, seq in RULES)
+    x = x.withColumn("t", F.expr(rf"if(t RLIKE r'{_SPEAKS_LINES}', regexp_replace(t, r'{_TITLE}', '$1\n\n'), '')"))
+    known = lambda s: "CASE " + " ".join(f"WHEN {s} RLIKE r'^(?:{p})$' THEN '{i}'" for i, p in (*SENTENCES, *TEXT_SENTENCES)) + f" ELSE '{UNKNOWN}' END"
+    named = lambda texts: f"transform(transform({texts}, s -> {normal('s')}), s -> {known('s')})"
+    lines = rf"transform(filter(split(t, r'{_ENDS}'), p -> p RLIKE r'{_SPEAKS_LINES}'), p -> split(p, r'\s*\n\s*'))"
+    tail = f"slice(q, greatest(1, array_position(transform(q, l -> l RLIKE r'{SPEAKS}'), true)), size(q))"
+    x = x.selectExpr("row", f"transform({lines}, q -> named_struct('joined', if(size(q) > 1, array(array_join(q, ' '), array_join({tail}, ' ')), CAST(array() AS ARRAY<STRING>)), 'lines', filter(q, l -> l RLIKE r'{SPEAKS}'))) AS said")
+    x = x.selectExpr("row", f"transform(said, p -> named_struct('joined', array_remove({named('p.joined')}, '{UNKNOWN}'), 'lines', {named('p.lines')})) AS said")
+    whole = f"size(p.joined) > 0 AND size(array_remove(array_distinct(p.lines), '{UNKNOWN}')) < 2"
+    x = x.selectExpr("row", f"flatten(transform(said, p -> if({whole}, slice(p.joined, 1, 1), p.lines))) AS sentences")
+    between = f";(?:(?:{'|'.join(FILLERS)});)*"
+    rules = ", ".join(f"struct('{name}' AS name, r'(?<=;){between.join(seq)};' AS seq)" for name, seq in (*RULES, *TEXT_RULES))
     step = "(acc, r) -> if(acc.left RLIKE r.seq, named_struct('left', regexp_replace(acc.left, r.seq, ';'), 'got', concat(acc.got, array(r.name))), acc)"
     walk = f"aggregate(array({rules}), named_struct('left', concat(';', array_join(sentences, ';'), ';'), 'got', CAST(array() AS ARRAY<STRING>)), {step}, acc -> array_distinct(acc.got))"
     return x.selectExpr("row", "sentences", f"if(size(sentences) = 0, CAST(array() AS ARRAY<STRING>), {walk}) AS licences")
