@@ -227,6 +227,18 @@ def rga_desc_merge(spark, sf_dir):
     return sequences.descending_merge([log.where("op % 2 = 0"), log.where("op % 3 = 0")], ["object"], "op", "field").withColumn("pos", F.col("pos").cast("long"))
 
 
+_NEWEST_FIRST = "SELECT user_id AS object, event_id AS op, event_type AS field, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS pos FROM events"
+#: Two replicas that overlap and together hold every event.
+_REPLICAS = ("op % 3 <> 0", "op % 2 = 0 OR op % 3 = 0")
+
+
+@query(_NEWEST_FIRST)
+def rga_desc_merge_all(spark, sf_dir):
+    """As rga_desc_merge, over replicas whose union is every event."""
+    log = adapters.events_lww(spark, sf_dir).select("object", "op", "field")
+    return sequences.descending_merge([log.where(r) for r in _REPLICAS], ["object"], "op", "field").withColumn("pos", F.col("pos").cast("long"))
+
+
 _TREE = "e AS (SELECT user_id AS object, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS op, event_type FROM events)"
 
 
@@ -445,16 +457,26 @@ def rga_edit(spark, sf_dir):
     return sequences.text_of(rows.where("gone = 0"), ["object"], "pos", "payload", "\n")
 
 
-@query("SELECT user_id AS object, event_id AS op, event_type AS field, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS pos FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
-def rga_states(spark, sf_dir):
-    """Two replicas' lists, each newest first, merged to a fix-point."""
+def _merged_states(spark, sf_dir, replicas):
     zero = F.lit(0).cast("long")
     log = adapters.events_lww(spark, sf_dir)
-    made = [log.where(f"op % {n} = 0").select("object", F.lit(n).cast("long").alias("chunk"), zero.alias("ref"), (-F.col("op")).alias("pos"), "op", zero.alias("gone"), F.col("field").alias("payload")) for n in (2, 3)]
+    made = [log.where(r).select("object", F.lit(n).cast("long").alias("chunk"), zero.alias("ref"), (-F.col("op")).alias("pos"), "op", zero.alias("gone"), F.col("field").alias("payload")) for n, r in enumerate(replicas, 2)]
     rows, _ = lists.reduced(made[0].unionByName(made[1]), log.where("false").selectExpr("object", "op AS target", "op AS tombstone"), 0)
     return rows.select("object", "op", F.col("payload").alias("field"), F.col("pos").cast("long").alias("pos"))
 
 
+@query("SELECT user_id AS object, event_id AS op, event_type AS field, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS pos FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+def rga_states(spark, sf_dir):
+    """Two replicas' lists, each newest first, merged to a fix-point."""
+    return _merged_states(spark, sf_dir, ("op % 2 = 0", "op % 3 = 0"))
+
+
+@query(_NEWEST_FIRST)
+def rga_states_all(spark, sf_dir):
+    """As rga_states, over replicas whose union is every event."""
+    return _merged_states(spark, sf_dir, _REPLICAS)
+
+
 @query("SELECT user_id AS document, event_type AS field, max(event_id) AS op, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def document_compaction(spark, sf_dir):
     """Every user's log is a document that three replicas save versions of; the versions are compacted and read."""
