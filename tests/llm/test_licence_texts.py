@@ -102,3 +102,81 @@ def test_lines_that_are_known_by_themselves_stay_apart(spark):
     cases = {"Copyright (c) 2020 Jo\nAll rights reserved": ["Copyright", "AllRights"], "a heading\nLicensed under the Apache\nLicense, Version 2.0.": ["ApacheUnder"], "no end of this line\nReleased under the MIT License.": ["MITUnder"]}
     rows = licences.scanned(spark.createDataFrame([(t,) for t in cases], "text string")).collect()
     assert {r["row"]["text"]: r["sentences"] for r in rows} == cases
+
+
+ISC = """Copyright (c) 2020 Jo Doe <jo@x.org>
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+"""
+CC0 = """To the extent possible under law, Jo Doe has waived all copyright and
+related or neighboring rights to this work.
+"""
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+"""
+MORE = {
+    ISC: ["ISC"],
+    MPL: ["MPL-2.0"],
+    EPL: ["EPL-2.0"],
+    UNLICENSE: ["Unlicense"],
+    CC0: ["CC0-1.0"],
+    **{
+        f"This work is licensed under a Creative Commons {long} 4.0\nInternational License. To view a copy of this license, visit\nhttp://creativecommons.org/licenses/x/4.0/.\n": [f"CC-{kind}"]
+        for kind, long in {
+            "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+            "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+        }.items()
+    },
+    "All texts here are licensed under CC BY-NC-SA 4.0.\n": ["CC-BY-NC-SA"],
+    "This work is licensed under CC BY-ND 4.0.\n": ["CC-BY-ND"],
+    "This work is licensed under CC0 1.0.\n": ["CC0-1.0"],
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_further_licences_wrapped(spark, mark):
+    texts = {"".join(f"{mark}{line}".rstrip() + "\n" for line in t.splitlines()): v for t, v in MORE.items()}
+    rows = licences.scanned(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r["row"]["text"]: (r["licences"], "Unknown" in r["sentences"]) for r in rows} == {t: (v, False) for t, v in texts.items()}
+
+
+def test_licences_on_one_line(spark):
+    texts = {" ".join(t.split()): v[0] if isinstance(v, tuple) else v for t, v in {**TEXTS, **MORE}.items()}
+    rows = licences.scanned(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r["row"]["text"]: r["licences"] for r in rows} == texts
+
+
+def test_long_tails_are_no_limit(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software " + "and more words " * 2000 + "."
+    rows = licences.scanned(spark.createDataFrame([(grant,)], "text string")).collect()
+    assert [r["sentences"] for r in rows] == [["MITGrant"]]

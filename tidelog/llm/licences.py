@@ -21,20 +21,20 @@ from tidelog.llm.common import documents
 SENTENCES = (
     ("ApacheUnder", r"(?:this (?:work|file|software|project|code) is )?licensed under (?:the )?apache licen[sc]e(?: version)? 2(?: 0)?(?: the licen[sc]e)?"),
     ("ApacheCompliance", r"you may not use this file except in compliance with the licen[sc]e"),
-    ("ApacheObtain", r"you may obtain a copy of the licen[sc]e at .{0,80}"),
-    ("ApacheAsIs", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis .{0,120}"),
+    ("ApacheObtain", r"you may obtain a copy of the licen[sc]e at .*"),
+    ("ApacheAsIs", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis .*"),
     ("ApacheSee", r"see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e"),
     ("MITUnder", r"(?:this (?:work|file|software|project|code) is )?(?:released|licensed|available|distributed) under (?:the )?(?:terms of the )?mit licen[sc]e"),
-    ("MITGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software .{0,400}"),
-    ("MITNotice", r"the above copyright notice and this permission notice .{0,30}shall be included in all copies or substantial portions of the software"),
-    ("MITAsIs", r"the software is provided as is without warranty of any kind .{0,300}"),
+    ("MITGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software .*"),
+    ("MITNotice", r"the above copyright notice and this permission notice .*shall be included in all copies or substantial portions of the software"),
+    ("MITAsIs", r"the software is provided as is without warranty of any kind .*"),
     ("BSDUnder", r"(?:this (?:work|file|software|project|code) is )?(?:released|licensed|available|distributed) under (?:the )?(?:new |simplified |[23] clause )?bsd (?:[23] clause )?licen[sc]e"),
-    ("BSDGrant", r"redistribution and use in source and binary forms with or without modification are permitted provided that .{0,120}"),
-    ("BSDNoEndorse", r"neither the name .{0,200}endorse or promote products derived from this software .{0,120}"),
+    ("BSDGrant", r"redistribution and use in source and binary forms with or without modification are permitted provided that .*"),
+    ("BSDNoEndorse", r"neither the name .*endorse or promote products derived from this software .*"),
     ("GPL3", r"(?:this (?:work|file|software|program|project) is )?licensed under (?:the )?(?:terms of the )?gnu general public licen[sc]e(?: as published by the free software foundation)? (?:either )?version 3(?: 0)?"),
     ("GPL2", r"(?:this (?:work|file|software|program|project) is )?licensed under (?:the )?(?:terms of the )?gnu general public licen[sc]e(?: as published by the free software foundation)? (?:either )?version 2(?: 0)?"),
-    ("LGPL", r"(?:this (?:work|file|software|library|project) is )?licensed under (?:the )?(?:terms of the )?gnu (?:lesser|library) general public licen[sc]e.{0,60}"),
-    ("AGPL", r"(?:this (?:work|file|software|program|project) is )?licensed under (?:the )?(?:terms of the )?gnu affero general public licen[sc]e.{0,60}"),
+    ("LGPL", r"(?:this (?:work|file|software|library|project) is )?licensed under (?:the )?(?:terms of the )?gnu (?:lesser|library) general public licen[sc]e.*"),
+    ("AGPL", r"(?:this (?:work|file|software|program|project) is )?licensed under (?:the )?(?:terms of the )?gnu affero general public licen[sc]e.*"),
     ("OrLater", r"(?:or )?at your option any later version"),
     ("MPL2", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0|licensed under (?:the )?mozilla public licen[sc]e (?:version )?2 0"),
     ("CCBYNC", r"(?:this (?:work|file|text) is )?licensed under (?:a )?(?:cc|creative commons) (?:by nc|attribution noncommercial)(?: \d \d)?"),
@@ -42,7 +42,7 @@ SENTENCES = (
     ("CCBY", r"(?:this (?:work|file|text) is )?licensed under (?:a )?(?:cc|creative commons) (?:by|attribution)(?: \d \d)?"),
     ("PublicDomain", r"(?:this (?:work|file|text|software) (?:is|has been) )?(?:released|dedicated|placed) (?:in|in to|into|to) the public domain"),
     ("AllRights", r"all rights reserved"),
-    ("Copyright", r"(?:copyright|c) (?:c )?(?:\d{4} ?)+.{0,120}"),
+    ("Copyright", r"(?:copyright|c) (?:c )?(?:\d{4} ?)+.*"),
 )
 #: Licence and the identifiers that make it, in order; a later rule sees what earlier ones left.
 RULES = (
@@ -70,30 +70,56 @@ RULES = (
 _TERMS = r"(?:this (?:program|library|file|software|work|project) is free software )?(?:you can|it can be) redistributed? (?:it )?and or modif(?:y|ied) (?:it )?under the terms of the gnu "
 _LATER = r"(?: of the licen[sc]e)?(?: or)? at your option any later version"
 _FSF = r"(?: as published by the free software foundation)?"
+#: Kinds of one licence family, as its short and its long names say them, the narrowest first.
+CC_KINDS = (
+    ("BY-NC-SA", "by nc sa", "attribution non ?commercial share ?alike"),
+    ("BY-NC-ND", "by nc nd", "attribution non ?commercial no ?deriv(?:s|atives|ative works)"),
+    ("BY-NC", "by nc", "attribution non ?commercial"),
+    ("BY-SA", "by sa", "attribution share ?alike"),
+    ("BY-ND", "by nd", "attribution no ?deriv(?:s|atives|ative works)"),
+    ("BY", "by", "attribution"),
+)
+_CC = r"(?:.* )?(?:licensed|available|released|published|distributed) under (?:the |a )?(?:terms of the )?(?:cc|creative commons) (?:{}|{})(?: \d \d)?(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?(?: cc {})?(?: \d \d)?"
 #: Sentences of whole licence texts and notices, which the query's SQL does not name; looked up after SENTENCES.
 TEXT_SENTENCES = (
     ("ApacheObtain", r"you may obtain a copy of the licen[sc]e at"),
     ("ApacheUrl", r"https? www apache org licen[sc]es licen[sc]e 2 0(?: txt| html)?"),
-    ("BSDSource", r"(?:[0-9a-z] )?redistributions? of source code must retain the .{0,200}"),
-    ("BSDBinary", r"(?:[0-9a-z] )?redistributions? in binary form must reproduce the .{0,300}"),
-    ("BSDNoEndorse", r"(?:[0-9a-z] )?(?:neither the name|the names? of) .{0,200}endorse or promote products derived from this software.{0,120}"),
-    ("BSDAsIs", r"this software is provided by .{0,160}as is and any express(?:ed)? or implied warranties.{0,300}"),
-    ("NoEvent", r"in no event shall .{0,200}liable for any .{0,700}"),
+    ("BSDSource", r"(?:[0-9a-z] )?redistributions? of source code must retain the .*"),
+    ("BSDBinary", r"(?:[0-9a-z] )?redistributions? in binary form must reproduce the .*"),
+    ("BSDNoEndorse", r"(?:[0-9a-z] )?(?:neither the name|the names? of) .*endorse or promote products derived from this software.*"),
+    ("BSDAsIs", r"this software is provided by .*as is and any express(?:ed)? or implied warranties.*"),
+    ("NoEvent", r"in no event shall .*liable for any .*"),
     ("GPL3Later", _TERMS + r"general public licen[sc]e" + _FSF + r" (?:either )?version 3(?: 0)?" + _LATER),
     ("GPL3Terms", _TERMS + r"general public licen[sc]e" + _FSF + r" version 3(?: 0)?(?: of the licen[sc]e)?(?: only)?"),
     ("GPL2Later", _TERMS + r"general public licen[sc]e" + _FSF + r" (?:either )?version 2(?: 0)?" + _LATER),
     ("GPL2Terms", _TERMS + r"general public licen[sc]e" + _FSF + r" version 2(?: 0)?(?: of the licen[sc]e)?(?: only)?"),
     ("GPLTerms", _TERMS + r"general public licen[sc]e" + _FSF),
-    ("LGPLTerms", _TERMS + r"(?:lesser|library) general public licen[sc]e.{0,200}"),
-    ("AGPLTerms", _TERMS + r"affero general public licen[sc]e.{0,200}"),
+    ("LGPLTerms", _TERMS + r"(?:lesser|library) general public licen[sc]e.*"),
+    ("AGPLTerms", _TERMS + r"affero general public licen[sc]e.*"),
     ("Version3Later", r"(?:either )?version 3(?: 0)?" + _LATER),
     ("Version3", r"(?:either )?version 3(?: 0)? of the licen[sc]e(?: only)?"),
     ("Version2Later", r"(?:either )?version 2(?: 0)?" + _LATER),
     ("Version2", r"(?:either )?version 2(?: 0)? of the licen[sc]e(?: only)?"),
     ("LGPLVersion", r"(?:either )?version 2 1(?: of the licen[sc]e)?(?:" + _LATER + ")?"),
     ("GNUDetails", r"see the gnu (?:lesser |library |affero )?general public licen[sc]e for more details"),
-    ("GNUCopy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public licen[sc]e .{0,200}"),
+    ("GNUCopy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public licen[sc]e .*"),
     ("GNUSee", r"if not see https? www gnu org licen[sc]es"),
+    ("GNUWrite", r"if not write to the free software foundation.*"),
+    ("GNUPart", r"this file is part of .*"),
+    ("MITUnder", r".* (?:released|licensed|available|distributed) under (?:the )?(?:terms of the )?(?:mit|expat) licen[sc]e"),
+    ("ISCGrant", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISCAsIs", r"the software is provided as is and (?:the author|isc) disclaims all warranties with regard to this software.*"),
+    ("MPLForm", r"this source code form is subject to the terms of the mozilla public licen[sc]e(?: v(?:ersion)?)?(?: 2 0)?"),
+    ("EPL2", r".*(?:available under|subject to) the terms of the eclipse public licen[sc]e (?:v |version |v)?2 0.*"),
+    ("EPL1", r".*(?:available under|subject to) the terms of the eclipse public licen[sc]e (?:v |version |v)?1 0.*"),
+    ("EPL2Title", r"eclipse public licen[sc]e (?:v |version |v)?2 0"),
+    ("Unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("UnlicenseLaws", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("UnlicenseAct", r"we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
+    ("CC0", r"to the extent possible under law .* waived all copyright and related or neighbou?ring rights to .*"),
+    ("CC0", r"(?:.* )?(?:licensed|available|released|published|distributed) under (?:the |a )?(?:cc0|creative commons (?:cc0|zero))(?: licen[sc]e)?(?: v)?(?: ?1 0)?(?: universal)?(?: public domain dedication)?(?: licen[sc]e)?"),
+    *((f"CC{kind.replace('-', '')}Text", _CC.format(short, long, short)) for kind, short, long in CC_KINDS),
+    ("CCView", r"to view a copy of this licen[sc]e visit .*"),
 )
 #: Rules on them, after RULES.
 TEXT_RULES = (
@@ -107,17 +133,28 @@ TEXT_RULES = (
     ("GPL-2.0-or-later", ("GPLTerms", "Version2Later")),
     ("GPL-2.0", ("GPL2Terms",)),
     ("GPL-2.0", ("GPLTerms", "Version2")),
+    ("ISC", ("ISCGrant", "ISCAsIs")),
+    ("ISC", ("ISCGrant",)),
+    ("MPL-2.0", ("MPLForm",)),
+    ("EPL-2.0", ("EPL2",)),
+    ("EPL-2.0", ("EPL2Title",)),
+    ("EPL-1.0", ("EPL1",)),
+    ("Unlicense", ("Unlicense",)),
+    ("CC0-1.0", ("CC0",)),
+    *((f"CC-{kind}", (f"CC{kind.replace('-', '')}Text",)) for kind, _, _ in CC_KINDS),
 )
 #: Identifiers that a rule passes over between its own.
-FILLERS = ("ApacheUrl", "BSDSource", "BSDBinary", "BSDAsIs", "NoEvent", "GNUDetails", "GNUCopy", "GNUSee")
+FILLERS = ("ApacheUrl", "BSDSource", "BSDBinary", "BSDAsIs", "NoEvent", "GNUDetails", "GNUCopy", "GNUSee", "GNUWrite", "UnlicenseLaws", "UnlicenseAct")
 #: What a sentence must hold to be looked at.
 SPEAKS = r"(?i)licen[sc]e|copyright|\(c\)|all rights|permission|redistribut|provided .{0,4}as is|public domain|later version|endorse"
 #: The same over line ends.
 _SPEAKS_LINES = SPEAKS.replace("provided .{0,4}as is", r"provided[\s\S]{0,6}as\s+is").replace("all rights", r"all\s+rights").replace("public domain", r"public\s+domain").replace("later version", r"later\s+version")
 #: A line that ends where it does: a copyright notice or a licence's title.
 _TITLE = r"(?im)^([ \t#*/;%-]*(?:(?:copyright|\(c\)|©)\s[^\n]*|all rights reserved\.?|(?:the )?[\w .-]{0,40}licen[sc]e(?: \([\w .-]+\))?)[ \t]*)\n"
-#: Ends of sentences, empty lines (comment marks aside), and list marks.
-_ENDS = r"(?<=[.!?;])\s+|\s*\n(?:[ \t#*/;%-]*\n)+|\n(?=\s*(?:[-•]|\(?[0-9a-zA-Z]{1,2}[.)])\s)"
+#: How sentences of licence texts begin, which may follow a name or an address without a full stop.
+OPENINGS = ("Redistribution and use in source", "Permission is hereby granted", "Permission to use, copy", "THE SOFTWARE IS PROVIDED", "This program is free software", "This Source Code Form", "Unless required by applicable law", "To the extent possible under law")
+#: Ends of sentences and of what leads up to a list, places before openings, empty lines (comment marks aside), and list marks.
+_ENDS = r"(?<=[.!?;])\s+|(?<=conditions:)\s+|(?<=are met:)\s+|\s+(?=(?:" + "|".join(OPENINGS) + r"))|\s*\n(?:[ \t#*/;%-]*\n)+|\n(?=\s*(?:[-•]|\(?[0-9a-zA-Z]{1,2}[.)])\s)"
 UNKNOWN = "Unknown"
 
 
