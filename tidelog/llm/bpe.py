@@ -18,6 +18,7 @@ costs time and changes no result.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import json
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import batch_rows, documents
+from tidelog.llm.common import documents
 from tidelog.llm.textarrays import chunks
 
 #: The pre-splitting pattern of byte-level BPE: a fixed value.
@@ -187,11 +188,22 @@ def codec(path: str | None = None) -> Codec:
     """One codec a process and vocabulary."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
-        gc.freeze()  # the tables hold no cycles: passes over them would find nothing
-        gc.set_threshold(200_000, 50, 50)
     return _codecs[path]
 
 
+@contextlib.contextmanager
+def _few_passes() -> Iterator[None]:
+    """Fewer passes of the cycle collector, which find nothing in a codec's tables; as before afterwards."""
+    before = gc.get_threshold()
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 50)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*before)
+        gc.unfreeze()
+
+
 def encoded(df: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """(row, ids): kept columns (all if None) as a struct, and the ids of each whole text.
 
@@ -202,7 +214,8 @@ def encoded(df: DataFrame, text: str = "text", path: str | None = None, keep: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in chunks(batches, "text"):
-            ids = [c.encode(t or "") for t in b.column("text").to_pylist()]
+            with _few_passes():
+                ids = [c.encode(t or "") for t in b.column("text").to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
             flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["row", "ids"])
@@ -227,6 +240,5 @@ def decoded(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def op7_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every whole text."""
-    batch_rows(spark, 512)
     out = decoded(encoded(documents(spark, sf_dir).select("doc_id", "text"), path=path, keep=["doc_id"]), path=path)
     return out.selectExpr("row.doc_id AS doc_id", "CAST(size(ids) AS BIGINT) AS n_tokens", "sha2(array_join(ids, ','), 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")

@@ -18,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import batch_rows, documents
+from tidelog.llm.common import documents
 from tidelog.llm.textarrays import chunks, encoded
 
 SIDE, BINS = 24, 8
 PIXELS = SIDE * SIDE
 DELAY = 4  # hundredths of a second
+#: Frames that are coded, and pixels that are decoded, at once.
+FRAMES_AT_ONCE, PIXELS_AT_ONCE = 4096, 1 << 21
+#: A file may show this many pixels in all its frames, and so many more for each of its bytes; one that states more is reported as failed, unread.
+MOST_PIXELS, MOST_PER_BYTE = 1 << 24, 64
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -109,8 +113,9 @@ def lzw_bytes(codes: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def write_gifs(payloads: list[bytes]) -> list[bytes]:
     """A GIF of grey 24 x 24 frames for each payload, whose length is a positive multiple of 576."""
     pixels = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, PIXELS)
-    data, offsets = lzw_bytes(*lzw_codes(pixels))
-    raw = data.tobytes()
+    coded = [lzw_bytes(*lzw_codes(pixels[i : i + FRAMES_AT_ONCE])) for i in range(0, len(pixels), FRAMES_AT_ONCE)]
+    raw = b"".join(data.tobytes() for data, _ in coded)
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(o) for _, o in coded])))) if coded else np.zeros(1, int)
     head = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + _GREY + b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"
     begin = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\x00\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
     out, f = [], 0
@@ -148,7 +153,7 @@ def parse(b: bytes) -> Image:
             table = np.frombuffer(b, np.uint8, 3 * n, at).reshape(-1, 3)
             at += 3 * n
         image = Image(width, height, table[back] if back < len(table) else np.zeros(3, np.uint8))
-        control = (0, 0, -1)
+        control, shown = (0, 0, -1), 0
         while b[at] != 0x3B:
             if b[at] == 0x21:
                 if b[at + 1] == 0xF9:
@@ -164,6 +169,14 @@ def parse(b: bytes) -> Image:
                     at += 3 * n
                 bits = b[at]
                 data, at = _blocks(b, at + 1)
+                if not 1 <= bits <= 8:
+                    raise ValueError(f"codes of {bits} bits")
+                codes = 8 * len(data) // (bits + 1)  # each at most one pixel longer than the one before, and than what the code space holds
+                if w * h > codes * min(codes, 4096):
+                    raise ValueError(f"{w} x {h} pixels from {len(data)} bytes")
+                shown += width * height
+                if max(shown, w * h) > MOST_PIXELS + MOST_PER_BYTE * len(b):
+                    raise ValueError(f"states over {shown} pixels in {len(b)} bytes")
                 image.frames.append(Frame(left, top, w, h, bool(packed & 0x40), palette, control[1], control[0], control[2], bits, data))
                 control = (0, 0, -1)
             else:
@@ -232,6 +245,19 @@ def lzw_decode(frames: list[Frame]) -> None:
     flat = value[pointer]
     for f, s, e in zip(frames, place, place[1:]):
         f.indices = flat[s:e]
+        if e > s and int(f.indices.max()) >= len(f.palette):
+            raise ValueError("a colour beyond the palette")
+
+
+def decode_all(frames: list[Frame]) -> None:
+    """lzw_decode for any number of frames, so many pixels and frames at a time."""
+    start = held = 0
+    for i, f in enumerate(frames):
+        if i > start and (held + f.width * f.height > PIXELS_AT_ONCE or i - start == FRAMES_AT_ONCE):
+            lzw_decode(frames[start:i])
+            start, held = i, 0
+        held += f.width * f.height
+    lzw_decode(frames[start:])
 
 
 def compose(image: Image) -> Iterator[np.ndarray]:
@@ -288,7 +314,9 @@ def read(df: DataFrame, media: str = "media") -> DataFrame:
 
     samples: red samples of the composed frames, one after the other; frames:
     their times and colour histograms of 8 bins a channel; failed: why a file
-    could not be read, with no samples and frames. A null file has nulls.
+    could not be read, with no samples and frames: it breaks off, breaks the
+    rules of its codes or palette, or states more pixels than MOST_PIXELS and
+    MOST_PER_BYTE for each of its bytes. A null file has nulls.
     Rows are read one by one, so repeated rows and an empty table are fine.
     df must not have the new columns.
     """
@@ -296,49 +324,76 @@ def read(df: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                yield _read(part, media)
+            for part in chunks(iter([b]), media, PIXELS_AT_ONCE):
+                yield from _read(part, media)
 
     return df.mapInArrow(run, f"{schema}, samples binary, frames {FRAMES}, failed string")
 
 
-def _read(part: pa.RecordBatch, media: str) -> pa.RecordBatch:
+def _read(part: pa.RecordBatch, media: str) -> Iterator[pa.RecordBatch]:
+    """The files of a batch, so many stated pixels at a time."""
     images: list[Image | None] = []
     failed: list[str | None] = []
-    for s in part.column(media):
+    start = held = 0
+    for i, s in enumerate(part.column(media)):
         try:
             images.append(parse(s.as_py()) if s.is_valid else None)
             failed.append(None)
         except ValueError as e:
             images.append(None)
             failed.append(str(e))
-    frames = [f for m in images if m for f in m.frames]
+        m = images[-1]
+        n = sum(f.width * f.height + m.width * m.height for f in m.frames) if m else 0
+        if held and held + n > 4 * PIXELS_AT_ONCE:
+            yield _decoded(part.slice(start, i - start), images[start:i], failed[start:i])
+            images[start:i] = [None] * (i - start)
+            start, held = i, 0
+        held += n
+    yield _decoded(part.slice(start), images[start:], failed[start:])
+
+
+def _decoded(part: pa.RecordBatch, images: list[Image | None], failed: list[str | None]) -> pa.RecordBatch:
     try:
-        for i in range(0, len(frames), 4096):
-            lzw_decode(frames[i : i + 4096])
+        decode_all([f for m in images if m for f in m.frames])
     except ValueError:  # find the files that are at fault
         for k, m in enumerate(images):
             try:
-                lzw_decode(m.frames if m else [])
+                decode_all(m.frames if m else [])
             except ValueError as e:
                 images[k], failed[k] = None, str(e)
-    counts, delays, at, pixels = [], [], [], []
-    for m in images:
-        shown = list(compose(m)) if m else []
-        counts.append(len(shown))
+    counts, delays, at, bars, samples = [], [], [], [[], [], []], [[] for _ in images]
+    held: list[tuple[int, np.ndarray]] = []
+
+    def count() -> None:
+        """Histograms and samples of the canvases held."""
+        flat = np.concatenate([c.reshape(-1, 3) for _, c in held]) if held else np.zeros((0, 3), np.uint8)
+        sizes = [c.shape[0] * c.shape[1] for _, c in held]
+        of = np.repeat(np.arange(len(held)), sizes) * BINS
+        for c in range(3):
+            bars[c].append(np.bincount(of + (flat[:, c] >> 5), minlength=len(held) * BINS).astype(np.int32))
+        red, ends = np.ascontiguousarray(flat[:, 0]), np.concatenate(([0], np.cumsum(sizes))).astype(int)
+        for (k, _), s, e in zip(held, ends, ends[1:]):
+            samples[k].append(red[s:e].tobytes())
+        held.clear()
+
+    for k, m in enumerate(images):
+        n = pixels = 0
+        for n, canvas in enumerate(compose(m) if m else [], 1):
+            held.append((k, canvas))
+            pixels += canvas.shape[0] * canvas.shape[1]
+            if pixels > PIXELS_AT_ONCE:
+                count()
+                pixels = 0
+        counts.append(n)
         delays += [f.delay_ms for f in m.frames] if m else []
-        at += np.concatenate(([0], np.cumsum([f.delay_ms for f in m.frames])[:-1])).astype(int).tolist() if shown else []
-        pixels.append(np.concatenate([s.reshape(-1, 3) for s in shown]) if shown else np.zeros((0, 3), np.uint8))
-    sizes = [m.width * m.height for m, k in zip(images, counts) for _ in range(k)]
-    flat = np.concatenate(pixels) if pixels else np.zeros((0, 3), np.uint8)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    bars = [np.bincount(of * BINS + (flat[:, c] >> 5), minlength=len(sizes) * BINS).astype(np.int32) for c in range(3)]
-    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BINS, pa.int32()), pa.array(x)) for x in bars]
+        at += np.concatenate(([0], np.cumsum([f.delay_ms for f in m.frames])[:-1])).astype(int).tolist() if n else []
+    count()
+    total = sum(counts)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(total + 1) * BINS, pa.int32()), pa.array(np.concatenate(x))) for x in bars]
     each = pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(delays, pa.int32()), *lists], ["at_ms", "delay_ms", "reds", "greens", "blues"])
     column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), each, mask=pa.array([m is None for m in images]))
-    samples = pa.array([p[:, 0].tobytes() if m else None for m, p in zip(images, pixels)], pa.binary())
-    return pa.RecordBatch.from_arrays([*part.columns, samples, column, pa.array(failed, pa.string())], [*part.schema.names, "samples", "frames", "failed"])
+    told = pa.array([b"".join(p) if m else None for m, p in zip(images, samples)], pa.binary())
+    return pa.RecordBatch.from_arrays([*part.columns, told, column, pa.array(failed, pa.string())], [*part.schema.names, "samples", "frames", "failed"])
 
 
 def frame_table(df: DataFrame) -> DataFrame:
@@ -349,7 +404,6 @@ def frame_table(df: DataFrame) -> DataFrame:
 
 def op6_gif_media(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document stored as a GIF and read back."""
-    batch_rows(spark, 512)
     x = read(stored(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"]))
     red = ", ".join(f"aggregate(frames, 0L, (n, f) -> n + f.reds[{i}])" for i in range(BINS))
     return x.selectExpr(

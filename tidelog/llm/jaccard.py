@@ -5,15 +5,21 @@ similarity s or more differ in (n + m)(1 - s) / (1 + s) shingles at most, so
 with one group more than that some group is the same in both: documents meet
 by equi-join on the content of a group, once for each size class and the
 next. At lower similarities such groups would be small, so groups are half as
-many, and documents meet by two of the three parts of a group. Documents that meet form families. In a family, points of group counts
-are packed into R-tree leaves; the summed coordinate minima of two leaves or
-two points bound the overlap, and surviving pairs are verified on their sets.
-
-Equal sets are one vertex from the start, and a pair that is connected
-already is not verified, so that copies never expand into all pairs. Large
-families are cut into blocks: first every block with itself and with block
-0, then, where several components remain, all pairs of blocks. Nothing is
-dropped: the result is exact up to 64-bit hash collisions.
+many, and documents meet by two of the three parts of a group. Documents that
+meet form families.
+
+A family is indexed as an R-tree over its points of group counts: points in
+order of size and counts are cut into blocks, blocks into inner nodes, and
+these into one node a partition; inside a block are leaves. The tree is
+joined with itself from the top down. At every level the summed minima of two
+upper corners bound the overlap of what is below, so pairs of nodes that
+cannot link go before a set is copied. What is left is verified on the sets.
+
+Equal sets are one vertex from the start, and what is connected already is
+not compared, so that copies never expand into all pairs: first every block
+is compared with itself and the next one, then the pairs that the tree join
+leaves where several components remain. Nothing is dropped: the result is
+exact up to 64-bit hash collisions.
 """
 
 from __future__ import annotations
@@ -23,10 +29,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import batch_rows, documents, written
+from tidelog.llm.common import documents, written
 from tidelog.llm.graph import components
 from tidelog.llm.textarrays import chunks, encoded, groups, mix, shingle_sets
 
@@ -36,6 +43,10 @@ COUNTS = 32
 LEAF = 32
 #: Sets and shingles of a block at most (a single set may be larger).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 250_000
+#: Blocks below an inner node at most.
+FAN_OUT = 32
+#: Rows whose keys are combined before they are dealt out, and the head of a row that has met no other yet.
+COMBINED, ALONE = 500_000, -(1 << 63)
 #: Similarity from which single token groups hold shingles enough (9 at 0.9) to be met by; below, parts of groups are combined.
 SINGLE_GROUPS = Fraction(17, 20)
 #: Family members up to which their ids are broadcast; more are joined by a shuffle.
@@ -143,6 +154,11 @@ def _pair_keys(offsets: np.ndarray, values: np.ndarray, similarity: Fraction) ->
     return doc[order], key[order]
 
 
+def _group(values: np.ndarray) -> np.ndarray:
+    """The coordinate that counts each shingle."""
+    return (mix(values, 9) % _U(COUNTS)).astype(np.int64)
+
+
 def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
@@ -164,50 +180,103 @@ def _fingerprints(width: int, similarity: Fraction, with_keys: bool, with_sets:
                 names = ["id", "n", "s1", "s2"]
             else:
                 out.append(pa.array([values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary()))
-                names = ["id", "n", "s1", "s2", "shingles"]
+                at = np.repeat(np.arange(len(n)), n) * COUNTS + _group(values)
+                counts = np.bincount(at, minlength=len(n) * COUNTS).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COUNTS, pa.int32()), pa.array(counts)))
+                names = ["id", "n", "s1", "s2", "shingles", "point"]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
+def _first_of_each(key: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From rows in order of key: whether each is the first of its key, and the id of that first."""
+    start = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    return start, id[start][np.cumsum(start) - 1]
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, head): of rows (key, id) that a task has with one key, one stays; the others become edges from its id, dealt out by their own.
+
+    So a key that very many documents share sends a row a task, not one a
+    document, to the task that joins it.
+    """
+
+    def told(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        key, id = (t.column(c).to_numpy() for c in ("key", "id"))
+        order = np.lexsort((id, key))
+        key, id = key[order], id[order]
+        start, head = _first_of_each(key, id)
+        keep = start | (head != id)
+        key = np.where(start, key, mix(id.view(_U), 4).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(id[keep]), pa.array(np.where(start, ALONE, head)[keep])], ["key", "id", "head"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= COMBINED:
+            yield told(held)
+            held, n = [], 0
+    if n:
+        yield told(held)
+
+
 def _packed_keys(width: int, similarity: Fraction, names: list[int]):
-    """(bucket, ids, counts, keys): the pair keys of many documents by bucket, each as the six bytes that the bucket leaves."""
+    """(bucket, ids, counts, keys, edges): the pair keys of many documents by bucket, each as the six bytes that the bucket leaves.
+
+    Of the documents of a chunk that share a key one stays; edges has pairs of
+    its id and another's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             offsets, values = shingle_sets(encoded(b.column("text")), width)
             doc, key = _pair_keys(offsets, values, similarity)
+            ids = b.column("id").to_numpy()
+            order = np.lexsort((doc, key))
+            doc, key = doc[order], key[order]
+            start, head = _first_of_each(key, doc)
+            edges = np.unique(np.stack((ids[head[~start]], ids[doc[~start]]), 1), axis=0)
+            doc, key = doc[start], key[start]
             bucket = (key % _U(len(names))).astype(np.int64)
             order = np.lexsort((doc, bucket))
             doc, key, bucket = doc[order], (key[order] // _U(len(names))).astype("<u8"), bucket[order]
-            ids = b.column("id").to_numpy()
             new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])))[: len(doc)])
             count = np.diff(np.concatenate((new, [len(doc)])))
             short = key.view(np.uint8).reshape(-1, 8)[:, :6]
             used = np.unique(bucket)
             runs, at = np.searchsorted(bucket[new], [used, used + 1]), np.searchsorted(bucket, [used, used + 1])
+            told = [b""] * len(used)
+            if len(used):
+                told[int(ids[0]) % len(used)] = edges[edges[:, 0] != edges[:, 1]].tobytes()
             cols = [
                 pa.array([names[k] for k in used.tolist()], pa.int64()),
                 pa.array([ids[doc[new[i:j]]].tobytes() for i, j in runs.T], pa.binary()),
                 pa.array([count[i:j].astype(np.uint32).tobytes() for i, j in runs.T], pa.binary()),
                 pa.array([short[i:j].tobytes() for i, j in at.T], pa.binary()),
+                pa.array(told, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["bucket", "ids", "counts", "keys"])
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "ids", "counts", "keys", "edges"])
 
     return run
 
 
 def _unpacked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) of packed keys; keys of several buckets that share bytes only meet without need."""
+    """(key, id, head) of packed keys; keys of several buckets that share bytes only meet without need."""
     for b in batches:
-        for ids, counts, keys in zip(*(b.column(c).to_pylist() for c in ("ids", "counts", "keys"))):
+        for ids, counts, keys, edges in zip(*(b.column(c).to_pylist() for c in ("ids", "counts", "keys", "edges"))):
             key = np.zeros((len(keys) // 6, 8), np.uint8)
             key[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view("<i8")[:, 0]), pa.array(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)))], ["key", "id"])
+            met = np.frombuffer(edges, np.int64).reshape(-1, 2)
+            alone = np.full(len(key), ALONE)
+            cols = [key.view("<i8")[:, 0], met[:, 0]], [np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)), met[:, 1]], [alone, met[:, 0]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["key", "id", "head"])
 
 
 def _met_by_pairs(source: DataFrame, prints: DataFrame, same: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """(key, id) in partitions by key, without documents that are copies of others throughout."""
+    """(key, id, head) in partitions by key, without documents that are copies of others throughout."""
     spark = source.sparkSession
     copies = written(prints.where("n > 0 AND id IS NOT NULL").select("id").distinct().join(same.select("id").distinct(), "id", "left_anti"), "copies")
     few = copies.count() <= BROADCAST_IDS
@@ -215,24 +284,28 @@ def _met_by_pairs(source: DataFrame, prints: DataFrame, same: DataFrame, width:
     at = spark.range(64 * parts).selectExpr("id", f"pmod(hash(id), {parts}) AS p").groupBy("p").agg(F.min("id").alias("id"))
     names = [r["id"] for r in at.collect()]  # a bucket for each partition
     once = source.where("id IS NOT NULL").join(F.broadcast(copies) if few else copies, "id", "left_anti").select("id", "text")
-    dealt = once.mapInArrow(_packed_keys(width, similarity, names), "bucket long, ids binary, counts binary, keys binary").repartition(parts, "bucket")
-    return dealt.mapInArrow(_unpacked_keys, "key long, id long")
+    dealt = once.mapInArrow(_packed_keys(width, similarity, names), "bucket long, ids binary, counts binary, keys binary, edges binary").repartition(parts, "bucket")
+    return dealt.mapInArrow(_unpacked_keys, "key long, id long, head long")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, id): an edge from the first of each key to each other."""
-    key, head = None, None
+    """From rows sorted by (key, id): an edge from the first of each key to each other, and the edges that rows carry."""
+    key, lead = None, None
     for b in batches:
-        if not b.num_rows:
+        k, v, head = (b.column(c).to_numpy() for c in ("key", "id", "head"))
+        met = head != ALONE
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(head[met]), pa.array(v[met])], ["u", "v"])
+            k, v = k[~met], v[~met]
+        if not len(k):
             continue
-        k, v = b.column("key").to_numpy(), b.column("id").to_numpy()
-        start = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
-        run = np.cumsum(start) - (1 if start[0] else 0)
-        heads = v[start] if start[0] else np.concatenate(([head], v[start]))
-        lead = heads[run]
-        key, head = k[-1], lead[-1]
-        keep = ~start & (lead != v)
-        yield pa.RecordBatch.from_arrays([pa.array(lead[keep]), pa.array(v[keep])], ["u", "v"])
+        start, first = _first_of_each(k, v)
+        if k[0] == key:
+            first = np.where(np.cumsum(start) == 1, lead, first)
+            start[0] = False
+        key, lead = k[-1], first[-1]
+        keep = ~start & (first != v)
+        yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(v[keep])], ["u", "v"])
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -272,7 +345,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, side: np.n
     ids, sets, side = ids[order], [sets[i] for i in order], side[order]
     label = np.unique(label[order], return_inverse=True)[1]
     n = np.array([len(s) for s in sets])
-    points = np.array([np.bincount((mix(s, 9) % _U(COUNTS)).astype(np.int64), minlength=COUNTS) for s in sets]).reshape(len(sets), COUNTS)
+    points = np.array([np.bincount(_group(s), minlength=COUNTS) for s in sets]).reshape(len(sets), COUNTS)
     num, both = similarity.numerator, similarity.numerator + similarity.denominator
     packed, corner = leaves(points)
     low = np.array([n[m].min() for m in packed])
@@ -307,6 +380,75 @@ def _compared(rows: DataFrame, similarity: Fraction) -> DataFrame:
     return written(dealt.mapInArrow(_block_links(similarity), "u long, v long"), "links")
 
 
+def _blocks(most_sets: int, most_shingles: int):
+    """Adds block to rows sorted by family: so many sets or shingles of one family at most, numbered in order from partition << 32 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, family, sets, shingles = (TaskContext.get().partitionId() << 32) - 1, None, 0, 0
+        for b in batches:
+            out = []
+            for f, n in zip(b.column("family").to_pylist(), b.column("n").to_pylist()):
+                if f != family or sets == most_sets or shingles + n > most_shingles and sets:
+                    block, family, sets, shingles = block + 1, f, 0, 0
+                sets, shingles = sets + 1, shingles + n
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
+
+    return run
+
+
+def _nodes(below: DataFrame, *by) -> DataFrame:
+    """Nodes of a tree from those below them: sizes, upper corner, and range of labels."""
+    corner = F.array(*[F.max(F.col("corner")[g]) for g in range(COUNTS)]).alias("corner")
+    return below.groupBy("family", *by).agg(F.min("low").alias("low"), F.max("high").alias("high"), corner, F.min("a").alias("a"), F.max("b").alias("b"))
+
+
+def _may_link(similarity: Fraction) -> str:
+    """SQL: whether something below node x can link with something below node y that it is not connected with."""
+    num, den = similarity.numerator, similarity.denominator
+    overlap = "aggregate(zip_with(x.corner, y.corner, (p, q) -> least(p, q)), 0L, (s, c) -> s + c)"
+    sizes = f"x.low * {num} <= y.high * {den} AND y.low * {num} <= x.high * {den}"
+    return f"{sizes} AND NOT (x.a = x.b AND y.a = y.b AND x.a = y.a) AND {overlap} * {num + den} >= {num} * (x.low + y.low)"
+
+
+def tree_pairs(leaves: DataFrame, similarity: Fraction) -> DataFrame:
+    """(family, i, j), i < j: pairs of blocks that the join of the families' trees with themselves leaves.
+
+    leaves: family, block, low, high, corner, a, b. Top nodes, one a
+    partition of each family, meet by band of sizes; below, nodes meet where
+    their parents did.
+    """
+    ok = _may_link(similarity)
+    blocks = leaves.withColumn("inner", F.expr(f"block div {FAN_OUT}"))
+    inner = _nodes(blocks, "inner").withColumn("top", F.expr(f"shiftright(inner * {FAN_OUT}, 32)"))
+    top = _nodes(inner, "top")
+    band = lambda n: f"CAST(floor(ln({n}) / ln({similarity.denominator} / {similarity.numerator}D)) AS INT)"
+    x = top.selectExpr("*", f"explode(sequence({band('low')}, {band('high')})) AS band").alias("x")
+    y = top.selectExpr("*", f"explode(sequence({band('low')} - 1, {band('high')} + 1)) AS band").alias("y")
+    met = x.join(y, F.expr(f"x.family = y.family AND x.band = y.band AND {ok}")).select("x.family", F.least("x.top", "y.top").alias("i"), F.greatest("x.top", "y.top").alias("j")).distinct()
+    for nodes, up, name in ((inner, "top", "inner"), (blocks, "inner", "block")):
+        x, y = nodes.alias("x"), nodes.alias("y")
+        below = met.alias("m").join(x, F.expr(f"m.family = x.family AND m.i = x.{up}")).join(y, F.expr(f"m.family = y.family AND m.j = y.{up} AND x.{name} <= y.{name} AND {ok}"))
+        met = below.selectExpr("m.family AS family", f"x.{name} AS i", f"y.{name} AS j")
+    return met.where("i < j")
+
+
+def _further(placed: DataFrame, many: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame | None:
+    """Links between blocks that are no neighbours, where a family is in several components; None where none is."""
+    parts = components(found).selectExpr("v AS id", "c")
+    rows = placed.join(many.select("block", "next"), "block").join(parts, "id", "left").withColumn("label", F.coalesce("c", "id"))
+    labels = written(rows.select("id", "block", "label"), "labels")
+    leaves = many.join(labels.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")), "block")
+    split = leaves.groupBy("family").agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least <> most").select("family")
+    leaves = written(leaves.join(split, "family", "left_semi"), "leaves")
+    if leaves.isEmpty():
+        return None
+    pairs = tree_pairs(leaves.drop("next"), similarity).join(leaves.select(F.col("block").alias("i"), "next"), "i").where("NOT j <=> next")
+    pairs = written(pairs.select("i", "j"), "pairs")
+    ends = pairs.selectExpr("i AS block", "i", "j", "0 AS side").union(pairs.selectExpr("j AS block", "i", "j", "1 AS side"))
+    return _compared(placed.join(labels.select("id", "block", "label").distinct(), ["id", "block"]).join(ends, "block"), similarity)
+
+
 def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:
     """(id, n_shingles, component_id) for every row of df.
 
@@ -317,8 +459,6 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     several texts; rows without an id have a null component. Other columns are
     ignored, whatever their names; an empty table gives no rows.
     """
-    spark = df.sparkSession
-    batch_rows(spark, 512)
     source = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     single = similarity >= SINGLE_GROUPS
     prints = source.mapInArrow(_fingerprints(width, similarity, single, False), "id long, n long, s1 long, s2 long" + ", keys array<long>" * single)
@@ -327,30 +467,29 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     same = whole.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.max("id").alias("last"), *[F.first("keys").alias("keys")] * single)
     same = written(same, "classes")
     if single:
-        batch_rows(spark, 10_000)
-        keys = same.selectExpr("explode(keys) AS key", "id").repartition("key")
+        keys = same.selectExpr("explode(keys) AS key", "id").mapInArrow(_combined, "key long, id long, head long").repartition("key")
     else:
         keys = _met_by_pairs(source, prints, same, width, similarity)
     met = keys.sortWithinPartitions("key", "id").mapInArrow(_meetings, "u long, v long")
     family = written(components(met).selectExpr("v AS id", "c AS family"), "families")
-    batch_rows(spark, 512)
     wanted = family.select("id")
     if family.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    sets = source.join(wanted, "id").select("id", "text").mapInArrow(_fingerprints(width, similarity, False), "id long, n long, s1 long, s2 long, shingles binary")
+    sets = source.join(wanted, "id").select("id", "text").mapInArrow(_fingerprints(width, similarity, False), "id long, n long, s1 long, s2 long, shingles binary, point array<int>")
     sets = sets.where("n > 0").dropDuplicates(["id", "s1", "s2"]).join(family, "id")
-    sets = written(sets, "sets")
-    cut = sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    cut = written(cut.where("blocks > 1"), "cut")  # few families, so that the join seldom deals sets out by family
-    dealt = sets.join(cut, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    small = dealt.selectExpr("*", "id AS label", "explode(if(block = 0 AND blocks > 1, concat(array(named_struct('i', 0, 'j', 0, 'side', 2)), transform(sequence(1, blocks - 1), j -> named_struct('i', 0, 'j', j, 'side', 0))), if(block = 0, array(named_struct('i', 0, 'j', 0, 'side', 2)), array(named_struct('i', block, 'j', block, 'side', 2), named_struct('i', 0, 'j', block, 'side', 1))))) AS p")
-    found = _compared(small.selectExpr("*", "p.i AS i", "p.j AS j", "p.side AS side"), similarity)
-    if not cut.where("blocks > 2").isEmpty():
-        parts = components(found)
-        left = dealt.where("blocks > 2 AND block > 0").join(parts.selectExpr("v AS id", "c"), "id", "left").withColumn("label", F.coalesce("c", "id"))
-        split = left.groupBy("family").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("family")
-        left = left.join(split, "family").selectExpr("*", "explode(transform(filter(sequence(1, blocks - 1), k -> k <> block), k -> named_struct('i', least(k, block), 'j', greatest(k, block), 'side', if(k > block, 0, 1)))) AS p")
-        found = found.union(_compared(left.selectExpr("*", "p.i AS i", "p.j AS j", "p.side AS side"), similarity))
+    order = ["family", "n", "point", "id"]
+    placed = sets.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.mapInArrow(_blocks(BLOCK_SETS, BLOCK_SHINGLES), "id long, n long, s1 long, s2 long, shingles binary, point array<int>, family long, block long"), "sets")
+    corner = F.array(*[F.max(F.col("point")[g]) for g in range(COUNTS)]).alias("corner")
+    leaves = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), corner)
+    at = "OVER (PARTITION BY family ORDER BY block)"  # one small row a block
+    many = written(leaves.selectExpr("*", f"lead(block) {at} AS next", f"lag(block) {at} AS before").where("next IS NOT NULL OR before IS NOT NULL"), "blocks")
+    trio = "array(named_struct('i', block, 'j', block, 'side', 2), named_struct('i', block, 'j', next, 'side', 0), named_struct('i', before, 'j', block, 'side', 1))"
+    near = placed.join(many.select("block", "next", "before"), "block", "left").selectExpr("*", "id AS label", f"explode(filter({trio}, p -> p.i IS NOT NULL AND p.j IS NOT NULL)) AS p")
+    found = _compared(near.selectExpr("*", "p.i AS i", "p.j AS j", "p.side AS side"), similarity)
+    if not many.isEmpty():
+        more = _further(placed, many.drop("before"), found, similarity)
+        found = found if more is None else found.union(more)
     joined = components(found.union(same.where("id <> last").selectExpr("id AS u", "id AS v")))
     moved = same.join(joined.selectExpr("v AS id", "c"), "id", "left").where("c <> id OR last <> id").selectExpr("s1", "s2", "n", "coalesce(c, id) AS c")
     out = prints.select("id", "n", "s1", "s2").join(moved, ["s1", "s2", "n"], "left")

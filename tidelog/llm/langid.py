@@ -5,30 +5,36 @@ scores the mean of its known character 4-grams, or where none is known its
 3-grams, and so on down to single letters. A text's language has the best
 mean over its words.
 
-Counts cover all training documents. A word or n-gram is known if it makes up
-at least one part in CUT of all those counted in some language, so there are
-at most CUT words and 4 * CUT n-grams a language whatever the corpus: that
-bounds the model that tasks get.
+All words and n-grams of the training texts are known. Their costs are two
+tables in the shared folder. Tasks get the tables whole where they take at
+most TOLD_BYTES; beyond that they get the words that make up one part in
+OFTEN of a language or more, and each text's other words are joined to the
+tables and their costs added up by text. Costs are whole numbers, so both
+ways give the same sums.
 """
 
 from __future__ import annotations
 
+import math
+import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import batch_rows, documents, written
+from tidelog.llm.common import documents, written
 from tidelog.llm.textarrays import chunks
 
-CUT = 50_000
 ORDERS = (4, 3, 2, 1)
-#: -log10 of the frequency of what a language lacks.
-PENALTY = 6.0
+#: Bytes of the tables up to which tasks get them whole, and how often a word comes that they get in any case.
+TOLD_BYTES, OFTEN = 128 << 20, 50_000
+#: Costs are summed in this part of a thousandth, so that means of n-grams stay whole numbers.
+UNIT = 1000
 #: Distinct keys counted, or tokens remembered, before a task hands on or forgets.
 MOST_KEYS = 300_000
 _LETTERS = regex.compile(r"\p{L}+")
@@ -44,7 +50,13 @@ def _table(counts: dict[str, Counter], key: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([w for c in counts.values() for w in c], pa.string()), pa.array([n for c in counts.values() for n in c.values()], pa.int64())], ["lang", key, "n"])
 
 
-def word_counts(df: DataFrame, text: str, by: str) -> DataFrame:
+def plain_word(token: str) -> list[str]:
+    """The token if it is a word but for marks at its ends."""
+    w = token.strip(string.punctuation)
+    return [w] if w.isalpha() else []
+
+
+def word_counts(df: DataFrame, text: str, by: str, words_in: Callable[[str], list[str]] = words_of) -> DataFrame:
     """(lang, word, n): how often each word comes in the whole texts of each value of by; null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +67,7 @@ def word_counts(df: DataFrame, text: str, by: str) -> DataFrame:
             for lang, tokens in counts.items():
                 c = words.setdefault(lang, Counter())
                 for t, n in tokens.items():
-                    for w in words_of(t):
+                    for w in words_in(t):
                         c[w] += n
             counts.clear()
             return _table(words, "word")
@@ -99,120 +111,177 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _known(counts: DataFrame, key: str, within: list[str]) -> dict[str, list[tuple]]:
-    """Keys of at least one part in CUT in some language, with -log10 of their frequency in each.
+class Model:
+    """Languages in order, and the tables of costs: (word, c0, c1, ...) and (gram, c0, c1, ...), a column a language."""
+
+    def __init__(self, langs: list[str], words: DataFrame, grams: DataFrame, told: DataFrame, whole: bool):
+        self.langs, self.words, self.grams, self.told, self.whole = langs, words, grams, told, whole
+
+    def table(self, costs: DataFrame, key: str) -> Known:
+        """Costs as arrays for tasks, in order of the keys' hashes."""
+        t = costs.select(F.xxhash64(key).alias("h"), *[f"c{i}" for i in range(len(self.langs))]).toArrow()
+        h = t.column("h").to_numpy()
+        order = np.argsort(h, kind="stable")
+        got = [t.column(f"c{i}").to_numpy()[order] for i in range(len(self.langs))]
+        return Known(h[order], np.stack(got, 1) if got else np.zeros((len(h), 0), np.int16))
+
+
+class Known:
+    """Costs by the hashes of keys."""
+
+    def __init__(self, hashes: np.ndarray, costs: np.ndarray):
+        self.hashes, self.costs = hashes, costs
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The row of each key, -1 where it is not known."""
+        h = np.fromiter((xxhash.xxh64_intdigest(k.encode(), 42) for k in keys), np.uint64, len(keys)).view(np.int64)
+        if not len(self.hashes):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+def _costs(counts: DataFrame, key: str, totals: DataFrame, langs: list[str], within: list[str]) -> DataFrame:
+    """(key, c0, c1, ..., often): thousandths of -log10 of the frequency in each language; what one lacks is as rare there as half a count in the largest.
 
-    At most CUT keys for each language and order reach the driver.
+    often: whether the key makes up one part in OFTEN of what some language has.
     """
-    totals = counts.groupBy("lang", *within).agg(F.sum("n").alias("total"))
+    lacks = max([0, *(round(1000 * math.log10(2 * r["total"])) for r in totals.collect())])  # a row a language and order
     x = counts.join(F.broadcast(totals), ["lang", *within])
-    often = x.groupBy(key).agg(F.max(F.col("n") * CUT >= F.col("total")).alias("often"), F.collect_list(F.struct("lang", (F.log10("total") - F.log10("n")).alias("cost"))).alias("costs"))
-    return {r[0]: [tuple(c) for c in r[1]] for r in often.where("often").select(key, "costs").collect()}
+    cost = F.round(1000 * (F.log10("total") - F.log10("n"))).cast("short")
+    each = [F.coalesce(F.max(F.when(F.col("lang") == lang, cost)), F.lit(lacks).cast("short")).alias(f"c{i}") for i, lang in enumerate(langs)]
+    return x.groupBy(key).agg(*each, F.max(F.col("n") * OFTEN >= F.col("total")).alias("often"))
 
 
-class Model:
-    """Costs of known words and n-grams in each language."""
-
-    def __init__(self, words: dict[str, list[tuple]], grams: dict[str, list[tuple]]):
-        self.langs = sorted({lang for m in (words, grams) for costs in m.values() for lang, _ in costs})
-        self.words, self.word_costs = self._filled(words)
-        self.grams, self.gram_costs = self._filled(grams)
-
-    def _filled(self, costs: dict[str, list[tuple]]) -> tuple[dict[str, int], np.ndarray]:
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        table = np.full((len(costs), len(self.langs)), PENALTY)
-        for i, key in enumerate(sorted(costs)):
-            for lang, cost in costs[key]:
-                table[i, at[lang]] = min(cost, PENALTY)
-        return {key: i for i, key in enumerate(sorted(costs))}, table
-
-    def backed_off(self, word: str) -> list[int]:
-        """Rows of gram_costs for an unseen word: of the longest n-grams of which any is known."""
-        for order in ORDERS:
-            if found := [i for g in grams_of(word, order) if (i := self.grams.get(g)) is not None]:
-                return found
-        return []
+def train(df: DataFrame, text: str = "text", lang: str = "lang", told_bytes: int | None = None) -> Model:
+    """A model of all rows of df that have a text and a language; no such rows give a model without languages."""
+    words = written(word_counts(df, text, lang), "words")
+    grams = written(gram_counts(words).withColumn("size", F.length("gram")), "grams")
+    word_totals, gram_totals = (written(t.groupBy("lang", *by).agg(F.sum("n").alias("total")), "totals") for t, by in ((words, []), (grams, ["size"])))
+    langs = sorted(r["lang"] for r in word_totals.collect())
+    words = written(_costs(words, "word", word_totals, langs, []), "word_costs", instead_of=words)
+    grams = written(_costs(grams, "gram", gram_totals, langs, ["size"]), "gram_costs", instead_of=grams)
+    whole = (words.count() + grams.count()) * (8 + 2 * len(langs)) <= (TOLD_BYTES if told_bytes is None else told_bytes)
+    return Model(langs, words, grams, words if whole else words.where("often"), whole)
 
 
 class Scorer:
-    """Scores texts; remembers tokens' summed costs and numbers of scored words."""
-
-    def __init__(self, model: Model):
-        self.model, self.rows = model, {}
-        self.costs = np.zeros((0, len(model.langs) + 1))
-
-    def _learn(self, tokens: list[str]) -> None:
-        m, width = self.model, len(self.model.langs)
-        known: tuple[list, list] = ([], [])
-        back: tuple[list, list, list] = ([], [], [])
-        for i, t in enumerate(tokens):
-            for w in words_of(t):
-                if (k := m.words.get(w)) is not None:
-                    known[0].append(i)
-                    known[1].append(k)
-                elif found := m.backed_off(w):
-                    back[0].append(i)
-                    back[1].extend(found)
-                    back[2].append(len(found))
-        new = np.zeros((len(tokens), width + 1))
-        if known[0]:
-            np.add.at(new, known[0], np.column_stack((m.word_costs[known[1]], np.ones(len(known[0])))))
-        if back[0]:
-            n = np.array(back[2])
-            mean = np.add.reduceat(m.gram_costs[back[1]], np.cumsum(n) - n) / n[:, None]
-            np.add.at(new, back[0], np.column_stack((mean, np.ones(len(n)))))
+    """Sums the costs of texts' words; remembers tokens."""
+
+    def __init__(self, words: Known, grams: Known | None):
+        self.words, self.grams = words, grams  # grams: None where other words are joined to the tables
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        #: Of each remembered token: summed costs, number of scored words, whether it has letters.
+        self.costs = np.zeros((0, self.words.costs.shape[1] + 2), np.int64)
+        self.other: dict[str, list[str]] = {}
+
+    def _backed_off(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(costs, found) of unseen words: the mean of the longest n-grams of which any is known."""
+        costs, found = np.zeros((len(words), self.words.costs.shape[1]), np.int64), np.zeros(len(words), bool)
+        todo = list(range(len(words)))
+        for order in ORDERS:
+            grams = [grams_of(words[i], order) for i in todo]
+            of = np.repeat(np.array(todo, np.int64), [len(g) for g in grams])
+            at = self.grams.find([g for gs in grams for g in gs])
+            known = np.flatnonzero(at >= 0)
+            total = np.zeros_like(costs)
+            np.add.at(total, of[known], self.grams.costs[at[known]].astype(np.int64))
+            n = np.bincount(of[known], minlength=len(words))
+            hit = n > 0
+            costs[hit] = total[hit] * UNIT // n[hit, None]
+            found |= hit
+            todo = [i for i in todo if not hit[i]]
+        return costs, found
+
+    def learn(self, tokens: list[str]) -> None:
+        split = [words_of(t) for t in tokens]
+        words = [w for ws in split for w in ws]
+        of = np.repeat(np.arange(len(tokens)), [len(ws) for ws in split])
+        at = self.words.find(words)
+        new = np.zeros((len(tokens), self.costs.shape[1]), np.int64)
+        new[:, -1] = [bool(ws) for ws in split]
+        known = np.flatnonzero(at >= 0)
+        np.add.at(new, (of[known], slice(0, -2)), self.words.costs[at[known]].astype(np.int64) * UNIT)
+        np.add.at(new[:, -2], of[known], 1)
+        unseen = np.flatnonzero(at < 0)
+        if self.grams is None:
+            for i in unseen.tolist():
+                self.other.setdefault(tokens[of[i]], []).append(words[i])
+        elif len(unseen):
+            costs, found = self._backed_off([words[i] for i in unseen])
+            np.add.at(new, (of[unseen], slice(0, -2)), costs)
+            np.add.at(new[:, -2], of[unseen[found]], 1)
         self.rows.update(zip(tokens, range(len(self.costs), len(self.costs) + len(tokens))))
         self.costs = np.concatenate((self.costs, new))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Languages and scores, each score the best language's share of the mean word's likelihood."""
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, list[Counter]]:
+        """For each text the summed costs, number of scored words and of tokens with letters; and how often each word comes that is still to be joined."""
         split = [(t or "").lower().split() for t in texts]
         if len(self.rows) > MOST_KEYS:
-            self.rows, self.costs = {}, self.costs[:0]
-        self._learn([t for t in {t for s in split for t in s} if t not in self.rows])
-        langs, scores = [], []
-        for text, tokens in zip(texts, split):
-            total = self.costs[np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))].sum(0)
-            if not self.model.langs or not any(words_of(t) for t in tokens):
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            cost = total[:-1] / max(total[-1], 1)
-            share = 10 ** (cost.min() - cost)
-            langs.append(self.model.langs[int(cost.argmin())])
-            scores.append(float(1 / share.sum()))
-        return langs, scores
-
-
-def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model of all rows of df that have a text and a language; no such rows give a model without languages."""
-    spark = df.sparkSession
-    batch_rows(spark, 512)
-    words = written(word_counts(df, text, lang), "words")
-    batch_rows(spark, 10_000)
-    grams = written(gram_counts(words).withColumn("size", F.length("gram")), "grams")
-    return Model(_known(words, "word", []), _known(grams, "gram", ["size"]))
+            self.clear()
+        self.learn([t for t in {t for s in split for t in s} if t not in self.rows])
+        out, other = np.zeros((len(texts), self.costs.shape[1]), np.int64), []
+        for i, tokens in enumerate(split):
+            out[i] = self.costs[np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))].sum(0)
+            other.append(Counter(w for t in tokens if t in self.other for w in self.other[t]) if self.other else Counter())
+        return out, other
+
+
+def _joined(summed: DataFrame, model: Model) -> DataFrame:
+    """summed with the costs of other words added: those of known words, else of n-grams, by joins."""
+    langs = range(len(model.langs))
+    pairs = summed.select("at", F.explode("other").alias("o")).select("at", "o.word", "o.k")
+    pairs = written(pairs, "pairs")
+    words = pairs.select("word").distinct()
+    known = words.join(model.words, "word").select("word", *[(F.col(f"c{i}").cast("long") * UNIT).alias(f"c{i}") for i in langs])
+    unseen = words.join(model.words.select("word"), "word", "left_anti")
+    grams_sql = [f"transform(sequence(1, length(word) + 3 - {o}), i -> substr(concat(' ', word, ' '), i, {o}))" if o > 1 else "transform(sequence(1, length(word)), i -> substr(word, i, 1))" for o in ORDERS]
+    each = unseen.where("length(word) > 0").select("word", F.explode(F.array(*[F.struct(F.lit(o).alias("size"), F.expr(f"if(length(word) + 3 > {o}, {g}, CAST(array() AS ARRAY<STRING>))").alias("grams")) for o, g in zip(ORDERS, grams_sql)])).alias("g"))
+    each = each.select("word", "g.size", F.explode("g.grams").alias("gram"))
+    sums = each.join(model.grams, "gram").groupBy("word", "size").agg(F.count("*").alias("n"), *[F.sum(F.col(f"c{i}").cast("long")).alias(f"c{i}") for i in langs])
+    best = sums.groupBy("word").agg(F.expr(f"max_by(struct(n, {', '.join(f'c{i}' for i in langs) or '0 AS none'}), size)").alias("b"))
+    off = best.select("word", *[F.expr(f"(b.c{i} * {UNIT}) div b.n").alias(f"c{i}") for i in langs])
+    added = pairs.join(known.unionByName(off), "word").groupBy("at").agg(F.sum("k").alias("more"), *[F.sum(F.col("k") * F.col(f"c{i}")).alias(f"m{i}") for i in langs])
+    x = summed.join(added, "at", "left")
+    sums = F.array(*[F.col("sums")[i] + F.coalesce(f"m{i}", F.lit(0)) for i in langs]).cast("array<long>")
+    return x.select("row", sums.alias("sums"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "letters")
 
 
 def identified(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, lang_pred, score): kept columns (all if None) and the language of each whole text.
 
-    und with score 0 where the text is null or has no letter. Letters that no
+    The score is the best language's share of the mean word's likelihood. und
+    with score 0 where the text is null or has no letter. Letters that no
     training text had leave the languages tied; ties go to the first by name.
     Rows are treated one by one.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    words, grams = model.table(model.told, "word"), model.table(model.grams, "gram") if model.whole else None
+    shared = spark.sparkContext.broadcast((words, grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(*shared.value)
         for b in chunks(batches, "text"):
-            langs, scores = scorer.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+            sums, other = scorer.sums(b.column("text").to_pylist())
+            width = sums.shape[1] - 2
+            costs = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(sums[:, :width]).ravel()))
+            left = pa.array([[{"word": w, "k": k} for w, k in c.items()] for c in other], pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([b.column("row"), costs, pa.array(sums[:, -2]), pa.array(sums[:, -1] > 0), left], ["row", "sums", "n", "letters", "other"])
 
-    batch_rows(spark, 512)
     x = df.select(F.struct(*[F.col(f"`{k}`") for k in (df.columns if keep is None else keep)]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    return x.mapInArrow(run, f"row {x.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    x = x.mapInArrow(run, f"row {x.schema['row'].dataType.simpleString()}, sums array<long>, n long, letters boolean, other array<struct<word: string, k: long>>")
+    if not model.whole:
+        x = _joined(written(x.withColumn("at", F.monotonically_increasing_id()), "summed"), model)
+    if not model.langs:
+        return x.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    names = F.array(*[F.lit(lang) for lang in model.langs])
+    least = F.array_min("sums")
+    share = F.aggregate("sums", F.lit(0.0), lambda a, c: a + F.pow(F.lit(10.0), (least - c) / (F.greatest("n", F.lit(1)) * (1000.0 * UNIT))))
+    best = F.element_at(names, F.array_position("sums", least).cast("int"))
+    return x.select("row", F.when(F.col("letters"), best).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), 1 / share).otherwise(0.0).alias("score"))
 
 
 HELD_OUT = "coalesce(crc32(CAST(doc_id AS STRING)) % 4 = 2, false)"

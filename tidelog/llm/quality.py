@@ -3,11 +3,13 @@
 Every document gets integer measures. For each (language, source) and
 measure a quantile sketch is kept: counts by log-linear bucket, exact below
 64 and within 1/32 above. Sketches merge by adding counts, so they are plain
-partial aggregates and a hot source costs no more than any other. A group of
-few documents takes the merged sketch of its language, and a rare language
-that of the corpus. A document is kept if it passes the fixed base rule and
-no measure lies beyond its group's fence: upper quartile + max(3 * quartile
-range, slack).
+partial aggregates and a hot source costs no more than any other. A sketch's
+fence is its upper quartile plus the most of four quartile ranges, half the
+upper quartile, and a floor for groups whose quartiles agree. A group's own
+fence is blended with that of its language, and this with that of the corpus,
+by weight: documents against WEIGHT, so that few documents lean on many and
+no size is a switch. A document is kept if it passes the fixed base rule and
+no measure lies beyond its group's fence.
 
 Only DataFrame and SQL functions run.
 """
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import documents, written
 
-#: Measures held against a fence, with the least distance of it from the upper quartile.
-SLACK = {"symbols_pm": 150, "upper_pm": 250, "repeat_pm": 350, "dup_lines_pm": 600, "word_len_pc": 500}
-#: A (language, source) or language with fewer documents takes the wider sketch.
-MIN_GROUP = 50
+#: Measures held against a fence, with the floor of its distance from the upper quartile.
+FLOOR = {"symbols_pm": 20, "upper_pm": 30, "repeat_pm": 300, "dup_lines_pm": 350, "word_len_pc": 50}
+#: How many documents the wider sketch counts for beside a group's own.
+WEIGHT = 50
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 _SPACE = r"[\\x20\\x09-\\x0D]+"
@@ -36,7 +38,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     their places, neighbours compared, and the places found are widened to
     the words that they cover.
     """
-    x = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    x = df.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     x = x.selectExpr("row", "t", f"filter(split(t, '{_SPACE}'), w -> w != '') AS w", f"filter(split(t, '\n'), s -> regexp_replace(s, '{_SPACE}', '') != '') AS l")
     pairs = "zip_with(w, slice(w, 2, greatest(size(w), 1)), (a, b) -> concat(a, ' ', b))"
     threes = f"slice(zip_with({pairs}, slice(w, 3, greatest(size(w), 1)), (a, b) -> concat(a, ' ', b)), 1, greatest(size(w) - 2, 0))"
@@ -80,32 +82,34 @@ def _fences(cells: DataFrame, by: list[str]) -> DataFrame:
     quart = ranked.groupBy(*by, "measure").agg(
         F.expr("min(cell) FILTER (WHERE upto * 4 >= total)").alias("q1"), F.expr("min(cell) FILTER (WHERE upto * 4 >= total * 3)").alias("q3"), F.max("total").alias("docs")
     )
-    fence = [F.expr(f"max(q3 + greatest(3 * (q3 - q1), {slack})) FILTER (WHERE measure = '{m}')").alias(f"{m}_most") for m, slack in SLACK.items()]
+    fence = [F.expr(f"max(q3 + greatest(4 * (q3 - q1), q3 div 2, {floor})) FILTER (WHERE measure = '{m}')").alias(f"{m}_most") for m, floor in FLOOR.items()]
     return quart.groupBy(*by).agg(F.max("docs").alias("docs"), *fence)
 
 
-def rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+def rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, weight: int = WEIGHT) -> DataFrame:
     """df's rows as (row, counts, fences, base_failed, kept).
 
     row holds the columns in keep (all, if None), so extra columns may have
     any name. Null languages and sources are groups of their own; null, empty
     and short texts fail the base rule; repeated rows are judged one by one,
     and all alike; an empty table gives no rows. Groups are ranked on the
-    whole table.
+    whole table. weight: how many documents a group's language, and a
+    language's corpus, count for beside its own; 0 gives each group its own
+    fence alone.
     """
-    spark = df.sparkSession
     carried = F.struct(*[F.col(f"row.`{c}`") for c in (df.columns if keep is None else keep)])
     x = measured(df, text).select(carried.alias("row"), "counts", F.col(f"row.`{lang}`").cast("string").alias("lang"), F.col(f"row.`{source}`").cast("string").alias("source"))
     x = written(x, "quality")
     stacked = ", ".join(f"'{m}', {v}" for m, v in _measures("counts").items())
-    cells = x.selectExpr("lang", "source", f"stack({len(SLACK)}, {stacked}) AS (measure, v)").selectExpr("lang", "source", "measure", f"{bucket('v')} AS cell")
+    cells = x.selectExpr("lang", "source", f"stack({len(FLOOR)}, {stacked}) AS (measure, v)").selectExpr("lang", "source", "measure", f"{bucket('v')} AS cell")
     cells = written(cells.groupBy("lang", "source", "measure", "cell").agg(F.count("*").alias("n")), "sketches")
     own, by_lang, whole = (_fences(cells.withColumn("one", F.lit(1)), by) for by in (["one", "lang", "source"], ["lang"], ["one"]))
-    names = [f"{m}_most" for m in SLACK]
+    names = [f"{m}_most" for m in FLOOR]
     pick = lambda a: [F.col(f"{a}.docs").alias(f"{a}_docs"), F.struct(*[F.col(f"{a}.{n}") for n in names]).alias(a)]
-    fences = own.alias("own").join(by_lang.alias("lng"), F.expr("own.lang <=> lng.lang")).join(whole.alias("all"), F.expr("own.one = all.one"))
-    fences = fences.select("own.lang", "own.source", *[c for a in ("own", "lng", "all") for c in pick(a)])
-    fences = fences.selectExpr("lang", "source", f"CASE WHEN own_docs >= {MIN_GROUP} THEN own WHEN lng_docs >= {MIN_GROUP} THEN lng ELSE all END AS fences")
+    fences = own.alias("own").join(by_lang.alias("lng"), F.expr("own.lang <=> lng.lang"))
+    fences = fences.select("own.lang", "own.source", "own.one", *pick("own"), *pick("lng")).join(whole.alias("all").select("one", *pick("all")), "one")
+    blend = lambda n: f"(own_docs * own.{n} + {weight} * ((lng_docs * lng.{n} + {weight} * all.{n}) div (lng_docs + {weight}))) div (own_docs + {weight}) AS {n}"
+    fences = fences.selectExpr("lang", "source", f"struct({', '.join(map(blend, names))}) AS fences")
     fences = written(fences, "fences")
     x = x.alias("x").join(fences.alias("f"), F.expr("x.lang <=> f.lang AND x.source <=> f.source")).select("row", "counts", "fences")
     failed = "(counts.n_words < 50 OR 100 * counts.n_repeat_words > 50 * counts.n_words)"
@@ -116,12 +120,12 @@ def rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the measures' fences."""
     out = rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), keep=["doc_id"])
-    return out.select("row.doc_id", *[f"counts.{c}" for c in _COUNTS[:5]], "base_failed", "kept", *[f"fences.{m}_most" for m in SLACK])
+    return out.select("row.doc_id", *[f"counts.{c}" for c in _COUNTS[:5]], "base_failed", "kept", *[f"fences.{m}_most" for m in FLOOR])
 
 
 def _sql_fences(by: str) -> str:
     on = f"{by}, " if by else ""
-    fences = ", ".join(f"max(q3 + greatest(3 * (q3 - q1), {s})) FILTER (measure = '{m}') AS {m}_most" for m, s in SLACK.items())
+    fences = ", ".join(f"max(q3 + greatest(4 * (q3 - q1), q3 // 2, {s})) FILTER (measure = '{m}') AS {m}_most" for m, s in FLOOR.items())
     return f"""SELECT {on}max(total) AS docs, {fences} FROM (
         SELECT {on}measure, min(cell) FILTER (upto * 4 >= total) AS q1, min(cell) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS total FROM (
             SELECT {on}measure, cell, sum(n) OVER (PARTITION BY {on}measure ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {on}measure) AS total
@@ -155,11 +159,11 @@ cells AS (
         {" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {v} AS v FROM counts" for m, v in _SQL_MEASURES.items())})),
 own AS ({_sql_fences("lang, source")}), lng AS ({_sql_fences("lang")}), whole AS ({_sql_fences("")}),
 fences AS (
-    SELECT own.lang, own.source, {", ".join(f"CAST(CASE WHEN own.docs >= {MIN_GROUP} THEN own.{m}_most WHEN lng.docs >= {MIN_GROUP} THEN lng.{m}_most ELSE whole.{m}_most END AS BIGINT) AS {m}_most" for m in SLACK)}
+    SELECT own.lang, own.source, {", ".join(f"CAST((own.docs * own.{m}_most + {WEIGHT} * ((lng.docs * lng.{m}_most + {WEIGHT} * whole.{m}_most) // (lng.docs + {WEIGHT}))) // (own.docs + {WEIGHT}) AS BIGINT) AS {m}_most" for m in FLOOR)}
     FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang CROSS JOIN whole)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {" AND ".join(f"{v} <= {m}_most" for m, v in _SQL_MEASURES.items())} AS kept,
-       {", ".join(f"{m}_most" for m in SLACK)}
+       {", ".join(f"{m}_most" for m in FLOOR)}
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts) c
 JOIN fences f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
 """

@@ -5,8 +5,11 @@ that promise a secret. A forest trained on labelled findings judges each by
 its length, its character transitions, how much of it dictionary words cover,
 the path, and the neighbouring words.
 
-The dictionary holds the corpus's own frequent words: at least one part in
-DICTIONARY of all words, so at most DICTIONARY words whatever the corpus. The
+A dictionary word is a word of letters only, marks at its ends aside, that
+comes at least twice and makes up at least one part in DICTIONARY of all such
+words of all texts: that is what the word means here, at every size, and it
+keeps the dictionary to DICTIONARY words, as large as a printed one. What is
+inside longer tokens counts for nothing, so secrets do not make words. The
 labelled findings are FINDINGS made cases, half of them real: a documented
 bound.
 """
@@ -17,6 +20,8 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import takewhile
 
@@ -27,11 +32,11 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import batch_rows, documents, written
-from tidelog.llm.langid import word_counts
+from tidelog.llm.common import documents, written
+from tidelog.llm.langid import plain_word, word_counts
 from tidelog.llm.textarrays import chunks
 
-DICTIONARY = 20_000
+DICTIONARY = 200_000
 FINDINGS = 6_000
 TREES, DEPTH = 40, 8
 
@@ -43,8 +48,8 @@ PLAIN_PATHS = "test tests example examples doc docs sample fixture mock".split()
 #: A run ends where '=' assigns; '=' at its end is padding.
 _RUN = re.compile(r"[A-Za-z0-9+/_\-.]{16,}={0,2}(?![A-Za-z0-9+/_\-.])|={16,}|[A-Za-z0-9+/_\-.]{16,}")
 #: The value ends before the next field of a query string.
-_ASSIGNED = re.compile(r"(?i)(?:token|secret|(?:api|access|private|secret|auth)[_-]?key|passw(?:or)?d|pwd|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?((?:(?!&[\w.\-]+=)[^\s\"']){6,})")
-_NAME = re.compile(r"[A-Za-z0-9_\-.]*$")
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|(?:api|access|private|secret|auth)[_-]?key|passw(?:or)?d|pwd|credential)s?[\"']?\s*+[:=]\s*+[\"']?((?:(?!&[\w.\-]+=)[^\s\"']){6,})")
+_NAME = frozenset(string.ascii_letters + string.digits + "_-.")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|_+")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _PART = re.compile(r"[a-z]{3,}")
@@ -53,8 +58,12 @@ FEATURES = ("length", "changes", "digits", "upper", "symbols", "hex", "entropy",
 
 def candidate_spans(text: str) -> list[tuple[int, int]]:
     """Spans to judge, in order and apart: assigned values, and what these and their names leave of token runs that are no plain word."""
-    found = list(_ASSIGNED.finditer(text))
-    taken = [(_NAME.search(text, max(0, m.start() - 100), m.start()).start(), m.end(1)) for m in found]
+    found, taken = list(_ASSIGNED.finditer(text)), []
+    for m in found:
+        at, least = m.start(), taken[-1][1] if taken else 0
+        while at > least and text[at - 1] in _NAME:
+            at -= 1
+        taken.append((at, m.end(1)))
     out, k = [m.span(1) for m in found], 0
     for m in _RUN.finditer(text):
         s, e = m.span()
@@ -67,29 +76,66 @@ def candidate_spans(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def covered(value: str, words: frozenset[str]) -> float:
-    """The share of characters inside dictionary words of three letters or more, longest first."""
+class Dictionary:
+    """Words of three letters or more, and the lengths that they have, longest first."""
+
+    def __init__(self, words):
+        self.words = frozenset(words)
+        self.lengths = sorted({len(w) for w in self.words}, reverse=True)
+
+
+def covered(value: str, words: Dictionary) -> float:
+    """The share of characters inside dictionary words, longest first."""
     found = 0
     for part in _PART.findall(value.lower()):
         i = 0
+        lengths = [n for n in words.lengths if n <= len(part)]
         while i + 3 <= len(part):
-            n = next((k for k in range(min(12, len(part) - i), 2, -1) if part[i : i + k] in words), 0)
+            n = next((k for k in lengths if i + k <= len(part) and part[i : i + k] in words.words), 0)
             found += n
             i += n or 1
     return found / max(1, len(value))
 
 
-def features(value: str, before: str, after: str, path: str, words: frozenset[str]) -> list[float]:
+class Surroundings:
+    """Where the words of a text are, for the neighbours of its candidates."""
+
+    def __init__(self, text: str):
+        self.text = text
+        spans = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+
+    def words(self, start: int, end: int) -> list[str]:
+        """The four words before a span and the two after it, however far."""
+        i, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        return [self.text[self.starts[k] : self.ends[k]] for k in [*range(max(0, i - 4), i), *range(j, min(j + 2, len(self.starts)))]]
+
+    def assigned(self, start: int) -> bool:
+        """Whether : or = stands before a place, a quotation mark and white space aside."""
+        at = start - (self.text[start - 1 : start] in ("'", '"') and start > 0)
+        while at > 0 and self.text[at - 1].isspace():
+            at -= 1
+        return at > 0 and self.text[at - 1] in ":="
+
+
+def features(value: str, before: str, after: str, path: str, words) -> list[float]:
+    """FEATURES, in order, of a value between the text before and after it; words: a Dictionary, or any words."""
+    return span_features(Surroundings(before + value + after), len(before), len(before) + len(value), path, words if isinstance(words, Dictionary) else Dictionary(words))
+
+
+def span_features(around: Surroundings, start: int, end: int, path: str, words: Dictionary) -> list[float]:
+    """FEATURES of the candidate at a span of a text."""
+    value = around.text[start:end]
     n = max(1, len(value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
-    counts = [value.count(c) for c in set(value)]
-    names = _WORD.findall(before)[-4:] + _WORD.findall(after)[:2]
-    near = [p.lower() for w in names for p in (w, *_HUMP.split(w))]
+    counts = list(Counter(value).values())
+    near = [p.lower() for w in around.words(start, end) for p in (w, *_HUMP.split(w))]
+    quoted = start > 0 and around.text[start - 1] in "\"'" and around.text[end : end + 1] in ("'", '"')
     return [
-        float(min(n, 200)), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("s") / n,
+        float(n), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("s") / n,
         sum(c in string.hexdigits for c in value) / n, -sum(k / n * math.log2(k / n) for k in counts), len(counts) / n, covered(value, words),
-        float(value.count("/")), float(value.count(".")), float(value.count("-")), float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(before) and bool(after)),
-        float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(any(w in CUES for w in near)), float(any(w in HARMLESS for w in near)), float(any(p in PLAIN_PATHS for p in re.split(r"[^a-z]+", path.lower()))),
+        float(value.count("/")), float(value.count(".")), float(value.count("-")), float(quoted),
+        float(around.assigned(start)), float(any(w in CUES for w in near)), float(any(w in HARMLESS for w in near)), float(any(p in PLAIN_PATHS for p in re.split(r"[^a-z]+", path.lower()))),
     ]
 
 
@@ -141,24 +187,24 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
         spans = [(s, e) for s, e in candidate_spans(text) if s < at + len(value) and e > at]
         if spans and (not real or spans == [(at, at + len(value))]):
             s, e = spans[0]
-            out.append((text[s:e], text[max(0, s - 60) : s], text[e : e + 30], path, real))
+            out.append((text[s:e], text[:s], text[e:], path, real))
     return out
 
 
-def dictionary(df: DataFrame, text: str = "text") -> frozenset[str]:
-    """Words of at least one part in DICTIONARY of all words of the texts."""
-    batch_rows(df.sparkSession, 512)
-    counts = written(word_counts(df.select(F.lit("").alias("lang"), F.col(f"`{text}`").alias("text")), "text", "lang").select("word", "n"), "dictionary")
-    whole = counts.agg(F.sum("n")).first()[0] or 0
-    return frozenset(r[0] for r in counts.where(F.col("n") * DICTIONARY >= whole).where(F.length("word") >= 3).select("word").collect())
+def dictionary(df: DataFrame, text: str = "text") -> Dictionary:
+    """Words that come twice or more and make up at least one part in DICTIONARY of the plain words of the texts."""
+    plain = word_counts(df.select(F.lit("").alias("lang"), F.col(f"`{text}`").alias("text")), "text", "lang", plain_word)
+    counts = written(plain.select("word", "n"), "dictionary")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return Dictionary(r[0] for r in counts.where((F.col("n") > 1) & (F.col("n") * DICTIONARY >= total) & (F.length("word") >= 3)).select("word").collect())
 
 
-def forest(spark, words: frozenset[str]) -> RandomForestClassificationModel:
+def forest(spark, words) -> RandomForestClassificationModel:
     rows = [(DenseVector(features(v, b, a, p, words)), float(y)) for v, b, a, p, y in labelled_findings()]
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=3).fit(spark.createDataFrame(rows, ["features", "label"]))
 
 
-def candidates(df: DataFrame, words: frozenset[str], text: str, path: str | None, keep: list[str]) -> DataFrame:
+def candidates(df: DataFrame, words: Dictionary, text: str, path: str | None, keep: list[str]) -> DataFrame:
     """(row, start, end, value, features) for each candidate in the whole texts."""
     shared = df.sparkSession.sparkContext.broadcast(words)
 
@@ -167,14 +213,14 @@ def candidates(df: DataFrame, words: frozenset[str], text: str, path: str | None
         for b in chunks(batches, "text"):
             at, rows = [], []
             for i, (t, p) in enumerate(zip(b.column("text").to_pylist(), b.column("path").to_pylist())):
-                for s, e in candidate_spans(t or ""):
-                    at.append(i)
-                    rows.append((s, e, t[s:e], features(t[s:e], t[max(0, s - 60) : s], t[e : e + 30], p or "", known)))
+                if spans := candidate_spans(t or ""):
+                    around = Surroundings(t)
+                    at += [i] * len(spans)
+                    rows += [(s, e, t[s:e], span_features(around, s, e, p or "", known)) for s, e in spans]
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.float64()))], ["row", "start", "end", "value", "features"])
 
     x = df.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), (F.col(f"`{path}`").cast("string") if path else F.lit("")).alias("path"))
-    batch_rows(df.sparkSession, 512)
     return x.mapInArrow(run, f"row {x.schema['row'].dataType.simpleString()}, start long, end long, value string, features array<double>")
 
 
@@ -183,7 +229,8 @@ def findings(df: DataFrame, text: str = "text", path: str | None = "source", kee
 
     Offsets are in code points, end exclusive. Null and empty texts have no
     candidates, nor has an empty table; a null path says nothing; repeated
-    rows are judged alike. keep: columns carried in row (all if None).
+    rows are judged alike; secret is true from probability 0.5 on, ties
+    included. keep: columns carried in row (all if None).
     """
     words = dictionary(df, text)
     found = candidates(df, words, text, path, df.columns if keep is None else keep)
@@ -209,6 +256,10 @@ def redacted(df: DataFrame, text: str = "text", path: str | None = "source", mas
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """doc_id, start, end, value_sha256, probability, secret for every candidate finding in every document."""
+    """doc_id, start, end, value_sha256, probability, secret for every candidate finding in every document.
+
+    Null and empty texts and an empty table have none; a repeated row has its
+    findings again; a null source says nothing; other columns are ignored.
+    """
     x = findings(documents(spark, sf_dir).select("doc_id", "text", "source"), keep=["doc_id"])
     return x.select("row.doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "secret")
