@@ -99,15 +99,24 @@ def test_crossovers_make_the_result():
     assert tally[0] > 0 and packing.fitness(out[0], lengths, 1000)[0] < packing.fitness(first, lengths, 1000)[0]
 
 
-def test_blocks_together_use_no_more_than_one_greedy_packing(spark, monkeypatch):
+def test_levels_win_back_what_blocks_lose(spark, monkeypatch):
+    """Blocks so small that each alone wastes half a bin; what is left over the lower bound is one bin at most."""
     monkeypatch.setattr(packing, "BLOCK", 150)
     monkeypatch.setattr(packing, "FAN", 4)
     r = random.Random(7)
     lengths = [min(2048, int(r.lognormvariate(5.9, 0.9)) + 1) for _ in range(2500)]
-    cut = spark.createDataFrame([(i, 0, 0, n, i, r.getrandbits(62)) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long, deal long")
-    got = packing.pack(cut).collect()
+    rows = [(i, 0, 0, n, i, r.getrandbits(62)) for i, n in enumerate(lengths)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, deal long")).collect()
     assert sorted(x["doc_id"] for x in got) == list(range(2500))
-    assert bins_of(got, 2048) <= greedy(lengths, 2048)
+    blocks = -(-2500 // 150)
+    apart = sum(greedy([x[3] for x in rows if x[5] % blocks == b], 2048) for b in range(blocks))
+    assert bins_of(got, 2048) < apart and bins_of(got, 2048) <= -(-sum(lengths) // 2048) + 1
+
+
+def test_real_lengths_take_no_more_than_best_fit(spark):
+    cut = packing.pieces(common.documents(spark, "/root/testdata/sf0.1"))
+    lengths = [r["length"] for r in cut.select("length").collect()]
+    assert packing.pack(cut).select("sequence_id").distinct().count() <= greedy(lengths, 2048)
 
 
 RUNS = {"letters": "ab", "one letter": "a", "spaces": " ", "lines": "\n", "digits": "12", "marks": "=-", "words": "the word ", "wide": "中", "mixed space": " \n\t"}

@@ -37,7 +37,7 @@ BLOCK, ISLANDS, EPOCHS = 4096, 4, 3
 POPULATION = 4
 #: Generations without progress that end an epoch.
 STALE = 12
-#: Blocks that share a block of the next level, to which each gives one part in so many of its bins.
+#: Blocks that share a block of the next level, to which each gives one part in so many of its bins at least, and a quarter at most.
 FAN = 16
 #: Texts of more characters go to the slower encoder, whose pre-splitting needs no deep stack; tests hold both to the same ids.
 LONG_TEXT = 1_000_000
@@ -227,8 +227,8 @@ def _epoch(capacity: int, epoch: int, last: bool):
     return run
 
 
-def _unpacked(share: int):
-    """(block, bins, given): the bin of each piece in order, and whether it goes to the next level: those in the emptiest bins, one in share; 0: none."""
+def _unpacked(capacity: int, share: int):
+    """(block, bins, given): the bin of each piece in order, and whether it goes to the next level: those in the emptiest bins, one in share, and in others with room, one in four in all; share 0: none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,7 +237,8 @@ def _unpacked(share: int):
                 fill = np.bincount(bins, lengths)
                 goes = np.zeros(len(fill), bool)
                 if share:
-                    goes[np.argsort(fill, kind="stable")[: max(1, len(fill) // share)]] = True
+                    room = int((fill < capacity).sum())
+                    goes[np.argsort(fill, kind="stable")[: max(1, len(fill) // share, min(room, len(fill) // 4))]] = True
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[i].as_py()], pa.int64()), pa.array([bins], pa.list_(pa.int32())), pa.array([goes[bins]], pa.list_(pa.bool_()))], ["block", "bins", "given"])
 
     return run
@@ -255,7 +256,7 @@ def solved(items: DataFrame, capacity: int, give: bool) -> DataFrame:
         now = now.select("block", "island", "lengths", "crossovers", "population").repartition("block", "island")
         now = before = written(now.mapInArrow(_epoch(capacity, epoch, epoch == EPOCHS - 1), _STATE), "islands", instead_of=before)
     best = now.groupBy("block").agg(F.expr("min_by(struct(lengths, population[0] AS best), struct(used, waste, island)) AS b")).select("block", "b.lengths", "b.best")
-    told = best.mapInArrow(_unpacked(FAN if give else 0), "block long, bins array<int>, given array<boolean>")
+    told = best.mapInArrow(_unpacked(capacity, FAN if give else 0), "block long, bins array<int>, given array<boolean>")
     return told.selectExpr("block", "posexplode(arrays_zip(bins, given)) AS (pos, p)").selectExpr("block", "pos", "p.bins AS bin", "p.given AS given")
 
 
