@@ -126,7 +126,7 @@ def test_reliability_of_a_noisy_labeler():
 # Jaccard
 
 
-def brute_components(rows, width=3):
+def brute_components(rows, width=3, per_cent=90):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
@@ -141,7 +141,7 @@ def brute_components(rows, width=3):
 
     for a, x in sets:
         for b, y in sets:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= per_cent * len(x | y):
                 p, q = sorted((top(a), top(b)))
                 up[q] = p
     return sorted((str(i), len(s), str(None if i is None else top(i))) for i, s in sets)
@@ -430,7 +430,7 @@ def test_pipeline_stages(spark, sf, texts):
     good = {r["doc_id"] for r in registry.QUERIES["op2_quality_rules"](spark, sf).where("kept").collect()}
     assert ids[1] == good
     rows = [(i, texts[i]) for i in ids[2]]
-    assert ids[3] == {int(c) for _, _, c in brute_components(rows)}
+    assert ids[3] == {int(c) for _, _, c in brute_components(rows, 5, 80)}
     masked = {r["doc_id"]: r["text"] for r in kept[4].collect()}
     assert masked == {i: re.sub(r'(?i)(token = ")[0-9a-f]{40}', r"\1[secret]", texts[i]) for i in ids[3]}
     assert ids[5] == ids[4]
