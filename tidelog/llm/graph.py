@@ -17,20 +17,18 @@ def _both(e: DataFrame) -> DataFrame:
     return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _told(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
-    """(u, v, m): edges with m of least (u, m, d) by u.
+def _told(edges: DataFrame, least: DataFrame, hubs: list[int]) -> DataFrame:
+    """(u, v, m): edges with m of least (u, m) by u.
 
-    Edges of a hub, a vertex with more than most edges, are dealt to several
-    tasks and its minimum is sent to each. Hubs are at most 2 * edges / most,
-    which components() keeps to twice the number of partitions: a safe
-    broadcast.
+    Edges of hubs are dealt to several tasks and their minima sent to each.
     """
-    hubs = F.broadcast(least.where(F.col("d") > most).select("u", F.lit(True).alias("hub")))
-    part = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SPREAD))).otherwise(0).cast("int")
-    parts = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    dealt = edges.join(hubs, "u", "left").select("u", part.alias("part"), "v")
-    sent = least.join(hubs, "u", "left").select("u", F.explode(parts).alias("part"), "m")
-    return dealt.join(sent, ["u", "part"]).select("u", "v", "m")
+    if not hubs:
+        return edges.join(least, "u").select("u", "v", "m")
+    hub = F.col("u").isin(hubs)
+    part = F.when(hub, F.pmod(F.xxhash64("v"), F.lit(SPREAD))).otherwise(0).cast("int")
+    parts = F.when(hub, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    sent = least.select("u", F.explode(parts).alias("part"), "m")
+    return edges.select("u", part.alias("part"), "v").join(sent, ["u", "part"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,18 +40,18 @@ def components(edges: DataFrame) -> DataFrame:
     so no vertex is a hot task. Null and repeated edges and loops are allowed;
     no edges give no rows.
     """
-    spark = edges.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = written(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "edges")
     seen, count = None, e.count()
     while True:
-        most = max(FEW_EDGES, count // parts)
         near = _both(e)
-        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).selectExpr("u", "least(u, m) AS m", "d")
-        large = _told(near.where("v > u"), least, most).selectExpr("v AS u", "m AS v")
+        many = near.groupBy("u").count().where(F.col("count") > max(FEW_EDGES, count // parts))
+        hubs = [r["u"] for r in many.select("u").collect()]  # at most 2 * parts, since each has count // parts edges of 2 * count
+        least = near.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+        large = _told(near.where("v > u"), least, hubs).selectExpr("v AS u", "m AS v")
         down = large.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-        small = _told(down, least, most).selectExpr("v AS u", "m AS v").union(least.selectExpr("u", "m AS v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = _told(down, least, hubs).selectExpr("v AS u", "m AS v").union(least.selectExpr("u", "m AS v"))
         e = written(small.where("u <> v").distinct(), "edges", instead_of=e)
         state = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == seen:
