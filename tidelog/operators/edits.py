@@ -33,3 +33,42 @@ def inserted(items: DataFrame, key: list[str], after: str, order: str, base: Col
     by = ", ".join(key)
     x = items.withColumn("n", F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY {order})"))
     return x.withColumn("op", base + F.col("n")).withColumn("ref", F.when(F.col("n") == 1, F.col(after)).otherwise(base + F.col("n") - 1)).drop("n")
+
+
+def placed_after(ops: DataFrame, known: DataFrame, key: list[str], ref: str = "ref", op: str = "op") -> DataFrame:
+    """ops, with the job failing where one stands after or removes an op that known (key, op) lacks and that is not among ops."""
+    there = known.select(*key, op).unionByName(ops.select(*key, op)).distinct().select(*key, F.col(op).alias(ref), F.lit(True).alias("_there"))
+    x = ops.join(there, [*key, ref], "left")
+    found = F.coalesce("_there", F.col(ref) == 0)
+    return x.withColumn(ref, F.when(found, F.col(ref)).otherwise(F.raise_error(F.concat(F.lit("no op "), F.col(ref).cast("string"))))).drop("_there").select(*ops.columns)
+
+
+def tree_removed(nodes: DataFrame, match: Column, base: Column, key: list[str], op: str = "op") -> DataFrame:
+    """(key, op, parent, value): an empty child of each node that matches, which deletes it; events from base + 1 on in order of the nodes."""
+    n = F.expr(f"row_number() OVER (PARTITION BY {', '.join(key)} ORDER BY {op})")
+    return nodes.where(match).select(*key, (base + n).cast("long").alias("op"), F.col(op).alias("parent"), F.lit(None).cast("string").alias("value"))
+
+
+def tree_edited(ops: DataFrame, key: list[str], base: Column) -> DataFrame:
+    """List edits (key, op, ref, value) as a causal tree's: removals become empty children with events of their own after the inserts'."""
+    inserts = ops.where("value IS NOT NULL")
+    last = inserts.groupBy(*key).agg(F.max("op").alias("_last"))
+    gone = ops.where("value IS NULL").join(last, key, "left").withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY {', '.join(key)} ORDER BY ref)"))
+    gone = gone.select(*key, (F.coalesce("_last", base) + F.col("_n")).cast("long").alias("op"), F.col("ref").alias("parent"), F.lit(None).cast("string").alias("value"))
+    return inserts.select(*key, F.col("op").cast("long").alias("op"), F.col("ref").alias("parent"), "value").unionByName(gone)
+
+
+def added(items: DataFrame, key: list[str], order: list[str], payload: list[str], base: Column) -> DataFrame:
+    """(key, op, payload): each item of a set or map as an op of its own after base, its id the item's; payload: its columns as text, in order."""
+    n = F.expr(f"row_number() OVER (PARTITION BY {', '.join(key)} ORDER BY {', '.join(order)})")
+    return items.select(*key, (base + n).cast("long").alias("op"), F.array(*[F.col(c).cast("string") for c in payload]).alias("payload"))
+
+
+def vector(times: DataFrame, key: list[str], replica: str, time: str) -> DataFrame:
+    """(key, op, ref, replica): a version vector as ops, one a replica with its time as the id."""
+    return times.select(*key, F.col(time).alias("op"), F.lit(0).cast("long").alias("ref"), F.col(replica))
+
+
+def children(log: DataFrame, object: str, op: str, parent: str) -> DataFrame:
+    """(object, parent, ops): the children of each node of a grow-only tree in order; the object's own creation is no child."""
+    return log.where(F.col(op) != F.col(object)).groupBy(object, parent).agg(F.array_sort(F.collect_set(op)).alias("ops"))

@@ -51,10 +51,33 @@ def _zipped(a: list, b: list) -> list:
     return list(dict.fromkeys(out + a[i:] + b[j:]))
 
 
-def _attach(target: list, parent, patch: list) -> list:
-    """target with patch after parent, merged with what stands there."""
-    at = target.index(parent) + 1
-    return list(dict.fromkeys(target[:at] + _zipped(target[at:], patch)))
+class _Chain:
+    """A list whose places are found and joined by id, so that a patch costs its own length and what it is merged past."""
+
+    def __init__(self, ops: list):
+        self.head = ops[0] if ops else None
+        self.next = dict(zip(ops, [*ops[1:], None]))
+
+    def ops(self) -> list:
+        out, at = [], self.head
+        while at is not None:
+            out.append(at)
+            at = self.next[at]
+        return out
+
+    def attach(self, parent, patch: list) -> None:
+        """patch after parent, merged with what stands there: equal ids unify, otherwise the greater goes first."""
+        if any(o in self.next for o in patch):  # ids that stand in both: rare, by whole lists
+            ops = self.ops()
+            at = ops.index(parent) + 1
+            self.__init__(list(dict.fromkeys(ops[:at] + _zipped(ops[at:], patch))))
+            return
+        before, after = parent, self.next[parent]
+        for o in patch:
+            while after is not None and after > o:
+                before, after = after, self.next[after]
+            self.next[before], self.next[o] = o, after
+            before = o
 
 
 def fixed_point(lists: list[tuple], zero) -> dict:
@@ -63,20 +86,23 @@ def fixed_point(lists: list[tuple], zero) -> dict:
     for ref, ops in sorted(lists):
         found[ref] = _zipped(found[ref], ops) if ref in found else list(ops)
     owner = {o: ref for ref in sorted(found, reverse=True) for o in found[ref]}  # the state's own come last and stay
+    chains = {ref: _Chain(ops) for ref, ops in found.items()}
     joined: dict = {}
 
     def holder(op):
-        at = owner.get(op)
+        path, at = [], owner.get(op)
         while at in joined:
+            path.append(at)
             at = joined[at]
+        joined.update(dict.fromkeys(path, at))
         return at
 
     for ref in sorted(found):
         into = holder(ref) if ref != zero else None
         if into is not None and into != ref:
-            found[into] = _attach(found[into], ref, found.pop(ref))
+            chains[into].attach(ref, chains.pop(ref).ops())
             joined[ref] = into
-    return found
+    return {ref: c.ops() for ref, c in chains.items()}
 
 
 def _run(zero, arrow: pa.Schema):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def appended(log: DataFrame, more: DataFrame, op: str) -> DataFrame:
-    """log and those ops of more that it lacks, each op once."""
-    fresh = more.join(log.select(op), op, "left_anti").dropDuplicates([op])
-    return log.unionByName(fresh)
+    """log and those ops of more that it lacks, each op once; of several of one id the greatest by the other columns, in order."""
+    rest = [c for c in more.columns if c != op]
+    fresh = more.join(log.select(op), op, "left_anti").groupBy(op).agg(F.max(F.struct(*rest)).alias("_r"))
+    return log.unionByName(fresh.select(op, *[F.col(f"_r.`{c}`") for c in rest]))
 
 
 def objects(log: DataFrame, object: str) -> DataFrame:

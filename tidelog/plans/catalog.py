@@ -502,3 +502,6 @@ def schema_view(spark, sf_dir):
     log = adapters.events_lww(spark, sf_dir).withColumn("value", F.col("value").cast("string"))
     x = schema.view(log, _EVENTS)
     return x.withColumn("userView", F.size("userView").cast("long")).drop("userSignup")
+
+
+from tidelog.plans import codecs_catalog  # noqa: E402,F401  registers its queries here

@@ -19,10 +19,10 @@ def events_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds are events that are no errors; an error removes every earlier add of its user and props."""
+    """Adds are events that are no errors; an error removes every earlier add of its user and props, each by its last such error."""
     e = table(spark, sf_dir, "events")
     adds = e.where("event_type <> 'error'").selectExpr("user_id AS object", "event_id AS op", "CAST(0 AS BIGINT) AS ref", "event_type AS field", "props", "value")
-    errors = e.where("event_type = 'error'").selectExpr("user_id AS object", "props", "event_id AS gone")
+    errors = e.where("event_type = 'error'").groupBy(F.col("user_id").alias("object"), "props").agg(F.max("event_id").alias("gone"))
     removed = adds.join(errors, ["object", "props"]).where("gone > op").selectExpr("object", "gone AS op", "op AS ref", "field", "props", "value")
     return adds.unionByName(removed)
 

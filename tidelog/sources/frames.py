@@ -71,7 +71,7 @@ def atom_text(base: Column, this: Column) -> Column:
 
 def spelled_atoms(payload: Column) -> Column:
     """(said, id) of each atom: its text, or its spelled id."""
-    told = lambda a: F.when(a["tag"] == "string", quoted(a["s"])).when(a["tag"] == "integer", a["i"].cast("string")).otherwise(a["f"].cast("string"))
+    told = lambda a: F.when(a["tag"] == "string", quoted(a["s"])).when(a["tag"] == "integer", a["i"].cast("string")).when(a["f"].cast("string").rlike("N|I"), F.concat(F.lit("^"), a["f"].cast("string"))).otherwise(a["f"].cast("string"))
     return F.transform(payload, lambda a: F.struct(F.when(a["tag"] != "uuid", told(a)).alias("said"), F.when(a["tag"] == "uuid", spelled(a["u"])).alias("id")))
 
 
@@ -95,3 +95,39 @@ def delta_coded(log: DataFrame, key: list[str], width: int = 256) -> DataFrame:
     line = F.concat(F.when(body, "\t").otherwise(""), F.concat_ws("\t", *shown, F.when(F.col("said") != "", F.col("said")), end))
     lines = x.select(*key, "part", F.struct("chunk_no", "op_index", line.alias("line")).alias("line")).groupBy(*key, "part").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     return lines.select(*key, F.concat(F.array_join(F.transform("lines", lambda s: s["line"]), "\n"), F.lit("\n.\n")).alias("text"))
+
+
+def open_text(ops: DataFrame, key: list[str], order: str = "op_index") -> DataFrame:
+    """(key, text): each group of ops (op_id, ref_id, payload) as an open frame, in order.
+
+    An op leaves out its id where that is the next after the one before, and
+    its reference where that is the one before.
+    """
+    before = F.coalesce(F.lag("op_id").over(Window.partitionBy(*key).orderBy(order)), types.uuid())
+    x = ops.withColumn("_before", before)
+    own = F.when(F.col("op_id") != ids.succ(F.col("_before")), F.concat(F.lit("@"), ids.uuid_text(F.col("op_id")))).otherwise("")
+    ref = F.when(F.col("ref_id") != F.col("_before"), F.concat(F.lit(":"), ids.uuid_text(F.col("ref_id")))).otherwise("")
+    said = payload_text(spelled_atoms(F.col("payload")), spelled(F.col("op_id")))
+    x = x.select(*key, F.struct(order, F.concat_ws("\t", own, ref, F.when(said != "", said)).alias("line")).alias("line"))
+    lines = x.groupBy(*key).agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return lines.select(*key, F.concat(F.array_join(F.transform("lines", lambda s: s["line"]), ",\n"), F.lit(";\n")).alias("text"))
+
+
+def op_text(op_id: Column, ref_id: Column, payload: Column) -> Column:
+    """An op with both keys."""
+    return F.concat_ws("\t", F.concat(F.lit("@"), ids.uuid_text(op_id)), F.concat(F.lit(":"), ids.uuid_text(ref_id)), payload_text(spelled_atoms(payload), spelled(op_id)))
+
+
+def state_frame(log: DataFrame, key: list[str]) -> DataFrame:
+    """log as objects' states: of several chunks of an object in a frame the last stays; raw ops and queries fail the job."""
+    kind = F.when(F.col("chunk_kind") == "value", F.col("chunk_kind")).otherwise(F.raise_error(F.concat(F.lit("a state frame has only states, not "), F.col("chunk_kind"))))
+    x = log.withColumn("chunk_kind", kind)
+    last = x.groupBy(*key, "object_id").agg(F.max("chunk_no").alias("chunk_no"))
+    return x.join(last, [*key, "object_id", "chunk_no"], "left_semi")
+
+
+def states_text(states: DataFrame, key: list[str]) -> DataFrame:
+    """(key, text): the states of each frame as one text, objects in the order of their ids."""
+    at = states.select(*key, "object_id").distinct().withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("object_id")) - 1)
+    x = states.join(at, [*key, "object_id"]).withColumn("chunk_no", F.col("_at")).drop("_at")
+    return delta_coded(x, key)

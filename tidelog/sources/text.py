@@ -28,7 +28,8 @@ KEPT = {"(": 4, "[": 5, "{": 6, "}": 7, "]": 8, ")": 9}
 _VERSIONS = "$%+-"
 _ID = re.compile(r"(?P<tick>`?)(?:(?P<variety>[0-9A-F])/)?(?P<keep>[(\[{}\])]?)(?P<value>[0-9A-Za-z_~]*)(?P<version>[$%+-]?)(?P<keep2>[(\[{}\])]?)(?P<origin>[0-9A-Za-z_~]*)")
 _SPACE = re.compile(r"\s*")
-_FLOAT = re.compile(r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
+#: After the sign of floats; not-a-number and the infinities have no form without it.
+_FLOAT = re.compile(r"[+-]?(?:\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|Infinity(?![0-9A-Za-z_~])|NaN(?![0-9A-Za-z_~]))")
 _INTEGER = re.compile(r"[+-]?\d+")
 _DEFINITE = re.compile(r"[+-]?\d+(?:\.\d+(?:[eE][+-]?\d+)?|[eE][+-]?\d+)(?![0-9A-Za-z_~])")
 _PLAIN_INTEGER = re.compile(r"[+-]?\d+(?![0-9A-Za-z_~$%/])")
@@ -102,17 +103,36 @@ def _atoms(text: str, at: int, base: tuple) -> tuple[list[tuple], int]:
         at = m.end()
 
 
-def frames(text: str) -> Iterator[list[dict]]:
-    """The rows of each frame of a text; a frame ends at a full stop or the text's end. ValueError says where one breaks."""
-    last, chunk, rows, at, header, index = [ZERO] * 4, -1, [], 0, None, 0
+class Broken(ValueError):
+    """A frame that breaks, and its rows before that."""
+
+    def __init__(self, why: str, rows: list[dict]):
+        super().__init__(why)
+        self.rows = rows
+
+
+def frames(text: str, stream: bool = False) -> Iterator[list[dict]]:
+    """The rows of each frame of a text; a frame ends at a full stop or the text's end, in a stream at a full stop alone. Broken says where one breaks."""
+    rows: list[dict] = []
+    try:
+        yield from _frames(text, rows, stream)
+    except (ValueError, KeyError, IndexError) as e:
+        raise Broken(str(e), rows) from e
+
+
+def _frames(text: str, rows: list[dict], stream: bool) -> Iterator[list[dict]]:
+    last, chunk, at, header, index = [ZERO] * 4, -1, 0, None, 0
     while True:
         at = _SPACE.match(text, at).end()
         if at == len(text) or text[at] == ".":
+            if at == len(text) and rows and stream:
+                raise ValueError(f"no full stop at {at}")
             if rows or at < len(text):
-                yield rows
+                yield list(rows)
+                rows.clear()
             if at == len(text):
                 return
-            last, chunk, rows, at, header = [ZERO] * 4, -1, [], at + 1, None
+            last, chunk, at, header = [ZERO] * 4, -1, at + 1, None
             continue
         now, before, seen, start = list(last), ZERO, set(), at
         for k, sign in enumerate("*#@:"):
@@ -154,27 +174,79 @@ def batched(rows: Iterator[dict], arrow: pa.Schema, n: int = 4096) -> Iterator[p
         yield pa.RecordBatch.from_pylist(some, arrow)
 
 
-def parsed_log(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Log rows of each text's frames, with error where a text breaks: then the rows before it stay.
+def open_ops(text: str) -> list[dict]:
+    """The rows of an open frame: ops that end with a comma or semicolon, each by default the next after and refering to the one before. Broken says where it breaks."""
+    rows, at, before = [], 0, ZERO
+    try:
+        while (at := _SPACE.match(text, at).end()) < len(text):
+            now = [(*before[:1], min(before[1] + 1, types.MASK60), *before[2:]), before]
+            for k, sign in enumerate("@:"):
+                at = _SPACE.match(text, at).end()
+                if text[at : at + 1] == sign:
+                    now[k], at = read_id(text, at + 1, ZERO, ZERO)
+            payload, at = _atoms(text, at, now[0])
+            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] not in (",", ";"):
+                raise ValueError(f"op without an end at {at}")
+            rows.append(log_row(0, "open", [ZERO, ZERO, *now], None, len(rows), payload))
+            at, before = at + 1, now[0]
+    except (ValueError, KeyError, IndexError) as e:
+        raise Broken(str(e), rows) from e
+    return rows
+
+
+def parsed_open(texts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(keep, op_index, op_id, ref_id, payload, error): the ops of each text, an open frame, with error where it breaks: then the ops before it stay.
+
+    Null texts give no rows.
+    """
+    keep = keep or []
+    kept = texts.select(*keep).schema.simpleString()[len("struct<") : -1]
+    schema: StructType = _parse_datatype_string(", ".join(filter(None, [kept, f"op_index int, op_id {types.UUID}, ref_id {types.UUID}, payload {types.PAYLOAD}, error string"])))
+    arrow = to_arrow_schema(schema)
+
+    def told(r: dict) -> Iterator[dict]:
+        own, why = {k: r[k] for k in keep}, None
+        try:
+            ops = open_ops(r["text_"])
+        except Broken as e:
+            ops, why = e.rows, str(e)
+        for op in ops:
+            yield own | {k: op[k] for k in ("op_index", "op_id", "ref_id", "payload")} | {"error": None}
+        if why:
+            yield own | dict.fromkeys(("op_index", "op_id", "ref_id", "payload")) | {"error": why}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched((row for b in batches for r in b.to_pylist() if r["text_"] is not None for row in told(r)), arrow)
+
+    return texts.select(*keep, F.col(text).cast("string").alias("text_")).mapInArrow(run, schema)
+
+
+def parsed_log(texts: DataFrame, text: str = "text", stream: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Log rows of each text's frames. Where a frame breaks, a row with its error stands for it and what follows; the frames before it stay.
 
-    Null texts give no rows. frame_no counts within a text.
+    Null texts give no rows. frame_no counts within a text. stream: every
+    frame must end with a full stop. keep: columns of the text's row to carry.
     """
-    schema: StructType = _parse_datatype_string(f"{types.OPLOG}, error string")
+    keep = keep or []
+    kept = texts.select(*keep).schema.simpleString()[len("struct<") : -1]
+    schema: StructType = _parse_datatype_string(", ".join(filter(None, [kept, f"{types.OPLOG}, error string"])))
     arrow = to_arrow_schema(schema)
 
-    def told(t: str) -> Iterator[dict]:
+    def told(t: str, own: dict) -> Iterator[dict]:
         number = 0
         try:
-            for number, frame in enumerate(frames(t)):
+            for number, frame in enumerate(frames(t, stream)):
                 for r in frame:
-                    yield r | {"frame_no": number, "error": None}
-        except (ValueError, KeyError) as e:
-            yield dict.fromkeys(arrow.names) | {"frame_no": number, "error": str(e)}
+                    yield r | own | {"frame_no": number, "error": None}
+                number += 1
+        except Broken as e:
+            yield dict.fromkeys(arrow.names) | own | {"frame_no": number, "error": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batched((r for b in batches for t in b.column(0).to_pylist() if t for r in told(t)), arrow)
+        return batched((row for b in batches for r in b.to_pylist() if r["text_"] for row in told(r["text_"], {k: r[k] for k in keep})), arrow)
 
-    return texts.select(F.col(text).cast("string")).mapInArrow(run, schema)
+    return texts.select(*keep, F.col(text).cast("string").alias("text_")).mapInArrow(run, schema)
 
 
 def quoted(s: Column) -> Column:
