@@ -42,7 +42,7 @@ def _chunks(rows: DataFrame, order: list[Column | str]) -> DataFrame:
     """Log rows of one chunk a (type, object, kind, ref) from rows with op_id, ref_id, payload, and its header."""
     chunk = [*KEY, "header_ref_id"]
     body = rows.where("op_id IS NOT NULL").withColumn("op_index", (F.row_number().over(Window.partitionBy(*chunk).orderBy(*order)) - 1).cast("int"))
-    head = rows.select(*chunk).distinct().select(*chunk, F.lit(-1).alias("op_index"), types.uuid().alias("op_id"), types.uuid().alias("ref_id"), F.array().cast(types.PAYLOAD).alias("payload"))
+    head = rows.select(*chunk).distinct().select(*chunk, F.lit(-1).alias("op_index"), types.uuid().alias("op_id"), F.col("header_ref_id").alias("ref_id"), F.array().cast(types.PAYLOAD).alias("payload"))
     both = head.unionByName(body.select(*chunk, "op_index", "op_id", "ref_id", "payload"))
     return both.select(*KEY, F.lit("value").alias("chunk_kind"), types.uuid().alias("header_op_id"), "header_ref_id", "op_index", "op_id", "ref_id", "payload")
 

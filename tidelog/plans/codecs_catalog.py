@@ -187,7 +187,7 @@ def folder_documents(spark, sf_dir):
     whole = parts[0].unionByName(parts[1]).withColumn("op_index", F.when(F.col("op_index") >= 0, F.expr("CAST(row_number() OVER (PARTITION BY document_id, version, op_index < 0 ORDER BY op_id) - 1 AS INT)")).otherwise(-1))
     folders.save_versions(whole.dropDuplicates(["document_id", "version", "op_index"]), path, "users")
     got = reduction.reduce_log(folders.load_versions(spark, path, "users").where("error IS NULL"))
-    return got.where("op_index >= 0").select(F.col("object_id.value").alias("object"), ids.encode60_short(F.col("ref_id.value")).alias("field"), F.col("op_id.value").alias("op"), F.col("payload")[0]["f"].alias("value"))
+    return got.where("op_index >= 0").select(F.col("object_id.value").alias("object"), ids.encode60_short(F.col("ref_id.value")).alias("field"), F.col("op_id.value").alias("op"), F.get("payload", F.lit(0))["f"].alias("value"))
 
 
 def _mixed(spark, sf_dir):
@@ -232,8 +232,8 @@ def _mixed(spark, sf_dir):
 def frame_reduce(spark, sf_dir):
     """A log that mixes types, states, patches, raw ops and queries, reduced by the registry, written as delta-coded text and as binary, and read again."""
     shared_dir(spark)  # checkpoints need one
-    reduced = reduction.reduce_log(_mixed(spark, sf_dir).checkpoint())
-    said = text.parsed_log(frames.delta_coded(reduced, ["frame"])).where("error IS NULL")
+    reduced = reduction.reduce_log(_mixed(spark, sf_dir).checkpoint()).checkpoint()
+    said = text.parsed_log(frames.delta_coded(reduced, ["frame"])).where("error IS NULL").checkpoint()
     again = binary.parsed_log(binary.serialized(said.withColumn("frame", reduction.frame_name()), ["frame"])).where("error IS NULL")
     kind = F.col("chunk_kind")
     x = again.where((F.col("op_index") >= 0) | (kind == "query"))
