@@ -183,7 +183,11 @@ def _fingerprints(width: int, similarity: Fraction, with_keys: bool, with_sets:
                 at = np.repeat(np.arange(len(n)), n) * COUNTS + _group(values)
                 counts = np.bincount(at, minlength=len(n) * COUNTS).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COUNTS, pa.int32()), pa.array(counts)))
-                names = ["id", "n", "s1", "s2", "shingles", "point"]
+                out.append(b.column("family"))
+                names = ["id", "n", "s1", "s2", "shingles", "point", "family"]
+                once = np.unique(np.stack((b.column("id").to_numpy(), s1.view(np.int64), s2.view(np.int64)), 1), axis=0, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays(out, names).take(pa.array(np.sort(once)))  # a row that is repeated very often comes once a batch
+                continue
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
@@ -381,18 +385,23 @@ def _compared(rows: DataFrame, similarity: Fraction) -> DataFrame:
 
 
 def _blocks(most_sets: int, most_shingles: int):
-    """Adds block to rows sorted by family: so many sets or shingles of one family at most, numbered in order from partition << 32 on."""
+    """Adds block to rows sorted by family and the rest, each once: so many sets or shingles of one family at most, numbered in order from partition << 32 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, family, sets, shingles = (TaskContext.get().partitionId() << 32) - 1, None, 0, 0
+        block, family, last, sets, shingles = (TaskContext.get().partitionId() << 32) - 1, None, None, 0, 0
         for b in batches:
-            out = []
-            for f, n in zip(b.column("family").to_pylist(), b.column("n").to_pylist()):
+            keep, out = [], []
+            for i, (f, n, *row) in enumerate(zip(*(b.column(c).to_pylist() for c in ("family", "n", "id", "s1", "s2")))):
+                if row == last:
+                    continue
+                last = row
                 if f != family or sets == most_sets or shingles + n > most_shingles and sets:
                     block, family, sets, shingles = block + 1, f, 0, 0
                 sets, shingles = sets + 1, shingles + n
+                keep.append(i)
                 out.append(block)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
+            kept = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
 
     return run
 
@@ -433,7 +442,7 @@ def tree_pairs(leaves: DataFrame, similarity: Fraction) -> DataFrame:
     return met.where("i < j")
 
 
-def _further(placed: DataFrame, many: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame | None:
+def _further(sets: DataFrame, placed: DataFrame, many: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame | None:
     """Links between blocks that are no neighbours, where a family is in several components; None where none is."""
     parts = components(found).selectExpr("v AS id", "c")
     rows = placed.join(many.select("block", "next"), "block").join(parts, "id", "left").withColumn("label", F.coalesce("c", "id"))
@@ -446,7 +455,8 @@ def _further(placed: DataFrame, many: DataFrame, found: DataFrame, similarity: F
     pairs = tree_pairs(leaves.drop("next"), similarity).join(leaves.select(F.col("block").alias("i"), "next"), "i").where("NOT j <=> next")
     pairs = written(pairs.select("i", "j"), "pairs")
     ends = pairs.selectExpr("i AS block", "i", "j", "0 AS side").union(pairs.selectExpr("j AS block", "i", "j", "1 AS side"))
-    return _compared(placed.join(labels.select("id", "block", "label").distinct(), ["id", "block"]).join(ends, "block"), similarity)
+    rows = placed.select("id", "s1", "s2", "block", "family").join(labels.select("id", "block", "label").distinct(), ["id", "block"]).join(ends, "block")
+    return _compared(sets.select("id", "s1", "s2", "shingles").join(rows, ["id", "s1", "s2"]), similarity)
 
 
 def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -472,23 +482,23 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
         keys = _met_by_pairs(source, prints, same, width, similarity)
     met = keys.sortWithinPartitions("key", "id").mapInArrow(_meetings, "u long, v long")
     family = written(components(met).selectExpr("v AS id", "c AS family"), "families")
-    wanted = family.select("id")
-    if family.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = source.join(wanted, "id").select("id", "text").mapInArrow(_fingerprints(width, similarity, False), "id long, n long, s1 long, s2 long, shingles binary, point array<int>")
-    sets = sets.where("n > 0").dropDuplicates(["id", "s1", "s2"]).join(family, "id")
-    order = ["family", "n", "point", "id"]
-    placed = sets.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(placed.mapInArrow(_blocks(BLOCK_SETS, BLOCK_SHINGLES), "id long, n long, s1 long, s2 long, shingles binary, point array<int>, family long, block long"), "sets")
+    small = (lambda x: F.broadcast(x)) if family.count() <= BROADCAST_IDS else (lambda x: x)
+    kind = "id long, n long, s1 long, s2 long, shingles binary, point array<int>, family long"
+    sets = source.join(small(family), "id").select("id", "text", "family").mapInArrow(_fingerprints(width, similarity, False), kind).where("n > 0")
+    sets = written(sets, "sets")
+    order = ["family", "n", "point", "id", "s1", "s2"]
+    placed = sets.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)  # without the sets themselves
+    placed = written(placed.mapInArrow(_blocks(BLOCK_SETS, BLOCK_SHINGLES), "family long, n long, point array<int>, id long, s1 long, s2 long, block long"), "placed")
     corner = F.array(*[F.max(F.col("point")[g]) for g in range(COUNTS)]).alias("corner")
     leaves = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), corner)
     at = "OVER (PARTITION BY family ORDER BY block)"  # one small row a block
     many = written(leaves.selectExpr("*", f"lead(block) {at} AS next", f"lag(block) {at} AS before").where("next IS NOT NULL OR before IS NOT NULL"), "blocks")
     trio = "array(named_struct('i', block, 'j', block, 'side', 2), named_struct('i', block, 'j', next, 'side', 0), named_struct('i', before, 'j', block, 'side', 1))"
-    near = placed.join(many.select("block", "next", "before"), "block", "left").selectExpr("*", "id AS label", f"explode(filter({trio}, p -> p.i IS NOT NULL AND p.j IS NOT NULL)) AS p")
+    near = placed.select("id", "s1", "s2", "family", "block").join(many.select("block", "next", "before"), "block", "left")
+    near = sets.select("id", "s1", "s2", "shingles").join(small(near), ["id", "s1", "s2"]).selectExpr("*", "id AS label", f"explode(filter({trio}, p -> p.i IS NOT NULL AND p.j IS NOT NULL)) AS p")
     found = _compared(near.selectExpr("*", "p.i AS i", "p.j AS j", "p.side AS side"), similarity)
     if not many.isEmpty():
-        more = _further(placed, many.drop("before"), found, similarity)
+        more = _further(sets, placed, many.drop("before"), found, similarity)
         found = found if more is None else found.union(more)
     joined = components(found.union(same.where("id <> last").selectExpr("id AS u", "id AS v")))
     moved = same.join(joined.selectExpr("v AS id", "c"), "id", "left").where("c <> id OR last <> id").selectExpr("s1", "s2", "n", "coalesce(c, id) AS c")
