@@ -15,6 +15,7 @@ ways give the same sums.
 
 from __future__ import annotations
 
+import gc
 import math
 import string
 from collections import Counter
@@ -121,9 +122,11 @@ class Model:
         """Costs as arrays for tasks, in order of the keys' hashes."""
         t = costs.select(F.xxhash64(key).alias("h"), *[f"c{i}" for i in range(len(self.langs))]).toArrow()
         h = t.column("h").to_numpy()
-        order = np.argsort(h, kind="stable")
-        got = [t.column(f"c{i}").to_numpy()[order] for i in range(len(self.langs))]
-        return Known(h[order], np.stack(got, 1) if got else np.zeros((len(h), 0), np.int16))
+        order = np.argsort(h, kind="stable").astype(np.int32)  # a table of at most TOLD_BYTES has fewer rows than that
+        h, out = h[order], np.zeros((len(h), len(self.langs)), np.int16)
+        for i in range(len(self.langs)):
+            out[:, i] = t.column(f"c{i}").to_numpy()[order]
+        return Known(h, out)
 
 
 class Known:
@@ -259,8 +262,9 @@ def identified(df: DataFrame, model: Model, text: str = "text", keep: list[str]
     Rows are treated one by one.
     """
     spark = df.sparkSession
-    words, grams = model.table(model.told, "word"), model.table(model.grams, "gram") if model.whole else None
-    shared = spark.sparkContext.broadcast((words, grams))
+    shared = spark.sparkContext.broadcast((model.table(model.told, "word"), model.table(model.grams, "gram") if model.whole else None))
+    gc.collect()  # the driver keeps no copy of the tables
+    pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
