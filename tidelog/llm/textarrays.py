@@ -14,6 +14,8 @@ _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astyp
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
+#: Bytes hashed at a time, up to the end of a word.
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -26,7 +28,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, PIECE)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             a = np.full(size, base, _U)
             a[0] = 1
@@ -46,6 +48,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000
             held += n
         if start < b.num_rows:
             yield b.slice(start)
+    pa.default_memory_pool().release_unused()  # what a task held is not kept for the worker's next one
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -57,18 +60,25 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, 64-bit hash) of each word of texts, in order."""
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    blob = b" ".join(texts)
+    blob = np.frombuffer(b" ".join(texts), np.uint8)
     starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
-    b = np.frombuffer(blob, np.uint8)
-    solid = np.concatenate(([False], ~_IS_SPACE[b], [False]))
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    first, last = edges[::2], edges[1::2]
-    if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    up, down = _power(len(b))
-    total = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[b] * up)))
-    h = (total[last] - total[first]) * down[first] + (last - first).astype(_U)
-    return np.searchsorted(starts, first, "right") - 1, mix(h)
+    spaces = np.flatnonzero(_IS_SPACE[blob])
+    after = np.searchsorted(spaces, np.arange(PIECE, len(blob), PIECE))
+    cuts = np.unique(np.concatenate(([0], spaces[after[after < len(spaces)]], [len(blob)]))).tolist()
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for i, j in zip(cuts, cuts[1:]):  # where in a piece a word stands does not change its hash
+        b = blob[i:j]
+        solid = np.concatenate(([False], ~_IS_SPACE[b], [False]))
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        first, last = edges[::2], edges[1::2]
+        if not len(first):
+            continue
+        up, down = _power(len(b))
+        total = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[b] * up)))
+        h = (total[last] - total[first]) * down[first] + (last - first).astype(_U)
+        docs.append(np.searchsorted(starts, first + i, "right") - 1)
+        hashes.append(mix(h))
+    return np.concatenate(docs), np.concatenate(hashes)
 
 
 def shingle_sets(texts: list[bytes], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
