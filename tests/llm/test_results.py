@@ -9,6 +9,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -171,6 +172,30 @@ def test_jaccard_families_in_blocks(spark, monkeypatch, sets, shingles):
     assert sorted((str(x["id"]), x["n_shingles"], str(x["component_id"])) for x in got) == brute_components(rows)
 
 
+def test_finer_counts_lose_no_link():
+    r, s = np.random.default_rng(4), Fraction(4, 5)
+    sets = []
+    for size in (1, 5, 90, 700, 2600):
+        for _ in range(4):
+            whole = np.unique(r.integers(0, 1 << 62, size, dtype=np.uint64))
+            sets += [whole, np.unique(np.concatenate((whole[: max(1, int(size * 0.93))], r.integers(0, 1 << 62, size // 20, dtype=np.uint64))))]
+    batch = pa.RecordBatch.from_arrays([*[pa.array(range(len(sets)), pa.int64())] * 3, pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "s1", "s2", "shingles"])
+    (fine,) = jaccard._fine_counts(iter([batch]))
+    points = [np.frombuffer(f, "<u4") for f in fine.column("fine").to_pylist()]
+    assert [int(p.sum()) for p in points] == [len(x) for x in sets]
+    label, both = np.arange(len(sets)), np.full(len(sets), 2)
+    links = [(i, j) for i in label for j in label if i < j and jaccard._alike(sets[i], sets[j], s)]
+    assert len(links) > 10
+    assert all(jaccard.partners(points, label, both, s)[list({k for pair in links for k in pair})])
+    for i, j in links:
+        assert all(jaccard.partners([points[i], points[j]], np.array([1, 2]), np.array([0, 1]), s))
+        assert not any(jaccard.partners([points[i], points[j]], np.array([1, 1]), np.array([0, 1]), s))
+        assert not any(jaccard.partners([points[i], points[j]], np.array([1, 2]), np.array([0, 0]), s))
+    apart = [x for k, x in enumerate(points) if k % 2 == 0 and x.sum() > 500]  # no two share a shingle
+    assert not any(jaccard.partners(apart, np.arange(len(apart)), np.full(len(apart), 2), s))
+
+
+
 def test_overlap_bound_never_misses():
     rng = np.random.default_rng(3)
     for _ in range(200):

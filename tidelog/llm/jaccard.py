@@ -13,7 +13,8 @@ order of size and counts are cut into blocks, blocks into inner nodes, and
 these into one node a partition; inside a block are leaves. The tree is
 joined with itself from the top down. At every level the summed minima of two
 upper corners bound the overlap of what is below, so pairs of nodes that
-cannot link go before a set is copied. What is left is verified on the sets.
+cannot link go before a set is copied. Pairs of blocks get finer counts of
+their sets first, then the sets that these leave a partner; those are verified.
 
 Equal sets are one vertex from the start, and what is connected already is
 not compared, so that copies never expand into all pairs: first every block
@@ -41,6 +42,8 @@ _U = np.uint64
 #: Coordinates of a point.
 COUNTS = 32
 LEAF = 32
+#: Shingles for each of the finer counts at most, by which sets are chosen that are dealt out.
+FINE = 4
 #: Sets and shingles of a block at most (a single set may be larger).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 250_000
 #: Blocks below an inner node at most.
@@ -51,6 +54,8 @@ COMBINED, ALONE = 500_000, -(1 << 63)
 SINGLE_GROUPS = Fraction(17, 20)
 #: Family members up to which their ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Rows of eight numbers up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def size_classes(similarity: Fraction, upto: int) -> tuple[np.ndarray, np.ndarray]:
@@ -378,9 +383,54 @@ def _block_links(similarity: Fraction):
     return run
 
 
-def _compared(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """Links (u, v) found in blocks: rows have family, i, j, side, label, id, shingles."""
-    dealt = rows.select("family", "i", "j", "side", "label", "id", "shingles").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+def _fine_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles as counts of finer groups, at least one for every FINE shingles; their number is a power of two, so that halves of a longer point add up to a shorter one."""
+    for b in batches:
+        fine = []
+        for s in b.column("shingles").to_pylist():
+            v = np.frombuffer(s, _U)
+            n = max(COUNTS, 1 << (-(-len(v) // FINE) - 1).bit_length())
+            fine.append(np.bincount((mix(v, 9) % _U(n)).astype(np.int64), minlength=n).astype("<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "s1", "s2")), pa.array(fine, pa.binary())], ["id", "s1", "s2", "fine"])
+
+
+def partners(points: list[np.ndarray], label: np.ndarray, side: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Which points have another of a different label, of the other side unless side is 2, whose summed minima allow a link."""
+    n, both = np.array([int(p.sum()) for p in points]), similarity.numerator + similarity.denominator
+    least = similarity.numerator * (n[:, None] + n[None, :])
+    ok = (label[:, None] != label[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+    for size in dict.fromkeys((COUNTS, min(map(len, points)))):
+        rows = np.flatnonzero(ok.any(1))
+        folded = np.array([points[r].reshape(-1, size).sum(0) for r in rows], np.int64).reshape(len(rows), size)
+        ok[np.ix_(rows, rows)] &= overlap_bound(folded, folded) * both >= least[np.ix_(rows, rows)]
+    return ok.any(1)
+
+
+def _with_partners(similarity: Fraction):
+    names = ["family", "i", "j", "side", "label", "id", "s1", "s2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["family", "i", "j"]):
+            points = [np.frombuffer(f, "<u4") for f in t.column("fine").to_pylist()]
+            left = partners(points, t.column("label").to_numpy(), t.column("side").to_numpy(), similarity)
+            yield from t.select(names).filter(pa.array(left)).combine_chunks().to_batches()
+
+    return run
+
+
+def _compared(sets: DataFrame, rows: DataFrame, similarity: Fraction) -> DataFrame:
+    """Links (u, v) found in blocks: rows have family, i, j, side, label, and the set as id, s1, s2.
+
+    Finer counts are dealt to the pairs of blocks first; a set is dealt only
+    to those where they leave it a partner.
+    """
+    by, of = ["family", "i", "j"], ["id", "s1", "s2"]
+    fine = sets.select(*of, "shingles").mapInArrow(_fine_counts, "id long, s1 long, s2 long, fine binary").join(rows, of)
+    dealt = fine.select(*by, "side", "label", *of, "fine").repartition(*by).sortWithinPartitions(*by)
+    kind = "family long, i long, j long, side int, label long, id long, s1 long, s2 long"
+    left = written(dealt.mapInArrow(_with_partners(similarity), kind), "partners")
+    some = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
+    dealt = sets.select(*of, "shingles").join(some, of).select(*by, "side", "label", "id", "shingles").repartition(*by).sortWithinPartitions(*by)
     return written(dealt.mapInArrow(_block_links(similarity), "u long, v long"), "links")
 
 
@@ -456,7 +506,7 @@ def _further(sets: DataFrame, placed: DataFrame, many: DataFrame, found: DataFra
     pairs = written(pairs.select("i", "j"), "pairs")
     ends = pairs.selectExpr("i AS block", "i", "j", "0 AS side").union(pairs.selectExpr("j AS block", "i", "j", "1 AS side"))
     rows = placed.select("id", "s1", "s2", "block", "family").join(labels.select("id", "block", "label").distinct(), ["id", "block"]).join(ends, "block")
-    return _compared(sets.select("id", "s1", "s2", "shingles").join(rows, ["id", "s1", "s2"]), similarity)
+    return _compared(sets, rows.drop("block"), similarity)
 
 
 def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -495,8 +545,8 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     many = written(leaves.selectExpr("*", f"lead(block) {at} AS next", f"lag(block) {at} AS before").where("next IS NOT NULL OR before IS NOT NULL"), "blocks")
     trio = "array(named_struct('i', block, 'j', block, 'side', 2), named_struct('i', block, 'j', next, 'side', 0), named_struct('i', before, 'j', block, 'side', 1))"
     near = placed.select("id", "s1", "s2", "family", "block").join(many.select("block", "next", "before"), "block", "left")
-    near = sets.select("id", "s1", "s2", "shingles").join(small(near), ["id", "s1", "s2"]).selectExpr("*", "id AS label", f"explode(filter({trio}, p -> p.i IS NOT NULL AND p.j IS NOT NULL)) AS p")
-    found = _compared(near.selectExpr("*", "p.i AS i", "p.j AS j", "p.side AS side"), similarity)
+    near = near.selectExpr("id", "s1", "s2", "family", "id AS label", f"explode(filter({trio}, p -> p.i IS NOT NULL AND p.j IS NOT NULL)) AS p")
+    found = _compared(sets, near.select("id", "s1", "s2", "family", "label", "p.i", "p.j", "p.side"), similarity)
     if not many.isEmpty():
         more = _further(sets, placed, many.drop("before"), found, similarity)
         found = found if more is None else found.union(more)
