@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import bpe, gif, jaccard, langid, licences, packing, pii, quality, secrets, shards
+from tidelog.llm import bpe, byte_bpe, gif, jaccard, langid, licences, merkle, packing, pii, quality, repeats, secrets, shards
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
+    "op11_periodic_runs": repeats.op11_periodic_runs,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {

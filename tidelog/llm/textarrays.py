@@ -81,6 +81,22 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(hashes)
 
 
+def spans_hashed(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each of words, of any bytes."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends, out, i = np.cumsum(sizes), np.zeros(len(words), _U), 0
+    while i < len(words):  # pieces of bounded size, a longer word alone
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i] - sizes[i]) + PIECE, "right")))
+        b = np.frombuffer(b"".join(words[i:j]), np.uint8)
+        up, down = _power(len(b) + 1)
+        total = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[b] * up[:-1])))
+        last = ends[i:j] - (ends[i] - sizes[i])
+        first = last - sizes[i:j]
+        out[i:j] = mix((total[last] - total[first]) * down[first] + sizes[i:j].astype(_U))
+        i = j
+    return out
+
+
 def shingle_sets(texts: list[bytes], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, values): the sorted distinct shingle hashes of each text.
 
