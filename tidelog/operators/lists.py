@@ -1,20 +1,22 @@
-"""Replicated lists: states, patches and removals reduced to a fix-point, and edits from differences.
+"""Replicated lists: states, patches and removals reduced to a fix-point.
 
-Payloads and tombstones are keyed aggregates and joins. Only the ids of one
-object's lists meet in a task, for the merge by order.
+Payloads and tombstones are keyed aggregates and joins. The order of a small
+object's ids is found in a task, that of a large one by joins.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelog.functions import ids
+from tidelog.operators import scans, sequences
+from tidelog.operators.differences import edited  # noqa: F401
 from tidelog.sources.frames import LIST
 
 #: The zero id in sortable letters.
@@ -41,127 +43,108 @@ def from_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lists, removals
 
 
-def _zipped(a: list, b: list) -> list:
-    """Two lists as one: equal heads unify, otherwise the greater id goes first; each id once."""
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        x, y = a[i], b[j]
-        out.append(max(x, y))
-        i, j = i + (x >= y), j + (y >= x)
-    return list(dict.fromkeys(out + a[i:] + b[j:]))
-
-
-class _Chain:
-    """A list whose places are found and joined by id, so that a patch costs its own length and what it is merged past."""
-
-    def __init__(self, ops: list):
-        self.head = ops[0] if ops else None
-        self.next = dict(zip(ops, [*ops[1:], None]))
-
-    def ops(self) -> list:
-        out, at = [], self.head
-        while at is not None:
-            out.append(at)
-            at = self.next[at]
-        return out
-
-    def attach(self, parent, patch: list) -> None:
-        """patch after parent, merged with what stands there: equal ids unify, otherwise the greater goes first."""
-        if any(o in self.next for o in patch):  # ids that stand in both: rare, by whole lists
-            ops = self.ops()
-            at = ops.index(parent) + 1
-            self.__init__(list(dict.fromkeys(ops[:at] + _zipped(ops[at:], patch))))
-            return
-        before, after = parent, self.next[parent]
-        for o in patch:
-            while after is not None and after > o:
-                before, after = after, self.next[after]
-            self.next[before], self.next[o] = o, after
-            before = o
-
-
-def fixed_point(lists: list[tuple], zero) -> dict:
-    """Lists by the id they stand after (zero: the state): patches join the patches, then the state, that have that id."""
-    found: dict = {}
-    for ref, ops in sorted(lists):
-        found[ref] = _zipped(found[ref], ops) if ref in found else list(ops)
-    owner = {o: ref for ref in sorted(found, reverse=True) for o in found[ref]}  # the state's own come last and stay
-    chains = {ref: _Chain(ops) for ref, ops in found.items()}
-    joined: dict = {}
-
-    def holder(op):
-        path, at = [], owner.get(op)
-        while at in joined:
-            path.append(at)
-            at = joined[at]
-        joined.update(dict.fromkeys(path, at))
-        return at
-
-    for ref in sorted(found):
-        into = holder(ref) if ref != zero else None
-        if into is not None and into != ref:
-            chains[into].attach(ref, chains.pop(ref).ops())
-            joined[ref] = into
-    return {ref: c.ops() for ref, c in chains.items()}
-
-
-def _run(zero, arrow: pa.Schema):
+def _placed_under(found: list[tuple]) -> dict:
+    """Parent of each op of lists (ref, ops): the op before it in its list that is smaller and nearest, else ref, and above a greater ref what that stands under."""
+    parent: dict = {}
+    for ref, ops in found:
+        stack: list = []
+        for o in ops:
+            while stack and stack[-1] >= o:
+                stack.pop()
+            p = stack[-1] if stack else ref
+            parent[o] = max(parent.get(o, p), p)
+            stack.append(o)
+    out = {}
+    for o, p in parent.items():
+        while p in parent and p > o:
+            p = parent[p]
+        out[o] = p
+    return {o: p for o, p in out.items() if o != p}
+
+
+def forest(found: list[tuple]) -> dict:
+    """The ops of lists (ref, ops) in order, by the id at the top that is none of them: an insertion tree each, siblings by descending id."""
+    parent = _placed_under(found)
+    below: dict = defaultdict(list)
+    for o, p in parent.items():
+        below[p].append(o)
+    out = {}
+    for root in below:
+        if root in parent:
+            continue
+        ops, stack = [], sorted(below[root])
+        while stack:
+            o = stack.pop()
+            ops.append(o)
+            stack += sorted(below.get(o, ()))
+        out[root] = ops
+    return out
+
+
+def fixed_point(found: list[tuple], zero) -> dict:
+    """forest, by the name of what it computes; zero is the state's reference."""
+    return forest(found)
+
+
+def _run(arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                for ref, ops in fixed_point([(x["ref"], x["ops"]) for x in r["lists"]], zero).items():
+                for ref, ops in forest([(x["ref"], x["ops"]) for x in r["lists"]]).items():
                     rows.append({"object": r["object"], "ref": ref, "ops": ops})
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return run
 
 
-def reduced(lists: DataFrame, removals: DataFrame, zero=ZERO) -> tuple[DataFrame, DataFrame]:
+def _walked(lists: DataFrame) -> DataFrame:
+    """(object, ref, pos, op) of objects whose ids fit a task: one row an object, many to a batch."""
+    each = lists.groupBy("object", "ref", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "op")))["op"].alias("ops"))
+    per = each.groupBy("object").agg(F.collect_list(F.struct("ref", "ops")).alias("lists"))
+    out = per.select("object", F.col("lists")[0]["ref"].alias("ref"), F.col("lists")[0]["ops"].alias("ops")).schema
+    return per.mapInArrow(_run(to_arrow_schema(out)), out).select("object", "ref", F.posexplode("ops").alias("pos", "op")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def _joined(lists: DataFrame) -> DataFrame:
+    """(object, ref, pos, op) of objects of any size: parents by running minima over ranges of lists, order by ranking of the tours of their trees."""
+    x = lists.select("object", "ref", F.concat_ws("\x00", F.col("object").cast("string"), F.col("ref").cast("string"), F.col("chunk").cast("string")).alias("list"), "pos", "op")
+    x = scans.smaller_before(x, "list", "pos", "op", "parent")
+    nodes = x.groupBy("object", "op").agg(F.max(F.coalesce("parent", "ref")).alias("parent")).checkpoint()
+    while True:  # a greater reference is no place of its own: up to what it stands under, in steps that double along others of that kind
+        up = nodes.select("object", F.col("op").alias("parent"), F.col("parent").alias("_above"))
+        late = nodes.where("parent > op").join(up, ["object", "parent"]).select("object", "op", "_above").checkpoint()
+        if late.isEmpty():
+            break
+        nodes = nodes.join(late, ["object", "op"], "left").select("object", "op", F.coalesce("_above", "parent").alias("parent")).checkpoint()
+    return sequences._ranked(nodes.where("op <> parent")).withColumnRenamed("root", "ref")
+
+
+def reduced(lists: DataFrame, removals: DataFrame, zero=ZERO, local: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(object, ref, pos, op, gone, payload) with all that applies applied, and the removals whose target has not arrived.
 
     ref is zero for the state's vertices, else the id a waiting patch stands
     after. gone is zero or the greatest tombstone; of repeated ids the longest
-    payload stays. An insert after zero counts as a state of its own. One
-    object's ids meet in one task (payloads do not).
+    payload stays. An insert after zero counts as a state of its own.
+
+    States, patches and raw inserts are taken as one insertion forest. In a
+    list whose ops are greater than what they were inserted after, an op
+    stands under the nearest smaller one before it, so a state tells its
+    tree. An id that lists place differently stands under the greatest of its
+    places. Of ops that refer to each other in a circle the least is left
+    out, and the others wait for it.
+
+    Objects of up to local ids are put in order in one task each, larger ones
+    by joins, with the same result.
     """
     made = lists.groupBy("object", "op").agg(F.max("gone").alias("gone"), F.max_by("payload", F.size("payload") if lists.schema["payload"].dataType.typeName() == "array" else F.length("payload")).alias("payload"))
     gone = removals.groupBy("object", F.col("target").alias("op")).agg(F.max("tombstone").alias("tombstone"))
     made = made.join(gone, ["object", "op"], "left").withColumn("gone", F.greatest("gone", F.coalesce("tombstone", F.lit(zero)))).drop("tombstone")
-    each = lists.groupBy("object", "ref", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "op")))["op"].alias("ops"))
-    per = each.groupBy("object").agg(F.collect_list(F.struct("ref", "ops")).alias("lists"))
-    out = per.select("object", F.col("lists")[0]["ref"].alias("ref"), F.col("lists")[0]["ops"].alias("ops")).schema
-    order = per.mapInArrow(_run(zero, to_arrow_schema(out)), out).select("object", "ref", F.posexplode("ops").alias("pos", "op"))
+    bare = lists.drop("payload", "gone")
+    big = bare.groupBy("object").count().where(F.col("count") > local).select("object").persist()
+    if big.isEmpty():
+        order = _walked(bare)
+    else:
+        order = _walked(bare.join(big, "object", "left_anti")).unionByName(_joined(bare.join(big, "object", "left_semi")))
     waiting = removals.join(lists.select("object", F.col("op").alias("target")), ["object", "target"], "left_anti").groupBy("object", "target").agg(F.max("tombstone").alias("tombstone"))
     return order.join(made, ["object", "op"]).select("object", "ref", "pos", "op", "gone", "payload"), waiting
-
-
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for object, ops, old, new in zip(*(b.column(c).to_pylist() for c in ("object", "ops", "old", "new"))):
-            n = 0
-            for how, a, z, c, d in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-                if how != "equal":
-                    out += [(object, None, o, None) for o in ops[a:z]]
-                    for k in range(c, d):
-                        n += 1
-                        out.append((object, n, (ops[a - 1] if a else 0) if k == c else None, new[k]))
-        names = ["object", "n", "ref", "value"]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names)
-
-
-def edited(current: DataFrame, wanted: DataFrame, base: Column) -> DataFrame:
-    """(object, op, ref, value) ops that turn the alive list current (object, pos, op, value) into wanted (object, pos, value).
-
-    A null value removes the vertex ref, with the event base; others are
-    inserted after ref with the events base + 1 and on, each of a run after
-    the one before. Objects on one side only are emptied or made. Equal lists
-    give no ops. Longest common blocks stay.
-    """
-    old = current.groupBy("object").agg(F.sort_array(F.collect_list(F.struct("pos", "op", "value"))).alias("a"))
-    new = wanted.groupBy("object").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("b"))
-    none = F.array().cast("array<string>")
-    both = old.join(new, "object", "full").select("object", F.coalesce("a.op", F.array().cast("array<bigint>")).alias("ops"), F.coalesce("a.value", none).alias("old"), F.coalesce("b.value", none).alias("new"))
-    x = both.where(~F.col("old").eqNullSafe(F.col("new"))).mapInArrow(_differences, "object long, n long, ref long, value string")
-    return x.select("object", F.when(F.col("n").isNull(), base).otherwise(base + F.col("n")).alias("op"), F.coalesce("ref", base + F.col("n") - 1).alias("ref"), "value")

@@ -57,12 +57,13 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranked(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(object, op, pos) of trees of any size by list ranking: the tour of a tree, each step's distance to its end by pointer doubling.
+    """(object, root, op, pos) of trees of any size by list ranking: the tour of a tree, each step's distance to its end by pointer doubling.
 
     A tour enters a node, goes to its greatest child or leaves it, and from
     there to its next smaller sibling or leaves the parent. Every round is an
     equi-join that halves what is left of the tours, so a tree with a third of
-    all rows is as spread as the others. Orphans' tours do not end at the root.
+    all rows is as spread as the others. root is the parent at the top that is
+    no node itself; places are counted for each root.
     """
     shared_dir(nodes.sparkSession)  # checkpoints need one
     older = F.expr("lead(op) OVER (PARTITION BY object, parent ORDER BY op DESC)")
@@ -83,9 +84,9 @@ def _ranked(nodes: DataFrame, most: int = 64) -> DataFrame:
         x = x.where("NOT open").unionByName(moved)
     else:
         raise ValueError("a tree has a cycle")
-    ends = x.where("NOT at.leaves AND to.op = 0 AND to.leaves")
-    total = ends.groupBy("object").agg(F.max("n").alias("total"))
-    return ends.join(total, "object").select("object", F.col("at.op").alias("op"), (F.col("total") - F.col("n")).alias("pos"))
+    ends = x.where("NOT at.leaves").select("object", F.col("to.op").alias("root"), F.col("at.op").alias("op"), "n")
+    total = ends.groupBy("object", "root").agg(F.max("n").alias("total"))
+    return ends.join(total, ["object", "root"]).select("object", "root", "op", (F.col("total") - F.col("n")).alias("pos"))
 
 
 def tree_order(log: DataFrame, object: str = "object", op: str = "op", parent: str = "parent", local: int = 100_000) -> DataFrame:
@@ -100,7 +101,7 @@ def tree_order(log: DataFrame, object: str = "object", op: str = "op", parent: s
     big = x.groupBy("object").count().where(F.col("count") > local).select("object").persist()
     if big.isEmpty():
         return _walked(x)
-    return _walked(x.join(big, "object", "left_anti")).unionByName(_ranked(x.join(big, "object", "left_semi")))
+    return _walked(x.join(big, "object", "left_anti")).unionByName(_ranked(x.join(big, "object", "left_semi")).where("root = 0").drop("root"))
 
 
 def _walked(nodes: DataFrame) -> DataFrame:
