@@ -3,86 +3,47 @@
     <path>/<object>/log/<patch>              an open frame a patch
     <path>/<collection>/<document>/<version>  a frame of states a version
 
-Names of objects, patches and documents are ids as file names. Files are read
-as a table that spreads over the cluster; which of them are read is decided
-from their names alone.
+Names of objects, patches and documents are ids as file names. Names are
+listed as a table that spreads over the cluster; which files are opened is
+decided from these alone.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import ids
 from tidelog.operators import reducers
-from tidelog.sources import frames, text
+from tidelog.sources import filestore, frames, text
 
 LOG = ("object", "log", "patch")
 DOCUMENTS = ("collection", "document", "version")
 
 
-def listed(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
-    """(names, file, content) of the files at so many folders below path; fixed folder names are no columns.
-
-    Content is read only where it is asked for.
-    """
-    pattern = "/".join("(log)" if n == "log" else "([^/]+)" for n in names) + "$"
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    x = x.withColumn("_at", F.regexp_extract("path", pattern, 0)).where("_at <> ''")
-    cols = [F.regexp_extract("path", pattern, i + 1).alias(n) for i, n in enumerate(names) if n != "log"]
-    return x.select(*cols, F.col("path").alias("file"), "content")
-
-
-def saved(texts: DataFrame, path: str, names: tuple[str, ...]) -> None:
-    """Write each row's text as the file that its names say, whole or not at all; files of those names are replaced.
-
-    Rows are written in parallel beside the store and then given their names,
-    one rename a file.
-    """
-    spark = texts.sparkSession
-    by = [n for n in names if n != "log"]
-    aside = f"{path}/.{uuid.uuid4().hex}"
-    texts.select(*by, "text").write.partitionBy(*by).text(aside)
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files = fs.listFiles(path_of(aside), True)
-    while files.hasNext():
-        at = files.next().getPath()
-        parts = dict(p.split("=", 1) for p in at.toString().split("/") if "=" in p)
-        if not parts or at.getName().startswith(("_", ".")):
-            continue
-        to = path_of("/".join([path, *[parts.get(n, n) for n in names]]))
-        fs.mkdirs(to.getParent())
-        fs.delete(to, False)
-        fs.rename(at, to)
-    fs.delete(path_of(aside), True)
-
-
 def objects(spark: SparkSession, path: str) -> DataFrame:
     """(object_id) of the objects with a log."""
-    return listed(spark, path, LOG).select(ids.from_file_name(F.col("object")).alias("object_id")).where("object_id IS NOT NULL").distinct()
+    return filestore.listed(spark, path, LOG).select(ids.from_file_name(F.col("object")).alias("object_id")).where("object_id IS NOT NULL").distinct()
 
 
 def append_patches(ops: DataFrame, path: str) -> None:
     """Write rows (object_id, patch_id, op_index, op_id, ref_id, payload) as a file a patch; a patch that is there already is written again."""
     named = ops.withColumn("object", ids.file_name(F.col("object_id"))).withColumn("patch", ids.file_name(F.col("patch_id")))
-    saved(frames.open_text(named, ["object", "patch"]), path, LOG)
+    filestore.saved(frames.open_text(named, ["object", "patch"]), path, LOG)
 
 
 def load_log(spark: SparkSession, path: str, version: DataFrame | None = None) -> DataFrame:
     """(object_id, patch_id, op_index, op_id, ref_id, payload, error) of the patches that version does not cover.
 
-    version: (replica, time), a vector of clock values by origin; files are
-    skipped whole by their names, and then ops one by one. Files whose names
-    are no ids have no rows.
+    version: (replica, time), a vector of clock values by origin; files whose
+    names it covers are not opened, and then ops are skipped one by one.
+    Files whose names are no ids have no rows.
     """
-    files = listed(spark, path, LOG).select(ids.from_file_name(F.col("object")).alias("object_id"), ids.from_file_name(F.col("patch")).alias("patch_id"), "content")
+    files = filestore.listed(spark, path, LOG).select(ids.from_file_name(F.col("object")).alias("object_id"), ids.from_file_name(F.col("patch")).alias("patch_id"), "file")
     files = files.where("object_id IS NOT NULL AND patch_id IS NOT NULL")
     if version is not None:
         files = reducers.newer(files.withColumn("replica", F.col("patch_id.origin")).withColumn("time", F.col("patch_id.value")), version, [], "replica", "time").drop("replica", "time")
-    texts = files.select("object_id", "patch_id", F.decode("content", "UTF-8").alias("text"))
+    texts = filestore.contents(files, path).select("object_id", "patch_id", F.decode("content", "UTF-8").alias("text"))
     ops = text.parsed_open(texts, keep=["object_id", "patch_id"])
     if version is None:
         return ops
@@ -92,25 +53,31 @@ def load_log(spark: SparkSession, path: str, version: DataFrame | None = None) -
 def save_versions(states: DataFrame, path: str, collection: str) -> None:
     """Write log rows with the columns document_id and version (text) as a frame of states a version."""
     named = states.withColumn("document", ids.file_name(F.col("document_id"))).withColumn("collection", F.lit(collection))
-    saved(frames.states_text(frames.state_frame(named, ["collection", "document", "version"]), ["collection", "document", "version"]), path, DOCUMENTS)
+    filestore.saved(frames.states_text(frames.state_frame(named, ["collection", "document", "version"]), ["collection", "document", "version"]), path, DOCUMENTS)
 
 
 def versions(spark: SparkSession, path: str, collection: str) -> DataFrame:
     """(document_id, version, valid): the saved versions, and whether the document's name is just how its id is written."""
-    x = listed(spark, path, DOCUMENTS).where(F.col("collection") == collection)
+    x = filestore.listed(spark, path, DOCUMENTS).where(F.col("collection") == collection)
     return x.select(ids.from_file_name(F.col("document")).alias("document_id"), "version", ids.is_file_name(F.col("document")).alias("valid"))
 
 
 def load_versions(spark: SparkSession, path: str, collection: str) -> DataFrame:
     """Log rows with document_id and version of all versions of documents with valid names; a broken version is a row with its error."""
-    x = listed(spark, path, DOCUMENTS).where((F.col("collection") == collection) & ids.is_file_name(F.col("document")))
-    texts = x.select("document", "version", F.decode("content", "UTF-8").alias("text"))
+    x = filestore.listed(spark, path, DOCUMENTS).where((F.col("collection") == collection) & ids.is_file_name(F.col("document")))
+    texts = filestore.contents(x, path).select("document", "version", F.decode("content", "UTF-8").alias("text"))
     return text.parsed_log(texts, keep=["document", "version"]).withColumn("document_id", ids.from_file_name(F.col("document"))).drop("document")
 
 
+def collections(spark: SparkSession, path: str) -> DataFrame:
+    """(collection) of the collections that have a version of a document."""
+    return filestore.listed(spark, path, DOCUMENTS).select("collection").distinct()
+
+
 def updates(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
-    """A stream of the names of files as they arrive."""
+    """A stream of the names of files as they arrive; its checkpoint holds which have been told, so a restart tells the others. No file is opened."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     x = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
     pattern = "/".join("(log)" if n == "log" else "([^/]+)" for n in names) + "$"
-    return x.where(F.col("path").rlike(pattern)).select(*[F.regexp_extract("path", pattern, i + 1).alias(n) for i, n in enumerate(names) if n != "log"])
+    told = lambda i: F.try_url_decode(F.regexp_extract("path", pattern, i + 1))
+    return x.where(F.col("path").rlike(pattern)).select(*[told(i).alias(n) for i, n in enumerate(names) if n != "log"])
