@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators import scans
+
 
 def appended(log: DataFrame, more: DataFrame, op: str) -> DataFrame:
     """log and those ops of more that it lacks, each op once; of several of one id the greatest by the other columns, in order."""
@@ -17,22 +19,18 @@ def objects(log: DataFrame, object: str) -> DataFrame:
     return log.select(object).distinct()
 
 
-def patch_runs(log: DataFrame, object: str, op: str, value: str, width: int = 4096) -> DataFrame:
+def patch_runs(log: DataFrame, object: str, op: str, value: str) -> DataFrame:
     """Runs of consecutive ops, by op id, of one object: (first_op, last_op, object, n_ops, total).
 
-    The order is global, so rows are windowed in id ranges of width and only
-    one summary row a range meets in the step that joins ranges: whether a
-    range's first op goes on with the run before it.
+    The order is global: ranges of ids are scanned where they lie, and a row
+    a range tells the next whether its first op goes on with the run before.
     """
-    x = log.select(F.col(object).alias("object"), F.col(op).alias("op"), F.col(value).alias("value")).withColumn("range", F.floor(F.col("op") / width))
-    x = x.withColumn("before", F.expr("lag(object) OVER (PARTITION BY range ORDER BY op)")).withColumn("first", F.expr("row_number() OVER (PARTITION BY range ORDER BY op) = 1"))
-    x = x.withColumn("start", F.expr("CASE WHEN NOT first AND object = before THEN NULL ELSE op END"))
-    x = x.withColumn("run", F.expr("last(start, true) OVER (PARTITION BY range ORDER BY op ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
-    local = x.groupBy("range", "run").agg(F.max("object").alias("object"), F.max("op").alias("last_op"), F.count("*").alias("n_ops"), F.sum("value").alias("total"))
-    ends = local.groupBy("range").agg(F.min(F.struct("run", "object"))["object"].alias("opens"), F.max(F.struct("run", "object"))["object"].alias("closes"), F.count("*").alias("runs"), F.min("run").alias("head"), F.max("run").alias("tail"))
-    ends = ends.withColumn("goes_on", F.expr("coalesce(lag(closes) OVER (ORDER BY range) = opens, false)"))
-    ends = ends.withColumn("own", F.expr("CASE WHEN goes_on AND runs = 1 THEN NULL ELSE tail END"))
-    ends = ends.withColumn("carried", F.expr("last(own, true) OVER (ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-    joined = local.join(ends.select("range", "head", "goes_on", "carried"), "range")
-    joined = joined.withColumn("first_op", F.expr("CASE WHEN run = head AND goes_on THEN carried ELSE run END"))
-    return joined.groupBy("first_op").agg(F.max("last_op").alias("last_op"), F.max("object").alias("object"), F.sum("n_ops").alias("n_ops"), F.sum("total").alias("total"))
+    x = log.select(F.lit(0).alias("all"), F.col(object).alias("object"), F.col(op).alias("op"), F.col(value).alias("value"))
+    x = scans.scanned(x, ["all"], ["op"], before={"last": F.col("object")})
+    x = scans.scanned(x, ["all"], ["op"], lasts={"first_op": F.when(~F.col("object").eqNullSafe(F.col("last")), F.col("op"))})
+    return x.groupBy("first_op").agg(F.max("op").alias("last_op"), F.max("object").alias("object"), F.count("*").alias("n_ops"), F.sum("value").alias("total"))
+
+
+def dumped(log: DataFrame, order: list[str]) -> DataFrame:
+    """log with line, the place of each op in the order of a dump of the whole store; rows lie in that order over the partitions."""
+    return scans.numbered(log.withColumn("_all", F.lit(0)), ["_all"], order, "line").drop("_all").repartitionByRange("line").sortWithinPartitions("line")

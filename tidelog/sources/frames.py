@@ -97,12 +97,16 @@ def delta_coded(log: DataFrame, key: list[str], width: int = 256) -> DataFrame:
     return lines.select(*key, F.concat(F.array_join(F.transform("lines", lambda s: s["line"]), "\n"), F.lit("\n.\n")).alias("text"))
 
 
-def open_text(ops: DataFrame, key: list[str], order: str = "op_index") -> DataFrame:
+def open_text(ops: DataFrame, key: list[str], order: str = "op_index", width: int | None = None) -> DataFrame:
     """(key, text): each group of ops (op_id, ref_id, payload) as an open frame, in order.
 
     An op leaves out its id where that is the next after the one before, and
-    its reference where that is the one before.
+    its reference where that is the one before. width: (key, part, text)
+    instead, a frame of its own for each so many values of order, so that a
+    key with very many ops is many texts.
     """
+    if width is not None:
+        key, ops = [*key, "part"], ops.withColumn("part", F.floor(F.col(order) / width))
     before = F.coalesce(F.lag("op_id").over(Window.partitionBy(*key).orderBy(order)), types.uuid())
     x = ops.withColumn("_before", before)
     own = F.when(F.col("op_id") != ids.succ(F.col("_before")), F.concat(F.lit("@"), ids.uuid_text(F.col("op_id")))).otherwise("")
