@@ -504,4 +504,4 @@ def schema_view(spark, sf_dir):
     return x.withColumn("userView", F.size("userView").cast("long")).drop("userSignup")
 
 
-from tidelog.plans import codecs_catalog, lists_catalog  # noqa: E402,F401  these register their queries here
+from tidelog.plans import codecs_catalog, lists_catalog, nested_catalog  # noqa: E402,F401  these register their queries here
