@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tidelog import types
 from tidelog.functions import ids
-from tidelog.operators import frames as reduction, lists, stores
-from tidelog.plans.catalog import query
+from tidelog.operators import frames as reduction, lists, reducers, stores
+from tidelog.plans.catalog import ORACLE_SQL, query
 from tidelog.plans.codecs_catalog import _event_ops
 from tidelog.shared import shared_dir
 from tidelog.sources import adapters, folders, frames, text
+from tidelog.streaming import live, states
 
 #: SQL: every user's events as a list: event n stands after event n div 2. Of every seventh user the second event, which others stand after, never comes. An error removes the event at a third of its place.
 _LIST = """
@@ -112,3 +113,27 @@ def open_parts(spark, sf_dir):
     made = frames.open_text(_event_ops(spark, sf_dir), ["object"], width=16)
     got = text.parsed_open(made, keep=["object"]).where("error IS NULL")
     return got.select("object", F.col("op_id.value").alias("op"), F.col("payload")[0]["s"].alias("field"))
+
+
+@query(ORACLE_SQL["lww_reduce"])
+def stream_restart(spark, sf_dir):
+    """The users' fields kept up from a stream of six files that stops after its third batch and goes on from its checkpoint."""
+    base = f"{shared_dir(spark)}/restart-{uuid.uuid4().hex}"
+    events = adapters.table(spark, sf_dir, "events")
+    events.repartition(6, "event_id").write.parquet(f"{base}/in/events.parquet")
+    reduce = lambda x: reducers.lww(x, ["object", "field"], "op", ["value"])
+    log = adapters.events_lww(spark, sf_dir).select("object", "field", "op", "value")
+    state = states.State(spark, f"{base}/state", reduce, reduce(log).schema)
+    stream = live.source(spark, f"{base}/in", "events", events.schema).selectExpr("user_id AS object", "event_type AS field", "event_id AS op", "value")
+
+    def stop(number: int) -> None:
+        if number == 2:
+            raise InterruptedError("stopped")
+
+    try:
+        states.kept_up(stream, state, f"{base}/place", stop)
+    except Exception as e:
+        if "stopped" not in str(e):
+            raise
+    states.kept_up(stream, state, f"{base}/place")
+    return state.read()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.shared import shared_dir
+from tidelog.streaming import states
 
 
 def source(spark: SparkSession, folder: str, name: str, schema, files: int = 1) -> DataFrame:
@@ -22,36 +23,36 @@ def drained(stream: DataFrame, step) -> None:
 
 
 def reduced(stream: DataFrame, reduce) -> DataFrame:
-    """A reduced state kept up by merging each batch's own state into it; every version is a table of its own."""
+    """A reduced state kept up in runs of growing size, each batch adding its own; states.kept_up is the form with a place of one's own to go on from."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
-    at: list[str] = []
+    state = states.State(spark, f"{base}/state", reduce, reduce(spark.createDataFrame([], stream.schema)).schema)
+    states.kept_up(stream, state, f"{base}/place")
+    return state.read()
 
-    def step(batch: DataFrame, number: int) -> None:
-        new = reduce(batch)
-        if at:
-            new = reduce(batch.sparkSession.read.parquet(at[-1]).unionByName(new))
-        new.write.mode("overwrite").parquet(f"{base}/{number}")
-        at.append(f"{base}/{number}")
-
-    drained(stream, step)
-    return spark.read.parquet(at[-1]) if at else spark.createDataFrame([], reduce(spark.createDataFrame([], stream.schema)).schema)
 
+def appended(stream: DataFrame, op: str, base: str | None = None) -> DataFrame:
+    """An op log kept up by inserting only ops that it lacks; a batch that runs again replaces itself.
 
-def appended(stream: DataFrame, op: str) -> DataFrame:
-    """An op log kept up by inserting only ops that it lacks; a batch that runs again adds nothing."""
+    Of several of one id in a batch the greatest by the other columns stays,
+    as in a table. Earlier batches are read in the range of the batch's ids:
+    where ids grow with time, statistics of their files leave most out.
+    base: the log's folder, to go on from after a restart.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    rest = [c for c in stream.columns if c != op]
 
     def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([op])
+        fresh = batch.groupBy(op).agg(F.max(F.struct(*rest)).alias("_r")).select(*[F.col(op) if c == op else F.col(f"_r.`{c}`") for c in stream.columns])
         if number:
-            seen = batch.sparkSession.read.schema(stream.schema).parquet(*[f"{base}/{k}" for k in range(number)]).select(op)
+            ends = batch.agg(F.min(op).alias("a"), F.max(op).alias("z")).first()
+            seen = batch.sparkSession.read.schema(stream.schema).parquet(*[f"{base}/batch/{k}" for k in range(number)]).select(op).where(F.col(op).between(F.lit(ends["a"]), F.lit(ends["z"])))
             fresh = fresh.join(seen, op, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{base}/{number}")
+        fresh.write.mode("overwrite").parquet(f"{base}/batch/{number}")
 
-    drained(stream, step)
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(base)
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/place").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/batch")
 
 
 def messages(patches: DataFrame, object: str, log: str) -> DataFrame:
