@@ -45,7 +45,9 @@ LEAF = 32
 #: Shingles for each of the finer counts at most, by which sets are chosen that are dealt out.
 FINE = 4
 #: Sets and shingles of a block at most (a single set may be larger).
-BLOCK_SETS, BLOCK_SHINGLES = 256, 250_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Sets of a block that are held against all others at a time.
+ROWS = 256
 #: Blocks below an inner node at most.
 FAN_OUT = 32
 #: Rows whose keys are combined before they are dealt out, and the head of a row that has met no other yet.
@@ -396,14 +398,20 @@ def _fine_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def partners(points: list[np.ndarray], label: np.ndarray, side: np.ndarray, similarity: Fraction) -> np.ndarray:
     """Which points have another of a different label, of the other side unless side is 2, whose summed minima allow a link."""
-    n, both = np.array([int(p.sum()) for p in points]), similarity.numerator + similarity.denominator
-    least = similarity.numerator * (n[:, None] + n[None, :])
-    ok = (label[:, None] != label[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
-    for size in dict.fromkeys((COUNTS, min(map(len, points)))):
-        rows = np.flatnonzero(ok.any(1))
-        folded = np.array([points[r].reshape(-1, size).sum(0) for r in rows], np.int64).reshape(len(rows), size)
-        ok[np.ix_(rows, rows)] &= overlap_bound(folded, folded) * both >= least[np.ix_(rows, rows)]
-    return ok.any(1)
+    n, both, num = np.array([int(p.sum()) for p in points]), similarity.numerator + similarity.denominator, similarity.numerator
+    fold = lambda size: np.array([p.reshape(-1, size).sum(0) for p in points], np.int32).reshape(len(points), size)
+    coarse, size = fold(COUNTS), min(map(len, points))
+    fine, found = coarse if size == COUNTS else fold(size), np.zeros(len(points), bool)
+    for a in range(0, len(points), ROWS):
+        r = slice(a, a + ROWS)
+        ok = (label[r, None] != label[None, :]) & ((side[r, None] != side[None, :]) | (side[r, None] == 2))
+        ok &= overlap_bound(coarse[r], coarse) * both >= num * (n[r, None] + n[None, :])
+        i, j = np.nonzero(ok)
+        i += a
+        for k in range(0, len(i), step := max(1, 2_000_000 // size)):
+            x, y = i[k : k + step], j[k : k + step]
+            found[x[np.minimum(fine[x], fine[y]).sum(1) * both >= num * (n[x] + n[y])]] = True
+    return found
 
 
 def _with_partners(similarity: Fraction):
