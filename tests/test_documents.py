@@ -29,6 +29,54 @@ def test_versions_merge_and_compact(spark, tmp_path):
         documents.rename(spark, path, 1, 5)
 
 
+SCHEMA = "document long, version long, field string, op long, value string"
+
+
+def fields(spark, path):
+    return sorted(map(tuple, documents.loaded(spark, path, reduce).collect()))
+
+
+@pytest.mark.parametrize("number", [1, 2, 3])
+def test_what_is_saved_while_a_document_is_compacted_stays(spark, tmp_path, number):
+    """Another writer saves between reading and saving, under a number that is being dropped or made."""
+    path = str(tmp_path)
+    documents.save(spark.createDataFrame(ROWS, SCHEMA), path)
+    wrote = []
+
+    def slow(rows):
+        if not wrote:
+            wrote.append(documents.save(spark.createDataFrame([(1, number, "c", 9, "late")], SCHEMA), path))
+        return reduce(rows)
+
+    documents.compact(spark, path, slow)
+    want = [(1, "a", 3, "z"), (1, "b", 2, "y"), (1, "c", 9, "late"), (2, "a", 1, "q"), (3, "a", 1, None)]
+    assert fields(spark, path) == want
+    documents.compact(spark, path, reduce)
+    assert fields(spark, path) == want and {r["versions"] for r in documents.listed(spark, path).collect()} == {1}
+    documents.drop(spark.createDataFrame([(2, 1), (2, 1), (77, 1)], "document long, version long"), path)
+    assert [x[0] for x in fields(spark, path)] == [1, 1, 1, 3]
+
+
+def test_names_that_are_taken_meanwhile(spark, tmp_path, monkeypatch):
+    path, real, wrote = str(tmp_path), documents.save, []
+    documents.save(spark.createDataFrame(ROWS, SCHEMA), path)
+
+    def between(versions, at, doc):
+        mark = real(versions, at)
+        if not wrote:
+            wrote.append(real(spark.createDataFrame([(doc, 5, "n", 9, "late")], SCHEMA), at))
+        return mark
+
+    monkeypatch.setattr(documents, "save", lambda v, at: between(v, at, 8))
+    with pytest.raises(ValueError, match="8 exists"):
+        documents.rename(spark, path, 2, 8)
+    assert [x for x in fields(spark, path) if x[0] in (2, 8)] == [(2, "a", 1, "q"), (8, "n", 9, "late")]
+    wrote.clear()
+    monkeypatch.setattr(documents, "save", lambda v, at: between(v, at, 2))
+    documents.rename(spark, path, 2, 6)  # what is saved under the old name meanwhile moves too
+    assert [x for x in fields(spark, path) if x[0] in (2, 6)] == [(6, "a", 1, "q"), (6, "n", 9, "late")]
+
+
 @pytest.mark.parametrize(
     "kind, f, why",
     [

@@ -1,4 +1,7 @@
-"""The text form: ids in their spellings, atoms, inherited keys, broken frames."""
+"""The text form: ids in their spellings, atoms, inherited keys, broken frames.
+
+Spellings of ids and frames are fixed values of the format.
+"""
 
 import random
 

@@ -1,13 +1,17 @@
 """Versioned documents in a shared folder: append-only, merged on reading, compacted in place.
 
-A version is a set of log rows with the columns document and version. A
-version is dropped by a row in a second table, so nothing is rewritten and a
-job that dies half-way leaves documents readable: the new version is saved
-first, the old ones are dropped after, and merging both is harmless.
+A version is a set of log rows with the columns document and version. Rows
+that are saved together carry a mark that no other saving has, and a version
+is dropped by a row in a second table that names the marks which were seen,
+so nothing is rewritten, what arrives meanwhile stays even under the same
+number, and a job that dies half-way leaves documents readable: the new
+version is saved first, the old ones are dropped after, and merging both is
+harmless.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,26 +20,37 @@ from pyspark.sql import functions as F
 from tidelog.shared import shared_dir
 
 KEY = ["document", "version"]
+MARK = "_saved"
 
 
-def save(versions: DataFrame, path: str) -> None:
-    """Append versions; the first one makes the store."""
-    versions.write.mode("append").parquet(f"{path}/versions")
+def save(versions: DataFrame, path: str) -> str:
+    """Append versions; the first one makes the store. Returns the mark of what was saved."""
+    mark = uuid.uuid4().hex
+    versions.withColumn(MARK, F.lit(mark)).write.mode("append").parquet(f"{path}/versions")
+    return mark
 
 
 def drop(pairs: DataFrame, path: str) -> None:
-    """Take versions (document, version) out; unknown and repeated ones do no harm."""
-    pairs.select(*KEY).write.mode("append").parquet(f"{path}/dropped")
+    """Take versions (document, version) out as they are now; unknown and repeated ones do no harm."""
+    _drop(_marked(pairs.sparkSession, path).join(pairs.select(*KEY), KEY, "left_semi"), path)
 
 
-def live(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the versions that are not dropped."""
+def _drop(seen: DataFrame, path: str) -> None:
+    seen.select(*KEY, MARK).distinct().write.mode("append").parquet(f"{path}/dropped")
+
+
+def _marked(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/versions")
-    empty = rows.select(*KEY).schema
+    names = rows.select(*KEY, MARK).schema
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dropped")
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return rows
-    return rows.join(spark.read.schema(empty).parquet(f"{path}/dropped"), KEY, "left_anti")
+    return rows.join(spark.read.schema(names).parquet(f"{path}/dropped"), [*KEY, MARK], "left_anti")
+
+
+def live(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the versions that are not dropped."""
+    return _marked(spark, path).drop(MARK)
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
@@ -49,24 +64,35 @@ def loaded(spark: SparkSession, path: str, reduce: Callable[[DataFrame], DataFra
 
 
 def compact(spark: SparkSession, path: str, reduce: Callable[[DataFrame], DataFrame]) -> None:
-    """Write each document of several versions as one and drop those; documents of one version are left alone."""
+    """Write each document of several versions as one, numbered after the last that was seen, and drop those; documents of one version are left alone."""
     shared_dir(spark)  # checkpoints need one
-    rows = live(spark, path)
-    many = rows.groupBy("document").agg(F.count_distinct("version").alias("_n"), F.max("version").alias("_last")).where("_n > 1").drop("_n")
+    rows = _marked(spark, path)
+    many = rows.groupBy("document").agg(F.count_distinct(F.struct("version", MARK)).alias("_n"), F.max("version").alias("_last")).where("_n > 1").drop("_n")
     # what is dropped is what was read here, not what arrives meanwhile
-    old = rows.select(*KEY).distinct().join(many, "document").checkpoint()
+    old = rows.select(*KEY, MARK).distinct().join(many, "document").checkpoint()
     last = old.select("document", "_last").distinct()
-    merged = reduce(rows.join(old, KEY, "left_semi").drop("version")).join(last, "document").withColumn("version", F.col("_last") + 1)
-    save(merged.select(*rows.columns), path)
-    drop(old, path)
+    merged = reduce(rows.join(old, [*KEY, MARK], "left_semi").drop("version", MARK)).join(last, "document").withColumn("version", F.col("_last") + 1)
+    save(merged.select(*[c for c in rows.columns if c != MARK]), path)
+    _drop(old, path)
 
 
 def rename(spark: SparkSession, path: str, before: int, after: int) -> None:
-    """Give a document another id; ValueError if that is taken."""
+    """Give a document another id, with what is saved meanwhile; ValueError, and all as before, if that is taken, be it meanwhile."""
     shared_dir(spark)
-    rows = live(spark, path)
-    if not rows.where(F.col("document") == after).isEmpty():
-        raise ValueError(f"document {after} exists")
-    moved = rows.where(F.col("document") == before).checkpoint()
-    save(moved.withColumn("document", F.lit(after).cast(rows.schema["document"].dataType)), path)
-    drop(moved.select(*KEY).distinct(), path)
+    kind = spark.read.parquet(f"{path}/versions").schema["document"].dataType
+    mine: list[str] = []
+
+    def taken() -> bool:
+        return not _marked(spark, path).where((F.col("document") == after) & ~F.col(MARK).isin(mine)).isEmpty()
+
+    while True:
+        if taken():
+            _drop(_marked(spark, path).where((F.col("document") == after) & F.col(MARK).isin(mine)), path)
+            raise ValueError(f"document {after} exists")
+        moved = _marked(spark, path).where((F.col("document") == before) & ~F.col(MARK).isin(mine)).checkpoint()
+        if moved.isEmpty():
+            break
+        mine.append(save(moved.drop(MARK).withColumn("document", F.lit(after).cast(kind)), path))
+        if taken():
+            continue
+        _drop(moved, path)
