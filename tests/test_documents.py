@@ -107,3 +107,36 @@ def test_typed_view(spark):
     got = {r[0]: tuple(r)[1:] for r in schema.view(spark.createDataFrame(rows, "object long, field string, op long, value string"), s).collect()}
     assert got == {1: (10, None, [1.5, 0.5], "red", "a"), 2: (None, None, [], None, None)}
     assert [s.column(f) for f in s.fields] == ["sN", "sLast", "sAll", "sColor", "sRef"]
+
+
+def rows(*fields):
+    return [dict(zip(("struct", "kind", "field", "type", "strategy"), f)) for f in fields]
+
+
+def test_declarations_from_a_table():
+    made = schema.declared(rows(("A", "set", "x", "N", "max"), ("B", "lww", "a", "Owner", None), ("A", "set", "b", "B", "merge")), {"N": "M", "M": "Integer", "Owner": "A"})
+    assert [f.name for f in made["A"].fields] == ["x", "b"] and made["A"].resolved("N") == "Integer" and made["B"].resolved("Owner") == "A"
+
+
+@pytest.mark.parametrize(
+    "fields, aliases, why",
+    [
+        (rows(("A", "set", "x", "N", "lww")), {"N": "M", "M": "N"}, "circle"),
+        (rows(("A", "set", "x", "String", "lww"), ("A", "lww", "y", "String", "lww")), {}, "two ways"),
+        (rows(("A", "set", "x", "String", "lww")), {"A": "String"}, "twice"),
+        (rows(("A", "set", "x", "String", "lww"), ("A", "set", "x", "String", "lww")), {}, "twice"),
+        (rows(("A", "set", "x", "Other", "lww")), {}, "unknown type"),
+    ],
+)
+def test_bad_declarations_are_told(fields, aliases, why):
+    with pytest.raises(ValueError, match=why):
+        schema.declared(fields, aliases)
+
+
+def test_fields_that_merge_are_read_by_their_type(spark):
+    types = schema.declared(rows(("A", "set", "b", "B", "merge"), ("A", "set", "n", "Integer", "min"), ("B", "set", "v", "Integer", "max"), ("B", "set", "w", "String", "set"), ("B", "set", "c", "A", "merge")))
+    state = [(1, "b", 1, "20"), (1, "b", 2, "10"), (1, "b", 3, "none"), (1, "n", 4, "5"), (2, "b", 5, "99"), (3, "n", 6, "x"), (10, "v", 7, "1"), (10, "w", 8, "p"), (20, "v", 9, "7"), (20, "w", 10, "q"), (20, "c", 11, "1")]
+    roots = spark.createDataFrame([(1,), (2,), (3,), (1,)], "object long")
+    got = {r["object"]: r.asDict(True) for r in schema.read(spark.createDataFrame(state, "object long, field string, op long, value string"), roots, "A", types).collect()}
+    assert got[1] == {"object": 1, "b": {"object": 10, "v": 7, "w": ["p", "q"], "c": "1"}, "n": 5}
+    assert got[2] == {"object": 2, "b": None, "n": None} and got[3] == {"object": 3, "b": None, "n": None}

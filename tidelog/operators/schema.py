@@ -1,6 +1,6 @@
 """Typed objects: fields with a type and a merge strategy, checked once, read as one typed row an object.
 
-Declarations are Python values; there is no schema language.
+Declarations are Python values or rows of a table; there is no schema language.
 """
 
 from __future__ import annotations
@@ -88,7 +88,57 @@ class Struct:
         return value.try_cast(ATOMS.get(kind, "string"))
 
 
-def view(state: DataFrame, struct: Struct, key: str = "object", field: str = "field", op: str = "op", value: str = "value") -> DataFrame:
+def declared(rows: list[dict], aliases: dict[str, str] | None = None, enums: dict[str, tuple[str, ...]] | None = None) -> dict[str, Struct]:
+    """Structs by name from a table of their fields: rows of struct, kind, field, type, strategy, and prefix and title where they are given.
+
+    Fields keep their order. Types may be aliases of aliases, enums, and
+    structs of the table. ValueError on a circle of aliases, a name that is
+    declared twice, a struct of two kinds, and all that a Struct refuses.
+    """
+    aliases, enums, made = aliases or {}, enums or {}, {}
+    for r in rows:
+        made.setdefault(r["struct"], []).append(r)
+    known = [*ATOMS, *OBJECTS, *aliases, *enums, *made]
+    if twice := {n for n in known if known.count(n) > 1}:
+        raise ValueError(f"declared twice: {', '.join(sorted(twice))}")
+    for name in aliases:
+        path = [name]
+        while path[-1] in aliases:
+            path.append(aliases[path[-1]])
+            if path.count(path[-1]) > 1:
+                raise ValueError(f"a circle of aliases: {' = '.join(path)}")
+    out = {}
+    for name, own in made.items():
+        if len(kinds := {(r["kind"], r.get("prefix") or "", bool(r.get("title"))) for r in own}) > 1:
+            raise ValueError(f"{name}: declared in two ways")
+        kind, prefix, title = kinds.pop()
+        out[name] = Struct(name, kind, tuple(Field(r["field"], r["type"], r.get("strategy") or "lww") for r in own), prefix, title, aliases, enums, tuple(made))
+    return out
+
+
+def read(state: DataFrame, roots: DataFrame, name: str, structs: dict[str, Struct]) -> DataFrame:
+    """(object, and a column a field) of the objects in roots (object), each of the struct of that name.
+
+    state has the alive values (object, field, op, value as text) of all
+    objects. A field that merges is a struct: the least id that it names, as
+    object, and the fields of all objects that it names merged into that one;
+    null where none of them has a row. Such fields of theirs are ids.
+    """
+    struct = structs[name]
+    own = state.join(roots.select("object").distinct(), "object", "left_semi")
+    out = view(own, struct)
+    for f in struct.fields:
+        inner = structs.get(struct.resolved(f.type))
+        if f.strategy != "merge" or inner is None:
+            continue
+        refs = own.where(F.col("field") == f.name).select(F.col("object").alias("_of"), F.col("value").try_cast(state.schema["object"].dataType).alias("_ref")).where("_ref IS NOT NULL")
+        merged = views.merged(refs, state, ["_of"], "_ref", "object", lambda rows, inner=inner: view(rows, inner, key=["_of", "object"]))
+        it = F.struct("object", *[inner.column(g) for g in inner.fields]).alias("_it")
+        out = out.join(merged.select(F.col("_of"), it), F.col("object") == F.col("_of"), "left").drop("_of").withColumn(struct.column(f), F.col("_it")).drop("_it")
+    return out
+
+
+def view(state: DataFrame, struct: Struct, key: str | list[str] = "object", field: str = "field", op: str = "op", value: str = "value") -> DataFrame:
     """One row an object, one typed column a field: null (set: an empty array) where there is no value or it does not fit.
 
     state has the alive values as text. A merged reference reads as the
@@ -102,4 +152,5 @@ def view(state: DataFrame, struct: Struct, key: str = "object", field: str = "fi
         cells.append(F.when(fits, v).alias(f"_v{i}"))
         marks.append(F.when(fits, F.col(op)).alias(f"_o{i}"))
         made.append(views.strategy("min" if f.strategy == "merge" else f.strategy, f"_v{i}", f"_o{i}").alias(struct.column(f)))
-    return state.select(key, *cells, *marks).groupBy(key).agg(*made)
+    by = [key] if isinstance(key, str) else key
+    return state.select(*by, *cells, *marks).groupBy(*by).agg(*made)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelog.operators import nested
+from tidelog.operators import nested, schema
 from tidelog.operators.nested import Object, Objects
 from tidelog.plans.catalog import query
 from tidelog.sources import adapters
@@ -67,3 +67,27 @@ def reference_closure(spark, sf_dir):
     refs = refs.toDF("object", "ref")
     found = nested.closure(part.where("p_size = 1").selectExpr("p_partkey AS object"), refs, upto=6)
     return found.groupBy("root").agg(F.count("*").alias("objects"), F.sum("object").alias("total"), F.max("depth").cast("long").alias("depth"))
+
+
+_FIELDS = [
+    {"struct": s, "kind": "set", "field": f, "type": t, "strategy": how}
+    for s, f, t, how in (
+        ("Customer", "name", "String", "lww"), ("Customer", "segment", "Segment", "lww"), ("Customer", "balance", "Money", "max"), ("Customer", "order", "Purchase", "merge"),
+        ("Order", "top", "Money", "max"), ("Order", "least", "Money", "min"), ("Order", "priority", "String", "lww"), ("Order", "states", "String", "set"),
+    )
+]
+_TYPES = schema.declared(_FIELDS, {"Money": "Price", "Price": "Float", "Purchase": "Order"}, {"Segment": ("BUILDING", "MACHINERY", "AUTOMOBILE")})
+
+
+@query("""
+    SELECT c_custkey AS object, c_name AS name, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN c_mktsegment END AS segment, c_acctbal AS balance, o.* EXCLUDE (c)
+    FROM customer LEFT JOIN (SELECT o_custkey AS c, min(o_orderkey) AS root, max(o_totalprice) AS top, min(o_totalprice) AS least, arg_max(o_orderpriority, o_orderkey) AS priority, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS states FROM orders GROUP BY 1) o ON c = c_custkey
+""")
+def schema_read(spark, sf_dir):
+    """Customers as typed objects whose orders, objects of their own, merge into one: every strategy, aliases and an enum, declared in a table."""
+    cells = lambda x, object, op, values: x.select(F.expr(object).alias("object"), F.expr(op).alias("op"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.expr(c).cast("string").alias("value")) for f, c in values.items()])).alias("c")).select("object", "c.field", "op", "c.value")
+    customer, orders = adapters.table(spark, sf_dir, "customer"), adapters.table(spark, sf_dir, "orders")
+    state = cells(customer, "2 * c_custkey", "1L", {"name": "c_name", "segment": "c_mktsegment", "balance": "c_acctbal"}).unionByName(cells(orders, "2 * o_custkey", "o_orderkey", {"order": "2 * o_orderkey + 1"}))
+    state = state.unionByName(cells(orders, "2 * o_orderkey + 1", "o_orderkey", {"top": "o_totalprice", "least": "o_totalprice", "priority": "o_orderpriority", "states": "o_orderstatus"}))
+    x = schema.read(state, customer.selectExpr("2 * c_custkey AS object"), "Customer", _TYPES)
+    return x.select(F.expr("object div 2").alias("object"), "name", "segment", "balance", F.expr("order.object div 2").alias("root"), "order.top", "order.least", "order.priority", F.array_join("order.states", "").alias("states"))
