@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog import types
-from tidelog.functions import ids
-from tidelog.operators import exchange, frames as reduction, lists, reducers, stores
+from tidelog.functions import ids, parsing
+from tidelog.operators import edits, exchange, frames as reduction, lists, reducers, stores
 from tidelog.plans.catalog import ORACLE_SQL, query
 from tidelog.plans.codecs_catalog import _event_ops
 from tidelog.shared import shared_dir
@@ -151,3 +151,35 @@ def peer_exchange(spark, sf_dir):
     rows = e.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("peer"), (F.col("user_id") % 5).alias("replica"), F.col("event_id").alias("time"), F.col("event_type").alias("field"))
     held = rows.where(F.col("time") * 100 <= most * ((F.col("peer") * 37 + F.col("replica") * 53) % 101))
     return exchange.lacking(held, spark.range(5).toDF("peer")).withColumnRenamed("time", "op")
+
+
+@query("""
+    SELECT event_id, event_id AS op, user_id AS ref, event_type AS said, event_id * 64 AS after, (event_id + 1) * 1099511627776 + user_id * 77 AS name, event_id & 1152921504606846975 AS low FROM events
+""")
+def open_op_pieces(spark, sf_dir):
+    """Open ops written one by one and read, ids after the id before them, values of file names, and the low sixty bits of longer numbers."""
+    none = lambda t: F.lit(None).cast(t)
+    u = lambda c: types.uuid(0, c, 0, 2, 5)
+    atom = F.struct(F.lit("string").alias("tag"), none("bigint").alias("i"), none("double").alias("f"), F.col("event_type").alias("s"), none(types.UUID).alias("u"))
+    v = (F.col("event_id") + 1) * 1099511627776 + F.col("user_id") * 77
+    said = F.concat(frames.op_text(u(F.col("event_id")), u(F.col("user_id")), F.array(atom)), F.lit(";"))
+    x = adapters.table(spark, sf_dir, "events").select("event_id", said.alias("said"), u(F.col("event_id")).alias("before"), ids.uuid_text(u(F.col("event_id") * 64)).alias("after"), ids.encode60_base32(v).alias("name"))
+    x = x.select("event_id", parsing.parse_open_op(F.col("said")).alias("o"), parsing.parse_uuid_atom(F.col("before"), F.col("after")).alias("a"), ids.decode60_base32(F.col("name")).alias("name"), ids.least_significant60(F.col("event_id").bitwiseOR(F.lit(5 << 60))).alias("low"))
+    return x.select("event_id", F.col("o.op_id.value").alias("op"), F.col("o.ref_id.value").alias("ref"), F.col("o.payload")[0]["s"].alias("said"), F.col("a.value").alias("after"), "name", "low")
+
+
+@query("""
+    WITH e AS (SELECT user_id AS object, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS op, event_type FROM events)
+    SELECT object, 1000000 + row_number() OVER (PARTITION BY object ORDER BY op) AS op, op AS parent FROM e WHERE event_type = 'error'
+""")
+def tree_removals(spark, sf_dir):
+    """Every error is removed from its user's tree by an empty child of its own."""
+    tree = adapters.events_tree(spark, sf_dir)
+    return edits.tree_removed(tree, F.col("event_type") == "error", F.lit(1_000_000).cast("long"), ["object"]).select("object", "op", "parent")
+
+
+@query("SELECT user_id AS object, event_id AS op, value FROM events")
+def typed_rows(spark, sf_dir):
+    """Rows tagged with a type and read as that type; one of another would fail the job."""
+    rows = reduction.as_type(adapters.events_log(spark, sf_dir).where("op_index >= 0").drop("type_id"), "lww")
+    return reduction.typed(rows, "lww").select(F.col("object_id.value").alias("object"), F.col("op_id.value").alias("op"), F.get("payload", F.lit(0))["f"].alias("value"))
