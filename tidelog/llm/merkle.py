@@ -170,3 +170,46 @@ def op13_merkle_manifest(spark, sf_dir: str, levels: int = LEVELS) -> DataFrame:
     changed = F.when(hit, leaf([lowered if f == "text" else F.col(f) for f in FIELDS]))
     x = manifest(docs, also={"changed": changed}, levels=levels).withColumn("folded_root", folded(F.coalesce("changed", "leaf"), F.col("proof")))
     return x.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _sql_tree(name: str, tree: str, height: int) -> str:
+    """CTEs of a forest from {name}0 (tree, idx, d, c): nodes {name}k of level k, and siblings {name}s_k before (b) and after (a) each; c is a level's size."""
+    out = []
+    for k in range(height):
+        beside = f"string_agg(d, '') OVER (PARTITION BY {tree}, idx // {FANOUT} ORDER BY idx ROWS BETWEEN"
+        out.append(f"{name}s_{k} AS (SELECT {tree}, idx, c > 1 AS up, coalesce({beside} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce({beside} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k})")
+        out.append(f"{name}{k + 1} AS (SELECT {tree}, idx // {FANOUT} AS idx, CASE WHEN c > 1 THEN sha256(string_agg(d, '' ORDER BY idx)) ELSE any_value(d) END AS d, (c + {FANOUT - 1}) // {FANOUT} AS c FROM {name}{k} GROUP BY {tree}, idx // {FANOUT}, c)")
+    return ", ".join(out)
+
+
+def _sql_fold(start: str, name: str, tree: str, place: str, height: int) -> str:
+    """CTEs that carry held and proof of start's rows up a tree; the last is {name}f_{height}."""
+    out = []
+    for k in range(height):
+        before = start if k == 0 else f"{name}f_{k}"
+        out.append(
+            f"{name}f_{k + 1} AS (SELECT x.* EXCLUDE (held, proof), CASE WHEN s.up THEN sha256(s.b || held || s.a) ELSE held END AS held, CASE WHEN s.up THEN proof || s.b || s.a ELSE proof END AS proof"
+            f" FROM {before} x JOIN {name}s_{k} s ON s.{tree} IS NOT DISTINCT FROM x.{tree} AND s.idx = x.{place} // {FANOUT**k})"
+        )
+    return ", ".join(out)
+
+
+def _oracle(height: int = 6) -> str:
+    """SQL for tables of up to 16^height rows a source, and as many sources."""
+    said = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    digest = lambda text: "sha256(" + " || ".join(said(f if f != "text" else text) for f in FIELDS) + ")"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a // 256, t[(xor(a, b) & 255) + 1])), 4294967295)"
+    return f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t),
+leaves AS (SELECT doc_id, source, {digest("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {digest(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed FROM documents, crc),
+laid AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+n0 AS (SELECT source, place AS idx, leaf AS d, count(*) OVER (PARTITION BY source) AS c FROM laid), {_sql_tree("n", "source", height)},
+subroots AS (SELECT source, d AS subroot, 0 AS one, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS nth FROM n{height}),
+r0 AS (SELECT one, nth AS idx, subroot AS d, count(*) OVER () AS c FROM subroots), {_sql_tree("r", "one", height)},
+start AS (SELECT laid.*, subroot, one, nth, coalesce(changed, leaf) AS held, '' AS proof FROM laid JOIN subroots ON laid.source IS NOT DISTINCT FROM subroots.source),
+{_sql_fold("start", "n", "source", "place", height)}, {_sql_fold(f"nf_{height}", "r", "one", "nth", height)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, held AS folded_root, held = d AS verified FROM rf_{height}, (SELECT d FROM r{height})
+"""
+
+
+ORACLE_SQL = _oracle()

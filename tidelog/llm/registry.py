@@ -25,4 +25,5 @@ ORACLE_SQL = {
     "op3_license_scan": licences.ORACLE_SQL,
     "op5_sharding": shards.ORACLE_SQL,
     "op8_ngram_jaccard_join": jaccard.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
