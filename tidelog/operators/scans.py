@@ -13,14 +13,14 @@ from pyspark.sql.types import StructField, StructType
 from tidelog.shared import shared_dir
 
 
-def dealt(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """rows dealt to tasks by ranges of (keys, order) and sorted in each, with the range's number _part; a checkpoint, so that all readers see one deal."""
+def dealt(rows: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """rows dealt to tasks by ranges of (keys, order), so many if told, and sorted in each, with the range's number _part; a checkpoint, so that all readers see one deal."""
     shared_dir(rows.sparkSession)  # checkpoints need one
-    x = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    x = rows.repartitionByRange(*([ranges] if ranges else []), *keys, *order).sortWithinPartitions(*keys, *order)
     return x.withColumn("_part", F.spark_partition_id()).checkpoint()
 
 
-def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None) -> DataFrame:
+def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: dict[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
     """rows with running columns in order, for each value of keys: sums and lasts (the last value that is not null) up to and with a row, before: the value of the row before.
 
     A group of any size may lie over many ranges: a row for each range of such
@@ -30,7 +30,7 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     sums, lasts, before = sums or {}, lasts or {}, before or {}
     for n, c in [*sums.items(), *lasts.items(), *before.items()]:
         rows = rows.withColumn(f"_in_{n}", c)
-    x = dealt(rows, keys, order)
+    x = dealt(rows, keys, order, ranges)
     own = Window.partitionBy("_part", *keys).orderBy(*order)
     so_far, place = own.rowsBetween(Window.unboundedPreceding, 0), F.struct(*order)
     of = lambda n: F.col(f"_in_{n}")

@@ -19,15 +19,16 @@ def objects(log: DataFrame, object: str) -> DataFrame:
     return log.select(object).distinct()
 
 
-def patch_runs(log: DataFrame, object: str, op: str, value: str) -> DataFrame:
+def patch_runs(log: DataFrame, object: str, op: str, value: str, ranges: int | None = None) -> DataFrame:
     """Runs of consecutive ops, by op id, of one object: (first_op, last_op, object, n_ops, total).
 
     The order is global: ranges of ids are scanned where they lie, and a row
     a range tells the next whether its first op goes on with the run before.
+    ranges: how many, if not as many as Spark shuffles to.
     """
     x = log.select(F.lit(0).alias("all"), F.col(object).alias("object"), F.col(op).alias("op"), F.col(value).alias("value"))
-    x = scans.scanned(x, ["all"], ["op"], before={"last": F.col("object")})
-    x = scans.scanned(x, ["all"], ["op"], lasts={"first_op": F.when(~F.col("object").eqNullSafe(F.col("last")), F.col("op"))})
+    x = scans.scanned(x, ["all"], ["op"], before={"last": F.col("object")}, ranges=ranges)
+    x = scans.scanned(x, ["all"], ["op"], lasts={"first_op": F.when(~F.col("object").eqNullSafe(F.col("last")), F.col("op"))}, ranges=ranges)
     return x.groupBy("first_op").agg(F.max("op").alias("last_op"), F.max("object").alias("object"), F.count("*").alias("n_ops"), F.sum("value").alias("total"))
 
 
