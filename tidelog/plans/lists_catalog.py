@@ -142,7 +142,7 @@ def stream_restart(spark, sf_dir):
 @query("""
     WITH p AS (SELECT unnest(range(0, 5)) AS peer), e AS (SELECT event_id, user_id % 5 AS replica, event_type, max(event_id) OVER () AS most FROM events),
     held AS (SELECT peer, e.* FROM e, p WHERE peer < 4 AND event_id * 100 <= most * ((peer * 37 + replica * 53) % 101)), v AS (SELECT peer, replica, max(event_id) AS upto FROM held GROUP BY ALL)
-    SELECT p.peer AS "to", h.replica, event_id AS op, event_type AS field FROM (SELECT DISTINCT event_id, replica, event_type FROM held) h CROSS JOIN p LEFT JOIN v ON v.peer = p.peer AND v.replica = h.replica WHERE upto IS NULL OR event_id > upto
+    SELECT p.peer AS peer, h.replica, event_id AS op, event_type AS field FROM (SELECT DISTINCT event_id, replica, event_type FROM held) h CROSS JOIN p LEFT JOIN v ON v.peer = p.peer AND v.replica = h.replica WHERE upto IS NULL OR event_id > upto
 """)
 def peer_exchange(spark, sf_dir):
     """Four peers with different parts of five replicas' logs, and one with nothing, get what they lack from each other."""
@@ -150,7 +150,7 @@ def peer_exchange(spark, sf_dir):
     most = e.agg(F.max("event_id")).first()[0] or 0
     rows = e.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("peer"), (F.col("user_id") % 5).alias("replica"), F.col("event_id").alias("time"), F.col("event_type").alias("field"))
     held = rows.where(F.col("time") * 100 <= most * ((F.col("peer") * 37 + F.col("replica") * 53) % 101))
-    return exchange.lacking(held, spark.range(5).toDF("peer")).withColumnRenamed("time", "op")
+    return exchange.lacking(held, spark.range(5).toDF("peer")).withColumnRenamed("time", "op").withColumnRenamed("to", "peer")
 
 
 @query("""
