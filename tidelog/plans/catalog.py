@@ -337,10 +337,11 @@ _SQL60 = _sql_letters("v", ids.BASE64, 6, 10)
 
 @query(f"""
     SELECT event_id, {_SQL60} AS letters, coalesce(nullif(rtrim({_SQL60}, '0'), ''), '0') AS short, coalesce(nullif(rtrim({_sql_letters("v", ids.BASE32, 5, 12)}, '0'), ''), '0') AS name, v AS back
-    FROM (SELECT event_id, (event_id + 1) * 1099511627776 + user_id * 77 AS v FROM events)
+    FROM (SELECT event_id, (event_id + 1) % 1048576 * 1099511627776 + user_id * 77 AS v FROM events)
 """)
 def base64_60(spark, sf_dir):
-    v = (F.col("event_id") + 1) * 1099511627776 + F.col("user_id") * 77
+    """Values of sixty bits in letters and back; their upper twenty bits are the event's, so that they fit whatever its id."""
+    v = (F.col("event_id") + 1) % 1048576 * 1099511627776 + F.col("user_id") * 77
     x = adapters.table(spark, sf_dir, "events").select("event_id", v.alias("v"))
     return x.select("event_id", ids.encode60(F.col("v")).alias("letters"), ids.encode60_short(F.col("v")).alias("short"), ids.encode60_base32(F.col("v")).alias("name")).withColumn("back", ids.decode60(F.col("short")))
 
