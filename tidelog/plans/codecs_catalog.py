@@ -14,8 +14,8 @@ from tidelog.plans.catalog import _sql_letters, query
 from tidelog.shared import shared_dir
 from tidelog.sources import adapters, binary, folders, frames, text
 
-#: SQL: an id of all fields from an event, and its 64-bit halves as unsigned numbers.
-_FIELDS = "SELECT event_id, event_id % 16 AS a, (event_id + 1) * 1099511627776 + user_id AS v, event_id % 4 AS b, (event_id // 4) % 4 AS c, user_id * 1048576 + event_id AS o FROM events"
+#: SQL: an id of all fields from an event, of whose value the upper twenty bits are the event's low ones, and its 64-bit halves as unsigned numbers.
+_FIELDS = "SELECT event_id, event_id % 16 AS a, (event_id + 1) % 1048576 * 1099511627776 + user_id AS v, event_id % 4 AS b, (event_id // 4) % 4 AS c, user_id * 1048576 + event_id AS o FROM events"
 _HALVES = f"SELECT *, CAST(a AS HUGEINT) * 1152921504606846976 + v AS x, CAST(b * 4 + c AS HUGEINT) * 1152921504606846976 + o AS y FROM ({_FIELDS})"
 
 
@@ -25,7 +25,7 @@ def _signed(v: str) -> str:
 
 def _fields(spark, sf_dir):
     x = adapters.table(spark, sf_dir, "events")
-    u = types.uuid(F.col("event_id") % 16, (F.col("event_id") + 1) * 1099511627776 + F.col("user_id"), F.col("event_id") % 4, F.expr("(event_id div 4) % 4"), F.col("user_id") * 1048576 + F.col("event_id"))
+    u = types.uuid(F.col("event_id") % 16, (F.col("event_id") + 1) % 1048576 * 1099511627776 + F.col("user_id"), F.col("event_id") % 4, F.expr("(event_id div 4) % 4"), F.col("user_id") * 1048576 + F.col("event_id"))
     return x.select("*", u.alias("u"))
 
 
