@@ -154,14 +154,14 @@ def peer_exchange(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, event_id AS op, user_id AS ref, event_type AS said, event_id * 64 AS after, (event_id + 1) * 1099511627776 + user_id * 77 AS name, event_id & 1152921504606846975 AS low FROM events
+    SELECT event_id, event_id AS op, user_id AS ref, event_type AS said, event_id * 64 AS after, (event_id + 1) % 1048576 * 1099511627776 + user_id * 77 AS name, event_id & 1152921504606846975 AS low FROM events
 """)
 def open_op_pieces(spark, sf_dir):
     """Open ops written one by one and read, ids after the id before them, values of file names, and the low sixty bits of longer numbers."""
     none = lambda t: F.lit(None).cast(t)
     u = lambda c: types.uuid(0, c, 0, 2, 5)
     atom = F.struct(F.lit("string").alias("tag"), none("bigint").alias("i"), none("double").alias("f"), F.col("event_type").alias("s"), none(types.UUID).alias("u"))
-    v = (F.col("event_id") + 1) * 1099511627776 + F.col("user_id") * 77
+    v = (F.col("event_id") + 1) % 1048576 * 1099511627776 + F.col("user_id") * 77
     said = F.concat(frames.op_text(u(F.col("event_id")), u(F.col("user_id")), F.array(atom)), F.lit(";"))
     x = adapters.table(spark, sf_dir, "events").select("event_id", said.alias("said"), u(F.col("event_id")).alias("before"), ids.uuid_text(u(F.col("event_id") * 64)).alias("after"), ids.encode60_base32(v).alias("name"))
     x = x.select("event_id", parsing.parse_open_op(F.col("said")).alias("o"), parsing.parse_uuid_atom(F.col("before"), F.col("after")).alias("a"), ids.decode60_base32(F.col("name")).alias("name"), ids.least_significant60(F.col("event_id").bitwiseOR(F.lit(5 << 60))).alias("low"))
