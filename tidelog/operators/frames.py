@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidelog import types
 from tidelog.functions import ids
 from tidelog.operators import lists
+from tidelog.shared import shared_dir
+from tidelog.sources.text import _word as word
 
 #: Names of the registered types: fixed values.
 LWW, LIST, SET, VECTOR = "lww", "rga", "set", "vv"
@@ -35,7 +37,7 @@ RANKS = {
 def _is(*names: str) -> Column:
     """Whether a row's type is one of these names."""
     named = (F.col("type_id.variety") == 0) & (F.col("type_id.version") == 0) & (F.col("type_id.origin") == 0)
-    return named & ids.encode60_short(F.col("type_id.value")).isin(*names)
+    return named & F.col("type_id.value").isin(*[word(n) for n in names])
 
 
 def _chunks(rows: DataFrame, order: list[Column | str]) -> DataFrame:
@@ -85,8 +87,11 @@ def reduce_log(log: DataFrame) -> DataFrame:
 
     Of rows of one op the greatest payload stays. Unknown types and queries
     come out as they are, queries as the last chunks. Rows with an error are
-    left out; an empty log gives no rows.
+    left out; an empty log gives no rows. The log is checkpointed, since each
+    type reads it by itself.
     """
+    shared_dir(log.sparkSession)  # checkpoints need one
+    log = log.checkpoint()
     columns = ["chunk_kind", *KEY, "header_op_id", "header_ref_id", "op_index", "op_id", "ref_id", "payload"]
     known = _is(LWW, LIST, SET, VECTOR) & (F.col("chunk_kind") != "query")
     out = _reduced_lists(log).select(*columns)

@@ -18,6 +18,7 @@ from tidelog.functions import ids
 from tidelog.operators import scans, sequences
 from tidelog.operators.differences import edited  # noqa: F401
 from tidelog.sources.frames import LIST
+from tidelog.sources.text import _word as word
 
 #: The zero id in sortable letters.
 ZERO = "0" * 22
@@ -31,7 +32,7 @@ def from_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     named = {c: ids.sortable(F.col(c)).alias(c) for c in ("object_id", "op_id", "ref_id", "header_ref_id")}
     raw = (F.col("chunk_kind") == "closed") | (F.col("header_ref_id.version") == 3)
-    x = log.where((ids.encode60_short(F.col("type_id.value")) == LIST) & F.col("chunk_kind").isin("closed", "value") & (F.col("op_index") >= 0))
+    x = log.where((F.col("type_id.value") == word(LIST)) & F.col("chunk_kind").isin("closed", "value") & (F.col("op_index") >= 0))
     x = x.select("frame_no", "chunk_no", "op_index", "payload", raw.alias("raw"), *named.values())
     empty = F.size("payload") == 0
     removals = x.where(F.col("raw") & empty).selectExpr("object_id AS object", "ref_id AS target", "op_id AS tombstone")

@@ -232,7 +232,7 @@ def _mixed(spark, sf_dir):
 def frame_reduce(spark, sf_dir):
     """A log that mixes types, states, patches, raw ops and queries, reduced by the registry, written as delta-coded text and as binary, and read again."""
     shared_dir(spark)  # checkpoints need one
-    reduced = reduction.reduce_log(_mixed(spark, sf_dir).checkpoint()).checkpoint()
+    reduced = reduction.reduce_log(_mixed(spark, sf_dir)).checkpoint()
     said = text.parsed_log(frames.delta_coded(reduced, ["frame"])).where("error IS NULL").checkpoint()
     again = binary.parsed_log(binary.serialized(said.withColumn("frame", reduction.frame_name()), ["frame"])).where("error IS NULL")
     kind = F.col("chunk_kind")

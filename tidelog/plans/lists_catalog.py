@@ -53,7 +53,7 @@ def frame_reduce_lists(spark, sf_dir):
     raw = rows(sent.where("n > 3 AND n % 4 <> 1"), "closed", zero, F.lit(0), u(F.col("n")), u(parent), real)
     gone = rows(e.where("field = 'error' AND n >= 3"), "closed", zero, F.lit(0), u(1_000_000 + F.col("n")), u(F.expr("n div 3")), empty)
     log = states.unionByName(patches).unionByName(raw).unionByName(gone.withColumn("chunk_no", F.col("chunk_no") + 1_000_000))
-    said = frames.delta_coded(reduction.reduce_log(log.checkpoint()).checkpoint(), ["frame"], width=64)
+    said = frames.delta_coded(reduction.reduce_log(log).checkpoint(), ["frame"], width=64)
     again, waiting = lists.reduced(*lists.from_log(text.parsed_log(said).where("error IS NULL").checkpoint()))
     value = lambda c: ids.from_sortable(F.col(c))["value"].alias(c)
     placed = again.select(value("object"), value("ref"), value("op"), value("gone"), F.col("payload")[0]["f"].alias("value"), F.col("pos").cast("long").alias("pos"))

@@ -3,8 +3,9 @@
     spark.read.format("tidelog_folder").options(path=..., names="object/log/patch").load()
 
 gives a row a file: its names and its address, not its content. Folders of the
-first name are listed by tasks of their own; a condition on the first name
-keeps the others from being listed. contents() then opens just the files that
+first name are listed by tasks of their own, few large ones by several, each
+for a share of the names below; a condition on the first name keeps the others
+from being listed. contents() then opens just the files that
 are left. Writing gives each row's text the place that its names say: a task
 writes beside it and moves it there, so a file is there whole or not at all,
 and what a task has done is one commit message.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import contextlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-#: Folders that a task lists.
-TOGETHER = 64
+#: Folders that a task lists; tasks that share what is below few folders.
+TOGETHER, SHARES = 64, 64
 FORMAT = "tidelog_folder"
 
 
@@ -55,6 +57,8 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 @dataclass
 class Folders(InputPartition):
     names: list[str]
+    share: int = 0
+    shares: int = 1
 
 
 @dataclass
@@ -83,7 +87,12 @@ class FolderReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         at, base = opened(self.path)
         found = [x.base_name for x in _below(at, base) if x.type == fs.FileType.Directory and (self.only is None or read_name(x.base_name) in self.only)]
-        return [Folders(found[i : i + TOGETHER]) for i in range(0, len(found), TOGETHER)] or [Folders([])]
+        groups = [found[i : i + TOGETHER] for i in range(0, len(found), TOGETHER)]
+        shares = 1
+        if len(groups) == 1:  # how many entries are below tells how many tasks share them
+            below = sum(len(_below(at, f"{base}/{x}/log" if self.names[1] == "log" else f"{base}/{x}")) for x in found)
+            shares = min(SHARES, max(1, -(-below // TOGETHER)))
+        return [Folders(g, k, shares) for g in groups for k in range(shares)] or [Folders([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         at, base = opened(self.path)
@@ -93,6 +102,8 @@ class FolderReader(DataSourceReader):
                 yield from walk(f"{path}/log", told, left[1:])
                 return
             for x in _below(at, path):
+                if len(told) == 1 and zlib.crc32(x.base_name.encode(errors="surrogateescape")) % partition.shares != partition.share:
+                    continue
                 if (x.type == fs.FileType.File) == (len(left) == 1):
                     said = (*told, read_name(x.base_name))
                     yield from [(*said, f"{path}/{x.base_name}")] if len(left) == 1 else walk(f"{path}/{x.base_name}", said, left[1:])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import ids
 from tidelog.operators import reducers
+from tidelog.shared import shared_dir
 from tidelog.sources import filestore, frames, text
 
 LOG = ("object", "log", "patch")
@@ -51,8 +52,9 @@ def load_log(spark: SparkSession, path: str, version: DataFrame | None = None) -
 
 
 def save_versions(states: DataFrame, path: str, collection: str) -> None:
-    """Write log rows with the columns document_id and version (text) as a frame of states a version."""
-    named = states.withColumn("document", ids.file_name(F.col("document_id"))).withColumn("collection", F.lit(collection))
+    """Write log rows with the columns document_id and version (text) as a frame of states a version; checkpointed, since writing reads them several times."""
+    shared_dir(states.sparkSession)
+    named = states.withColumn("document", ids.file_name(F.col("document_id"))).withColumn("collection", F.lit(collection)).checkpoint()
     filestore.saved(frames.states_text(frames.state_frame(named, ["collection", "document", "version"]), ["collection", "document", "version"]), path, DOCUMENTS)
 
 
