@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidelog.functions import ids
 from tidelog.operators import scans, sequences
 from tidelog.operators.differences import edited  # noqa: F401
+from tidelog.shared import kept
 from tidelog.sources.frames import LIST
 from tidelog.sources.text import _word as word
 
@@ -111,13 +112,15 @@ def _joined(lists: DataFrame) -> DataFrame:
     """(object, ref, pos, op) of objects of any size: parents by running minima over ranges of lists, order by ranking of the tours of their trees."""
     x = lists.select("object", "ref", F.concat_ws("\x00", F.col("object").cast("string"), F.col("ref").cast("string"), F.col("chunk").cast("string")).alias("list"), "pos", "op")
     x = scans.smaller_before(x, "list", "pos", "op", "parent")
-    nodes = x.groupBy("object", "op").agg(F.max(F.coalesce("parent", "ref")).alias("parent")).checkpoint()
+    nodes = x.groupBy("object", "op").agg(F.max(F.coalesce("parent", "ref")).alias("parent"))
     while True:  # a greater reference is no place of its own: up to what it stands under, in steps that double along others of that kind
+        nodes = kept(nodes)
         up = nodes.select("object", F.col("op").alias("parent"), F.col("parent").alias("_above"))
-        late = nodes.where("parent > op").join(up, ["object", "parent"]).select("object", "op", "_above").checkpoint()
+        late = nodes.where("parent > op").join(up, ["object", "parent"]).select("object", "op", "_above")
+        late = kept(late)
         if late.isEmpty():
             break
-        nodes = nodes.join(late, ["object", "op"], "left").select("object", "op", F.coalesce("_above", "parent").alias("parent")).checkpoint()
+        nodes = nodes.join(late, ["object", "op"], "left").select("object", "op", F.coalesce("_above", "parent").alias("parent"))
     return sequences._ranked(nodes.where("op <> parent")).withColumnRenamed("root", "ref")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.shared import shared_dir
+from tidelog.shared import kept
 
 
 def tombstones(removals: DataFrame, key: list[str], target: str, tombstone: str) -> DataFrame:
@@ -65,7 +65,6 @@ def _ranked(nodes: DataFrame, most: int = 64) -> DataFrame:
     all rows is as spread as the others. root is the parent at the top that is
     no node itself; places are counted for each root.
     """
-    shared_dir(nodes.sparkSession)  # checkpoints need one
     older = F.expr("lead(op) OVER (PARTITION BY object, parent ORDER BY op DESC)")
     x = nodes.withColumn("sibling", older)
     child = nodes.groupBy("object", F.col("parent").alias("op")).agg(F.max("op").alias("child"))
@@ -75,7 +74,7 @@ def _ranked(nodes: DataFrame, most: int = 64) -> DataFrame:
     leaves = x.select("object", step(F.col("op"), yes).alias("at"), F.when(F.col("sibling").isNull(), step(F.col("parent"), yes)).otherwise(step(F.col("sibling"), no)).alias("to"), F.lit(0).cast("long").alias("n"))
     x = enters.unionByName(leaves).withColumn("open", yes)
     for _ in range(most):
-        x = x.checkpoint()
+        x = kept(x)
         if x.where("open").isEmpty():
             break
         ahead = x.select("object", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("open").alias("_open"))
@@ -129,10 +128,9 @@ def depths(tree: DataFrame, object: str, op: str, parent: str, most: int = 64) -
 
     most bounds the rounds at 2**most levels, beyond any table.
     """
-    shared_dir(tree.sparkSession)  # checkpoints need one
     x = tree.select(object, op, F.col(parent).alias("_up"), F.lit(1).cast("long").alias("depth")).dropDuplicates([object, op])
     for _ in range(most):
-        x = x.checkpoint()
+        x = kept(x)
         if x.where("_up <> 0").isEmpty():
             return x.select(object, op, "depth")
         up = x.select(object, F.col(op).alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))

@@ -1,10 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables kept there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,3 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
+
+
+def kept(x: DataFrame) -> DataFrame:
+    """x written to the shared folder and read again.
+
+    For rounds of a loop: a checkpoint carries over what its plan knows of its
+    columns, and of joins with itself that doubles and more with each round,
+    until planning takes longer than all jobs. A table carries nothing.
+    """
+    path = f"{shared_dir(x.sparkSession)}/kept-{uuid.uuid4().hex}"
+    x.write.parquet(path)
+    return x.sparkSession.read.schema(x.schema).parquet(path)
