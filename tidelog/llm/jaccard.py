@@ -500,9 +500,8 @@ def tree_pairs(leaves: DataFrame, similarity: Fraction) -> DataFrame:
     return met.where("i < j")
 
 
-def _further(sets: DataFrame, placed: DataFrame, many: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame | None:
-    """Links between blocks that are no neighbours, where a family is in several components; None where none is."""
-    parts = components(found).selectExpr("v AS id", "c")
+def _further(sets: DataFrame, placed: DataFrame, many: DataFrame, parts: DataFrame, similarity: Fraction) -> DataFrame | None:
+    """Links between blocks that are no neighbours, where a family is in several of the components parts (id, c) of its neighbours' links; None where none is."""
     rows = placed.join(many.select("block", "next"), "block").join(parts, "id", "left").withColumn("label", F.coalesce("c", "id"))
     labels = written(rows.select("id", "block", "label"), "labels")
     leaves = many.join(labels.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")), "block")
@@ -556,8 +555,9 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     near = near.selectExpr("id", "s1", "s2", "family", "id AS label", f"explode(filter({trio}, p -> p.i IS NOT NULL AND p.j IS NOT NULL)) AS p")
     found = _compared(sets, near.select("id", "s1", "s2", "family", "label", "p.i", "p.j", "p.side"), similarity)
     if not many.isEmpty():
-        more = _further(sets, placed, many.drop("before"), found, similarity)
-        found = found if more is None else found.union(more)
+        parts = components(found).selectExpr("v AS id", "c")
+        more = _further(sets, placed, many.drop("before"), parts, similarity)
+        found = parts.toDF("u", "v") if more is None else parts.toDF("u", "v").union(more)
     joined = components(found.union(same.where("id <> last").selectExpr("id AS u", "id AS v")))
     moved = same.join(joined.selectExpr("v AS id", "c"), "id", "left").where("c <> id OR last <> id").selectExpr("s1", "s2", "n", "coalesce(c, id) AS c")
     out = prints.select("id", "n", "s1", "s2").join(moved, ["s1", "s2", "n"], "left")
