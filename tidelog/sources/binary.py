@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, StringType, _parse_datatype_string
 from tidelog import types
 from tidelog.functions import ids
 from tidelog.sources.frames import KEYS, cut
-from tidelog.sources.text import batched, log_row
+from tidelog.sources.text import batched, log_row, pieces, plain_row
 
 #: Fixed values of the format: the first bytes, and the types of blocks.
 MAGIC = b"RON2"
@@ -129,8 +129,9 @@ def _op(data: bytes, at: int, end: int) -> tuple[int, dict[int, tuple], list[tup
     return kind, keys, atoms, at
 
 
-def frame(data: bytes) -> list[dict]:
-    """The rows of a binary frame; ValueError says where it breaks."""
+def frame(data: bytes, row=None) -> list:
+    """The rows of a binary frame, made by row, by log_row where that is not told; ValueError says where it breaks."""
+    row = row or log_row
     if data[:4] != MAGIC:
         raise ValueError(f"unsupported first bytes {data[:4]!r}")
     rows, at, chunk, more = [], 4, 0, True
@@ -151,13 +152,13 @@ def frame(data: bytes) -> list[dict]:
             raise ValueError(f"chunk of {size} bytes has more than its op at {at}")
         now = [keys[k] for k in (TYPE, OBJECT, OP, REF)]
         name, header = {CLOSED: "closed", HEADER: "value", QUERY: "query"}[kind], None if kind == CLOSED else tuple(now)
-        rows.append(log_row(chunk, name, now, header, 0 if kind == CLOSED else -1, atoms))
+        rows.append(row(chunk, name, now, header, 0 if kind == CLOSED else -1, atoms))
         index = 0
         while at < end:
             kind, keys, atoms, at = _op(data, at, end)
             if kind != REDUCED:
                 raise ValueError(f"op of kind {kind} inside a chunk before {at}")
-            rows.append(log_row(chunk, name, [*now[:2], keys[OP], keys[REF]], header, index, atoms))
+            rows.append(row(chunk, name, [*now[:2], keys[OP], keys[REF]], header, index, atoms))
             index += 1
         chunk += 1
     if at != len(data):
@@ -170,13 +171,15 @@ def parsed_log(frames: DataFrame, data: str = "data") -> DataFrame:
     schema = _parse_datatype_string(f"{types.OPLOG}, error string")
     arrow = to_arrow_schema(schema)
 
-    def told(raw: bytes) -> list[dict]:
+    own = {"frame_no": 0, "error": None}
+
+    def told(raw: bytes) -> list[tuple]:
         try:
-            return [r | {"frame_no": 0, "error": None} for r in frame(raw)]
+            return [(r, own) for r in frame(raw, plain_row)]
         except (ValueError, IndexError, struct.error) as e:
-            return [dict.fromkeys(arrow.names) | {"frame_no": 0, "error": str(e)}]
+            return [(None, own | {"error": str(e)})]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batched((r for b in batches for raw in b.column(0).to_pylist() if raw is not None for r in told(raw)), arrow)
+        return batched((r for raw in pieces(batches) if raw["data_"] is not None for r in told(raw["data_"])), arrow)
 
-    return frames.select(F.col(data).cast("binary")).mapInArrow(run, schema)
+    return frames.select(F.col(data).cast("binary").alias("data_")).mapInArrow(run, schema)
