@@ -10,7 +10,7 @@ meet form families.
 
 A family is indexed as an R-tree over its points of group counts: points in
 order of size and counts are cut into blocks, blocks into inner nodes, and
-these into one node a partition; inside a block are leaves. The tree is
+these into one node a family; inside a block are leaves. The tree is
 joined with itself from the top down. At every level the summed minima of two
 upper corners bound the overlap of what is below, so pairs of nodes that
 cannot link go before a set is copied. Pairs of blocks get finer counts of
@@ -44,7 +44,7 @@ COUNTS = 32
 LEAF = 32
 #: Shingles for each of the finer counts at most, by which sets are chosen that are dealt out.
 FINE = 4
-#: Sets and shingles of a block at most (a single set may be larger).
+#: Sets and shingles of a block at most (its last set may go beyond).
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Sets of a block that are held against all others at a time.
 ROWS = 256
@@ -442,28 +442,51 @@ def _compared(sets: DataFrame, rows: DataFrame, similarity: Fraction) -> DataFra
     return written(dealt.mapInArrow(_block_links(similarity), "u long, v long"), "links")
 
 
-def _blocks(most_sets: int, most_shingles: int):
-    """Adds block to rows sorted by family and the rest, each once: so many sets or shingles of one family at most, numbered in order from partition << 32 on."""
+def _weights(most_sets: int, most_shingles: int):
+    """Adds upto and base to rows sorted by family and the rest, each once.
+
+    upto is the weight of the family's sets before it in this partition, of
+    which most_shingles fill a block and most_sets weigh as much at most; base
+    is the family's first block, from partition << 32 on, if it begins here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, family, last, sets, shingles = (TaskContext.get().partitionId() << 32) - 1, None, None, 0, 0
+        least = -(-most_shingles // most_sets)
+        base, family, last, upto = TaskContext.get().partitionId() << 32, None, None, 0
         for b in batches:
             keep, out = [], []
             for i, (f, n, *row) in enumerate(zip(*(b.column(c).to_pylist() for c in ("family", "n", "id", "s1", "s2")))):
                 if row == last:
                     continue
                 last = row
-                if f != family or sets == most_sets or shingles + n > most_shingles and sets:
-                    block, family, sets, shingles = block + 1, f, 0, 0
-                sets, shingles = sets + 1, shingles + n
+                if f != family:
+                    base, family, upto = base + -(-upto // most_shingles), f, 0
                 keep.append(i)
-                out.append(block)
+                out.append((base, upto))
+                upto += min(max(least, n), most_shingles)
             kept = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], [*b.schema.names, "base", "upto"])
 
     return run
 
 
+def _placed(rows: DataFrame, most_sets: int, most_shingles: int) -> DataFrame:
+    """rows (family, n, point, id, s1, s2), each once, with the block of their family that they are in.
+
+    A family's blocks are cut in order of size and counts, wherever the ranges
+    end that it is dealt to: more tasks make no more blocks.
+    """
+    order = ["family", "n", "point", "id", "s1", "s2"]
+    x = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)  # without the sets themselves
+    x = written(x.mapInArrow(_weights(most_sets, most_shingles), "family long, n long, point array<int>, id long, s1 long, s2 long, base long, upto long"), "placed")
+    weight = f"least(greatest(n, {-(-most_shingles // most_sets)}), {most_shingles})"
+    each = x.groupBy("family", "base").agg(F.expr(f"max(upto + {weight})").alias("total"))
+    begun = each.selectExpr("family", "base", "min(base) OVER (PARTITION BY family) AS first", "sum(total) OVER (PARTITION BY family ORDER BY base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start")
+    begun = written(begun.where("start IS NOT NULL"), "begun")  # families that go on from another range: one a range at most
+    x = x.join(F.broadcast(begun), ["family", "base"], "left")
+    return x.selectExpr(*order, f"coalesce(first, base) + (coalesce(start, 0) + upto) div {most_shingles} AS block")
+
+
 def _nodes(below: DataFrame, *by) -> DataFrame:
     """Nodes of a tree from those below them: sizes, upper corner, and range of labels."""
     corner = F.array(*[F.max(F.col("corner")[g]) for g in range(COUNTS)]).alias("corner")
@@ -481,9 +504,8 @@ def _may_link(similarity: Fraction) -> str:
 def tree_pairs(leaves: DataFrame, similarity: Fraction) -> DataFrame:
     """(family, i, j), i < j: pairs of blocks that the join of the families' trees with themselves leaves.
 
-    leaves: family, block, low, high, corner, a, b. Top nodes, one a
-    partition of each family, meet by band of sizes; below, nodes meet where
-    their parents did.
+    leaves: family, block, low, high, corner, a, b. Top nodes meet by
+    band of sizes; below, nodes meet where their parents did.
     """
     ok = _may_link(similarity)
     blocks = leaves.withColumn("inner", F.expr(f"block div {FAN_OUT}"))
@@ -543,9 +565,7 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     kind = "id long, n long, s1 long, s2 long, shingles binary, point array<int>, family long"
     sets = source.join(small(family), "id").select("id", "text", "family").mapInArrow(_fingerprints(width, similarity, False), kind).where("n > 0")
     sets = written(sets, "sets")
-    order = ["family", "n", "point", "id", "s1", "s2"]
-    placed = sets.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)  # without the sets themselves
-    placed = written(placed.mapInArrow(_blocks(BLOCK_SETS, BLOCK_SHINGLES), "family long, n long, point array<int>, id long, s1 long, s2 long, block long"), "placed")
+    placed = _placed(sets, BLOCK_SETS, BLOCK_SHINGLES)
     corner = F.array(*[F.max(F.col("point")[g]) for g in range(COUNTS)]).alias("corner")
     leaves = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), corner)
     at = "OVER (PARTITION BY family ORDER BY block)"  # one small row a block
