@@ -118,7 +118,7 @@ def day_payloads(spark, sf_dir):
 @query("SELECT event_id, event_id AS whole, value AS real, event_type || '''s \"x\"' AS said, user_id AS origin, event_id * 64 AS id_value, 3 AS atoms, event_id AS op, user_id AS ref, CAST(NULL AS BIGINT) AS none FROM events")
 def parsed_pieces(spark, sf_dir):
     """Ids, atoms, strings, payloads and ops read from their texts."""
-    x = adapters.table(spark, sf_dir, "events")
+    x = adapters.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").repartition(spark.sparkContext.defaultParallelism)  # a file has few splits for so much parsing
     u = types.uuid(11, F.col("event_id") * 64, 0, 2, F.col("user_id"))
     said = text.quoted(F.concat("event_type", F.lit("'s \"x\"")))
     whole, real = F.concat(F.lit("="), F.col("event_id").cast("string")), F.concat(F.lit("^"), F.col("value").cast("string"))
