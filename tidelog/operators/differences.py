@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators import scans
+from tidelog.shared import few
 
 #: Elements of one side that a task compares at once; runs of anchors that it puts in order.
 MOST, MOST_RUNS = 4096, 1_000_000
@@ -76,7 +77,7 @@ def heaviest(starts: list[int], sizes: list[int]) -> list[int]:
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in few(batches):
         out = []
         for object, ops, old, new in zip(*(b.column(c).to_pylist() for c in ("object", "ops", "old", "new"))):
             n, a, kept = 0, 0, [*common(old, new), (len(old), len(new))]
@@ -150,7 +151,7 @@ def _gaps(lines: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in few(batches):
         out: list[list[dict]] = []
         for old, new in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
             pairs = common([x["hash"] for x in old], [x["hash"] for x in new])

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidelog.functions import ids
 from tidelog.operators import scans, sequences
 from tidelog.operators.differences import edited  # noqa: F401
-from tidelog.shared import kept
+from tidelog.shared import few, kept
 from tidelog.sources.frames import LIST
 from tidelog.sources.text import _word as word
 
@@ -90,7 +90,7 @@ def fixed_point(found: list[tuple], zero) -> dict:
 
 def _run(arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             rows = []
             for r in b.to_pylist():
                 for ref, ops in forest([(x["ref"], x["ops"]) for x in r["lists"]]).items():

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.shared import kept
+from tidelog.shared import few, kept
 
 
 def tombstones(removals: DataFrame, key: list[str], target: str, tombstone: str) -> DataFrame:
@@ -51,7 +51,7 @@ def _walk(ops: list[int], parents: list[int]) -> list[int]:
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in few(batches):
         ops, parents = ([x.values.to_numpy().tolist() for x in b.column(c)] for c in ("ops", "parents"))
         yield pa.RecordBatch.from_arrays([b.column("object"), pa.array(map(_walk, ops, parents), pa.list_(pa.int64()))], ["object", "ops"])
 

@@ -4,9 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that become Python values at a time.
+FEW = 64
+
+
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of FEW rows: where a row is a whole object, what is made of it in Python takes many times its own bytes."""
+    for b in batches:
+        for i in range(0, b.num_rows, FEW):
+            yield b.slice(i, FEW)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset and all runs on one machine."""
