@@ -84,3 +84,30 @@ def test_written_is_read_again(spark):
     assert one["title"] == "a" and one["author"] == {"name": "Ada", "tags": ["x", "y"]}
     assert one["replies"][0]["replies"][0] == {"title": "c", "best": "1"} and one["replies"][0]["author"] is None
     assert spark.createDataFrame([], kind).select(F.lit(1)).count() == 0 and nested.written(made.limit(0), ["k"], POST, 0)[1].collect() == []
+
+
+def test_an_object_over_many_batches_is_read_as_one(spark):
+    """Ops of one object come in several batches to its task, with values that only an earlier or a later batch tells."""
+    many = spark.range(0, 25_000, 1, 3).selectExpr("id % 3 AS object", "CASE WHEN id % 2 = 0 THEN 'title' WHEN id % 2500 = 1 THEN 'tags' ELSE 'best' END AS field", "id AS op", "CASE WHEN id = 24998 THEN NULL ELSE lpad(CAST(id * 7919 % 25000 AS STRING), 5, '0') END AS value", "CAST(NULL AS BIGINT) AS ref")
+    kind = Object({"title": "lww", "tags": "set", "best": "max"})
+    rows = [tuple(r) for r in many.collect()]
+    got = {r["object"]: r.asDict(True) for r in nested.read(many, spark.range(4).toDF("object"), kind).collect()}
+    assert got == {o: plain(rows, o, kind) for o in range(4)}
+
+
+def test_the_log_meets_all_levels_at_once(spark):
+    """Going down a level reads references only; however deep the type, values and links are read once each."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        reads.add(1)
+        yield from batches
+
+    rows = [(i, f, 10 * i + n, v, r) for i in range(1, 5) for n, (f, v, r) in enumerate((("name", f"n{i}", None), ("next", None, i + 1)))]
+    log = spark.createDataFrame(rows, LOG).coalesce(1).mapInArrow(seen, LOG)
+    kind = Object({"name": "lww"})
+    for _ in range(3):
+        kind = Object({"name": "lww", "next": kind})
+    got = nested.read(log, spark.range(1, 2).toDF("object"), kind).first()
+    assert got["next"]["next"]["next"]["name"] == "n4"
+    assert reads.value == 2

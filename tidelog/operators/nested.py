@@ -2,22 +2,30 @@
 
 A log has a row an alive op: object, field, op, value (text) and ref, the id
 of another object where the payload is one. Reading goes down level by level:
-each round joins the references of the objects met before, and back up, where
-what was read becomes a struct or an array of structs of its parent. Writing
-lays a nested row out in nesting order; its place there, after those of the
-rows before, gives every object and op its event.
+each round joins the references of the objects met before. Then all objects
+are read at once, and back up what was read becomes a struct or an array of
+structs of its parent. Writing lays a nested row out in nesting order; its
+place there, after those of the rows before, gives every object and op its event.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators import scans, views
-from tidelog.shared import shared_dir
+from tidelog.shared import kept, shared_dir
+
+#: Rows that are laid out at a time.
+ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -43,35 +51,60 @@ def read(log: DataFrame, roots: DataFrame, type: Object) -> DataFrame:
     itself it is cycle; both have null fields, and what was read is ok. A
     field without a reference is null, of Objects an empty array. Repeated
     roots are read once.
-    """
-    shared_dir(log.sparkSession)  # checkpoints need one
-    top = roots.select("object").where("object IS NOT NULL").distinct().select(F.col("object").cast("string").alias("_at"), "object", F.array("object").alias("_path")).checkpoint()
-    return _read(log, top, type).drop("_at")
-
 
-def _read(log: DataFrame, met: DataFrame, type: Object) -> DataFrame:
-    plain = {f: how for f, how in type.fields.items() if isinstance(how, str)}
-    own = log.join(met.select("object").distinct(), "object", "left_semi")  # an object is reduced once, however many refer to it
-    there = own.groupBy("object").agg(F.lit("ok").alias("status"), *[views.strategy(how, "value", "op", F.col("field") == f).alias(f) for f, how in plain.items()])
-    out = met.select("_at", "object").join(there, "object", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    for f, kind in type.fields.items():
-        if isinstance(kind, str):
-            continue
-        refs = own.where((F.col("field") == f) & F.col("ref").isNotNull())
-        many = isinstance(kind, Objects)
-        named = refs.groupBy("object", "ref").agg(F.min("op").alias("_op")) if many else refs.groupBy("object").agg(F.max_by("ref", "op").alias("ref"), F.max("op").alias("_op"))
-        below = met.join(named, "object").select(F.col("_at").alias("_up"), F.concat_ws("/", "_at", F.lit(f), F.col("ref").cast("string")).alias("_at"), F.col("ref").alias("object"), "_path", "_op").checkpoint()  # one level's objects: the next level's plan starts here
-        again = F.array_contains("_path", F.col("object"))
-        kids = _read(log, below.where(~again).select("_at", "object", F.array_append("_path", F.col("object")).alias("_path")), kind)
-        names = ["object", "status", *kind.fields]
-        cut = below.where(again).select("_at", "object", F.lit("cycle").alias("status"), *[F.lit(None).cast(kids.schema[n].dataType).alias(n) for n in kind.fields])
-        each = below.select("_up", "_at", "_op").join(kids.unionByName(cut), "_at").select("_up", F.struct("_op", F.struct(*names).alias("it")).alias("k"))
-        told = F.transform(F.sort_array(F.collect_list("k")), lambda k: k["it"])
-        per = each.groupBy(F.col("_up").alias("_at")).agg((told if many else told[0]).alias(f))
-        out = out.join(per, "_at", "left")
-        if many:
-            out = out.withColumn(f, F.when(F.col("status") == "ok", F.coalesce(f, F.array().cast(per.schema[f].dataType))))
-    return out.select("_at", "object", "status", *type.fields)
+    Going down takes the references alone; the objects of all levels meet the
+    log once, and an object is reduced once, however many refer to it.
+    """
+    shared_dir(log.sparkSession)  # tables between the levels need one
+    links = _links(type)
+    refs = kept(log.where(F.col("field").isin(*links) & F.col("ref").isNotNull()).select("object", "field", "op", "ref")) if links else None
+    named = F.monotonically_increasing_id().alias("_at")  # fixed by the table that it is written to
+    none, no = F.lit(None), F.lit(False)
+    top = roots.select("object").where("object IS NOT NULL").distinct().select(named, none.cast("long").alias("_up"), none.cast(log.schema["op"].dataType).alias("_op"), "object", no.alias("_again"), F.array("object").alias("_path"))
+    levels: list[tuple[Object, DataFrame, dict[str, int]]] = []
+
+    def down(met: DataFrame, type: Object) -> int:
+        """Number of the level of objects met as that type; those below it are added too."""
+        number, below = len(levels), {}
+        levels.append((type, met, below))
+        for f, kind in type.fields.items():
+            if isinstance(kind, str):
+                continue
+            own = refs.where(F.col("field") == f)
+            each = own.repartition("object").groupBy("object", "ref").agg(F.min("op").alias("_op")) if isinstance(kind, Objects) else own.groupBy("object").agg(F.max_by("ref", "op").alias("ref"), F.max("op").alias("_op"))
+            x = met.where(~F.col("_again")).select("object", F.col("_at").alias("_up"), "_path").join(each, "object").select(named, "_up", "_op", F.col("ref").alias("object"), F.array_contains("_path", F.col("ref")).alias("_again"), F.array_append("_path", F.col("ref")).alias("_path"))
+            below[f] = down(kept(x if _links(kind) else x.drop("_path")), kind)
+        return number
+
+    down(kept(top), type)
+    met = reduce(DataFrame.unionByName, [x.select(F.lit(n).alias("_level"), "_at", "_up", "_op", "object", "_again") for n, (_, x, _) in enumerate(levels)])
+    first = met.where(~F.col("_again"))
+    plain = {p: f"_v{i}" for i, p in enumerate(dict.fromkeys((f, how) for t, _, _ in levels for f, how in t.fields.items() if isinstance(how, str)))}
+    there = log.join(first.select("object").distinct(), "object", "left_semi").groupBy("object").agg(F.lit("ok").alias("status"), *[views.strategy(how, "value", "op", F.col("field") == f).alias(v) for (f, how), v in plain.items()])
+    got = first.join(there, "object", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    got = kept(got.unionByName(met.where("_again").withColumn("status", F.lit("cycle")), allowMissingColumns=True))
+
+    def up(number: int) -> DataFrame:
+        type, _, below = levels[number]
+        own = [F.col(plain[f, how]).alias(f) for f, how in type.fields.items() if isinstance(how, str)]
+        out = got.where(F.col("_level") == number).select("_at", "_up", "_op", "object", "status", *own)
+        for f, n in below.items():
+            kind = type.fields[f]
+            per = up(n).select(F.col("_up").alias("_at"), "_op", F.struct("object", "status", *kind.fields).alias(f))
+            if isinstance(kind, Objects):
+                per = per.groupBy("_at").agg(F.transform(F.sort_array(F.collect_list(F.struct("_op", f))), lambda k: k[f]).alias(f))  # noqa: B023
+            out = out.join(per.select("_at", f), "_at", "left")
+            if isinstance(kind, Objects):
+                out = out.withColumn(f, F.when(F.col("status") == "ok", F.coalesce(f, F.array().cast(per.schema[f].dataType))))
+        return out.select("_at", "_up", "_op", "object", "status", *type.fields)
+
+    return up(0).drop("_at", "_up", "_op")
+
+
+def _links(type: Object) -> set[str]:
+    """The fields that refer to objects, of a type and of those below it."""
+    below = {f: kind for f, kind in type.fields.items() if isinstance(kind, Object)}
+    return set(below).union(*map(_links, below.values()))
 
 
 def closure(roots: DataFrame, refs: DataFrame, upto: int | None = None) -> DataFrame:
@@ -89,26 +122,59 @@ def closure(roots: DataFrame, refs: DataFrame, upto: int | None = None) -> DataF
         found = found.unionByName(front).checkpoint()
 
 
-def _laid_out(value: Column, path: Column, type: Object) -> Column:
-    """The entries (path, field, value, ref) of one object in nesting order, its creation first; what it refers to follows each reference."""
-    entry = lambda field, v, ref: F.struct(path.alias("path"), F.lit(field).cast("string").alias("field"), v.cast("string").alias("value"), ref.cast("string").alias("ref"))
-    none = F.lit(None)
-    parts = [F.array(entry(None, none, none))]
+def _texts(value: Column, type: Object) -> Column:
+    """An object's fields by name and in order, all values as text."""
+    out = []
     for f, kind in type.fields.items():
         v = value[f]
         if isinstance(kind, Objects):
-            at = lambda i: F.concat(path, F.lit(f"/{f}:"), i.cast("string"))
-            each = F.transform(v, lambda x, i: F.concat(F.array(entry(f, none, at(i))), _laid_out(x, at(i), kind)))
-            parts.append(F.when(v.isNotNull(), F.flatten(each)))
+            v = F.transform(v, lambda x: F.when(x.isNotNull(), _texts(x, kind)))  # noqa: B023
         elif isinstance(kind, Object):
-            at = F.concat(path, F.lit(f"/{f}"))
-            parts.append(F.when(v.isNotNull(), F.concat(F.array(entry(f, none, at)), _laid_out(v, at, kind))))
-        elif kind == "set":
-            parts.append(F.when(v.isNotNull(), F.transform(v, lambda x: entry(f, x, none))))
+            v = F.when(v.isNotNull(), _texts(v, kind))
+        else:
+            v = v.cast("array<string>" if kind == "set" else "string")
+        out.append(v.alias(f))
+    return F.struct(*out)
+
+
+def _laid_out(values: pa.Array, type: Object) -> tuple[np.ndarray, list[tuple]]:
+    """How many events each object takes with what it refers to, and the entries (place in values, field, object, op, value or None for a reference).
+
+    Events count from an object's creation, 0; fields follow in order, and
+    what a reference names follows it.
+    """
+    every = np.arange(len(values))
+    size, out = np.ones(len(values), np.int64), []
+    for f, kind in type.fields.items():
+        v = pc.struct_field(values, f)
+        if isinstance(kind, Objects) or kind == "set":
+            n = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            of, v = np.repeat(every, n), v.flatten()
         else:
-            parts.append(F.when(v.isNotNull(), F.array(entry(f, v, none))))
-    made = "array<struct<path: string, field: string, value: string, ref: string>>"
-    return F.concat(*[F.coalesce(p, F.array().cast(made)).cast(made) for p in parts])
+            n = v.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+            of, v = every[n > 0], v.drop_null()
+        one, below = _laid_out(v, kind) if isinstance(kind, Object) else (np.zeros(len(v), np.int64), [])
+        upto = np.concatenate([[0], np.cumsum(one + 1)])
+        ends = np.cumsum(n)
+        op = size[of] + upto[:-1] - upto[ends - n][of]
+        out.append((of, f, np.zeros(len(of), np.int64), op, None if isinstance(kind, Object) else v))
+        out += [(of[i], g, o + op[i] + 1, p + op[i] + 1, w) for i, g, o, p, w in below]
+        size = size + upto[ends] - upto[ends - n]
+    return size, out
+
+
+def _ops(type: Object):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                first = part.column("_first").to_numpy()
+                for of, f, object, op, value in _laid_out(part.column("_value"), type)[1]:
+                    op, none = pa.array(first[of] + op), pa.nulls(len(of), pa.int64())
+                    own = [pa.nulls(len(of), pa.string()), pc.add(op, 1)] if value is None else [value.cast(pa.string()), none]
+                    yield pa.RecordBatch.from_arrays([pa.array(first[of] + object), pa.DictionaryArray.from_arrays(np.zeros(len(of), np.int32), [f]).cast(pa.string()), op, *own], ["object", "field", "op", "value", "ref"])
+
+    return run
 
 
 def written(rows: DataFrame, key: list[str], type: Object, base: int) -> tuple[DataFrame, DataFrame]:
@@ -118,12 +184,8 @@ def written(rows: DataFrame, key: list[str], type: Object, base: int) -> tuple[D
     arrays of structs where these are objects. Null fields have no op. Events
     follow base in order of key (unique, not null) and nesting.
     """
-    value = F.struct(*type.fields)
-    x = rows.select(*key, _laid_out(value, F.lit("."), type).alias("entries"))
-    x = scans.scanned(x.withColumn("_all", F.lit(0)).withColumn("_n", F.size("entries").cast("long")), ["_all"], key, sums={"_upto": F.col("_n")})
-    first = F.col("_upto") - F.col("_n") + base + 1
-    event = F.map_from_entries(F.transform(F.filter(F.transform("entries", lambda e, i: F.struct(e["path"].alias("path"), i.alias("i"), e["field"].isNull().alias("made"))), lambda e: e["made"]), lambda e: F.struct(e["path"], e["i"])))
-    x = x.select(*key, first.alias("first"), "entries", event.alias("at")).checkpoint()
-    ops = x.select("first", "at", F.posexplode("entries").alias("i", "e")).where("e.field IS NOT NULL")
-    place = lambda p: F.col("first") + F.try_element_at("at", p)
-    return x.select(*key, F.col("first").alias("object")), ops.select(place(F.col("e.path")).alias("object"), F.col("e.field").alias("field"), (F.col("first") + F.col("i")).alias("op"), F.col("e.value").alias("value"), place(F.col("e.ref")).alias("ref"))
+    x = rows.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], _texts(F.struct(*type.fields), type).alias("_value"))
+    x = scans.summed(x, [f"_key{i}" for i in range(len(key))], lambda b: pa.array(_laid_out(b.column("_value"), type)[0]), "_before")
+    x = x.select(*[F.col(f"_key{i}").alias(c) for i, c in enumerate(key)], "_value", (F.col("_before") + base + 1).alias("_first"))
+    ops = x.select("_first", "_value").mapInArrow(_ops(type), "object long, field string, op long, value string, ref long")
+    return x.select(*key, F.col("_first").alias("object")), ops

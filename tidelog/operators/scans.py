@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidelog.shared import shared_dir
 
@@ -48,6 +49,27 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     return x.select(*kept, *[c.alias(n) for n, c in got.items()])
 
 
+def summed(rows: DataFrame, order: list[str], size: Callable[[pa.RecordBatch], pa.Array], name: str) -> DataFrame:
+    """rows with the sum of size (whole numbers) over all rows before, in order, which is unique; a range adds up its own in its task, and a row for each range tells the others."""
+    shared_dir(rows.sparkSession)
+    x = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = 0
+        for b in batches:
+            if b.num_rows:
+                n = size(b)
+                upto = pc.add(pc.cumulative_sum(n), so_far)
+                so_far = upto[-1].as_py()
+                yield pa.RecordBatch.from_arrays([*b.columns, pc.subtract(upto, n), upto], [*b.schema.names, "_own", "_upto"])
+
+    x = x.mapInArrow(run, StructType([*x.schema.fields, StructField("_own", LongType()), StructField("_upto", LongType())])).checkpoint()
+    each = x.groupBy("_part").agg(F.max("_upto").alias("_all"))
+    before = F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.join(F.broadcast(each.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))), "_part")
+    return x.select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "i") -> DataFrame:
     """rows with their place from 0 among those of the same keys."""
     return scanned(rows, keys, order, sums={name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)

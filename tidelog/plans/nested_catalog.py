@@ -49,7 +49,7 @@ def nested_round_trip(spark, sf_dir):
     whose = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.struct(F.col("c_name").alias("name"), F.struct(F.col("n_name").alias("name")).alias("nation")).alias("customer"))
     rows = table("orders").join(whose, "o_custkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("state"), "customer", "lines")
     tops, ops = nested.written(rows, ["o_orderkey"], _ORDER, 1 << 40)
-    x = nested.read(ops, tops, _ORDER).join(tops, "object")
+    x = nested.read(ops, tops, _ORDER)
     said = F.array_join(F.transform("lines", lambda i: F.concat(i["part"], F.lit(" "), i["quantity"], F.lit(" "), F.array_join(i["modes"], "+"))), ",")
     return x.select(F.col("key").cast("long").alias("object"), F.col("state").alias("status"), F.col("customer.name").alias("customer"), F.col("customer.nation.name").alias("nation"), F.when(F.size("lines") > 0, said).alias("lines"))
 
