@@ -98,3 +98,20 @@ def test_updates_go_on_after_a_restart(spark, tmp_path):
     assert run() == []
     folders.append_patches(patches(spark, [(1, 15, 0, 14)]), path)
     assert run() == [(name(1), name(15))]
+
+
+def test_many_updates_take_few_tasks(spark, tmp_path):
+    """A turn's tasks do not grow with its files."""
+    path, place, got, parts = f"{tmp_path}/store", f"{tmp_path}/place", [], []
+    folders.append_patches(patches(spark, [(i % 50, 1000 + i, 0, i) for i in range(300)]), path)
+
+    def told(x, n):
+        parts.append(x.rdd.getNumPartitions())
+        got.extend(map(tuple, x.collect()))
+
+    q = folders.updates(spark, path, folders.LOG).writeStream.option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(told).start()
+    q.awaitTermination()
+    tracker, cores = spark.sparkContext.statusTracker(), spark.sparkContext.defaultParallelism
+    stages = [i for j in tracker.getJobIdsForGroup(str(q.runId)) for i in tracker.getJobInfo(j).stageIds]
+    assert len(got) == len(set(got)) == 300 and parts == [cores]
+    assert stages and max(tracker.getStageInfo(i).numTasks for i in stages) <= 4 * cores
