@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.shared import shuffles_dropped
+
 #: ASCII white space between words.
 SPACES = " \t\n\x0b\x0c\r"
 #: Paths of the tables that written() made, by table; folders open for deletion, by scratch() block; folders for the process's end.
@@ -40,19 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends here.
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None, beyond: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage ends here, and its shuffle files go.
 
     The table goes when the scratch() block around it ends well, else at the
     end of the process; instead_of, a table written before that nothing will
-    read again, goes at once. What a failed run wrote stays for recovery.
+    read again, goes at once; a table beyond its block belongs to the block
+    around that. What a failed run wrote stays for recovery.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
-    (_blocks[-1] if _blocks else _at_end).append(path)
+    (_blocks[-1 - beyond] if len(_blocks) > beyond else _at_end).append(path)
     if instead_of is not None and instead_of in _paths:
         drop_folders([_paths.pop(instead_of)])
     return out

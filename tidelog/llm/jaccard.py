@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, written
+from tidelog.llm.common import documents, scratch, written
 from tidelog.llm.graph import components
 from tidelog.llm.textarrays import chunks, encoded, groups, mix, shingle_sets
 
@@ -50,6 +50,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
 ROWS = 256
 #: Blocks below an inner node at most.
 FAN_OUT = 32
+#: Times that a set is dealt to pairs of blocks in a round, on average.
+DEALT = 4
 #: Rows whose keys are combined before they are dealt out, and the head of a row that has met no other yet.
 COMBINED, ALONE = 500_000, -(1 << 63)
 #: Similarity from which single token groups hold shingles enough (9 at 0.9) to be met by; below, parts of groups are combined.
@@ -522,20 +524,44 @@ def tree_pairs(leaves: DataFrame, similarity: Fraction) -> DataFrame:
     return met.where("i < j")
 
 
-def _further(sets: DataFrame, placed: DataFrame, many: DataFrame, parts: DataFrame, similarity: Fraction) -> DataFrame | None:
-    """Links between blocks that are no neighbours, where a family is in several of the components parts (id, c) of its neighbours' links; None where none is."""
-    rows = placed.join(many.select("block", "next"), "block").join(parts, "id", "left").withColumn("label", F.coalesce("c", "id"))
-    labels = written(rows.select("id", "block", "label"), "labels")
-    leaves = many.join(labels.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")), "block")
-    split = leaves.groupBy("family").agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least <> most").select("family")
-    leaves = written(leaves.join(split, "family", "left_semi"), "leaves")
-    if leaves.isEmpty():
-        return None
-    pairs = tree_pairs(leaves.drop("next"), similarity).join(leaves.select(F.col("block").alias("i"), "next"), "i").where("NOT j <=> next")
-    pairs = written(pairs.select("i", "j"), "pairs")
-    ends = pairs.selectExpr("i AS block", "i", "j", "0 AS side").union(pairs.selectExpr("j AS block", "i", "j", "1 AS side"))
-    rows = placed.select("id", "s1", "s2", "block", "family").join(labels.select("id", "block", "label").distinct(), ["id", "block"]).join(ends, "block")
-    return _compared(sets, rows.drop("block"), similarity)
+def _rounds(pairs: DataFrame, placed: DataFrame) -> int:
+    """Rounds in which the sets of pairs of blocks are dealt out, so that each deals about DEALT times the sets there are at most."""
+    sets = placed.groupBy("block").agg(F.count("*").alias("sets"))
+    ends = pairs.selectExpr("i AS block").union(pairs.selectExpr("j AS block"))
+    dealt = ends.join(sets, "block").agg(F.sum("sets")).first()[0] or 0
+    return max(1, -(-dealt // (DEALT * max(1, placed.count()))))
+
+
+def _further(sets: DataFrame, placed: DataFrame, many: DataFrame, parts: DataFrame, similarity: Fraction) -> DataFrame:
+    """Links (u, v) with those between blocks that are no neighbours, where a family is in several of the components parts (id, c) of its neighbours' links.
+
+    Pairs of blocks may grow with the square of a family's, so they are dealt
+    out in rounds of bounded size. What a round connects, later ones leave out.
+    """
+    rounds, pairs, at, edges = None, None, 0, parts.toDF("u", "v")
+    while rounds is None or at < rounds:
+        rows = placed.join(many.select("block", "next"), "block").join(parts, "id", "left").withColumn("label", F.coalesce("c", "id"))
+        labels = written(rows.select("id", "block", "label"), "labels")
+        leaves = many.join(labels.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")), "block")
+        split = leaves.groupBy("family").agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least <> most").select("family")
+        leaves = written(leaves.join(split, "family", "left_semi"), "leaves")
+        if leaves.isEmpty():
+            break
+        if pairs is None:
+            pairs = tree_pairs(leaves.drop("next"), similarity).join(leaves.select(F.col("block").alias("i"), "next"), "i").where("NOT j <=> next")
+            pairs = written(pairs.select("i", "j"), "pairs")
+            rounds = _rounds(pairs, placed)
+        some = pairs.where(F.pmod(F.xxhash64("i", "j"), F.lit(rounds)) == at) if rounds > 1 else pairs
+        if at:
+            ends = leaves.select("block", "a", "b")
+            some = some.join(ends.toDF("i", "_a", "_b"), "i").join(ends.toDF("j", "_c", "_d"), "j").where("NOT (_a = _b AND _c = _d AND _a = _c)").select("i", "j")
+        ends = some.selectExpr("i AS block", "i", "j", "0 AS side").union(some.selectExpr("j AS block", "i", "j", "1 AS side"))
+        rows = placed.select("id", "s1", "s2", "block", "family").join(labels.select("id", "block", "label").distinct(), ["id", "block"]).join(ends, "block")
+        edges = parts.toDF("u", "v").union(_compared(sets, rows.drop("block"), similarity))
+        at += 1
+        if at < rounds:
+            parts = components(edges).selectExpr("v AS id", "c")
+    return edges
 
 
 def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -546,8 +572,14 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     the smallest id reachable by links. Null and empty texts have empty sets
     and are linked with nothing. Rows that repeat an id are one document with
     several texts; rows without an id have a null component. Other columns are
-    ignored, whatever their names; an empty table gives no rows.
+    ignored, whatever their names; an empty table gives no rows. The tables
+    that this takes, of about the size of the texts, are gone when it returns.
     """
+    with scratch():
+        return written(_by_similarity(df, id, text, width, similarity), "components", beyond=True)
+
+
+def _by_similarity(df: DataFrame, id: str, text: str, width: int, similarity: Fraction) -> DataFrame:
     source = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     single = similarity >= SINGLE_GROUPS
     prints = source.mapInArrow(_fingerprints(width, similarity, single, False), "id long, n long, s1 long, s2 long" + ", keys array<long>" * single)
@@ -576,8 +608,7 @@ def components_by_similarity(df: DataFrame, id: str = "doc_id", text: str = "tex
     found = _compared(sets, near.select("id", "s1", "s2", "family", "label", "p.i", "p.j", "p.side"), similarity)
     if not many.isEmpty():
         parts = components(found).selectExpr("v AS id", "c")
-        more = _further(sets, placed, many.drop("before"), parts, similarity)
-        found = parts.toDF("u", "v") if more is None else parts.toDF("u", "v").union(more)
+        found = _further(sets, placed, many.drop("before"), parts, similarity)
     joined = components(found.union(same.where("id <> last").selectExpr("id AS u", "id AS v")))
     moved = same.join(joined.selectExpr("v AS id", "c"), "id", "left").where("c <> id OR last <> id").selectExpr("s1", "s2", "n", "coalesce(c, id) AS c")
     out = prints.select("id", "n", "s1", "s2").join(moved, ["s1", "s2", "n"], "left")

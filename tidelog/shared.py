@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written, not when the driver happens to collect its garbage; a stage that needs lost ones again makes them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def kept(x: DataFrame) -> DataFrame:
     """x written to the shared folder and read again.
 
@@ -39,5 +52,6 @@ def kept(x: DataFrame) -> DataFrame:
     until planning takes longer than all jobs. A table carries nothing.
     """
     path = f"{shared_dir(x.sparkSession)}/kept-{uuid.uuid4().hex}"
-    x.write.parquet(path)
+    with shuffles_dropped(x.sparkSession):
+        x.write.option("compression", "zstd").parquet(path)
     return x.sparkSession.read.schema(x.schema).parquet(path)
