@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators import scans
-from tidelog.shared import few
+from tidelog.shared import few, kept
 
 #: Elements of one side that a task compares at once; runs of anchors that it puts in order.
 MOST, MOST_RUNS = 4096, 1_000_000
@@ -103,12 +103,17 @@ def _in_a_task(current: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.where(~F.col("old").eqNullSafe(F.col("new"))).mapInArrow(_small, "object long, n long, ref long, value string")
 
 
+def _hash(value: Column) -> Column:
+    """Half of a value's SHA-256, as bytes."""
+    return F.substring(F.unhex(F.sha2(value, 256)), 1, 16)
+
+
 def _factors(lines: DataFrame, width: int) -> DataFrame:
     """lines with hash over width elements from each on, of one gap; those that reach over its end have none."""
     step = 1
     while step < width:
         ahead = lines.select("object", "side", "gap", (F.col("i") - step).alias("i"), F.col("hash").alias("_next"))
-        lines = lines.join(ahead, ["object", "side", "gap", "i"]).withColumn("hash", F.sha2(F.concat("hash", "_next"), 256)).drop("_next")
+        lines = lines.join(ahead, ["object", "side", "gap", "i"]).withColumn("hash", _hash(F.concat("hash", "_next"))).drop("_next")
         step *= 2
     return lines
 
@@ -129,9 +134,9 @@ def _anchors(lines: DataFrame, width: int, most_runs: int) -> DataFrame:
         F.count(F.when(is_old, 1)).alias("a"), F.count(F.when(~is_old, 1)).alias("b"), F.max(F.when(is_old, i)).alias("old"), F.max(F.when(~is_old, i)).alias("new")
     ).where("a = 1 AND b = 1").select("object", "gap", "old", "new")
     key = ["object", "gap"]
-    x = scans.numbered(scans.numbered(x, key, ["new"], "place"), key, ["old"], "rank")
-    x = scans.scanned(x, key, ["old"], before={"_last": F.col("place")})
-    x = scans.scanned(x.withColumn("_new", F.when(F.col("place") == F.col("_last") + 1, 0).otherwise(1)), key, ["old"], sums={"run": F.col("_new")}).checkpoint()
+    x = scans.numbered(x, key, ["new"], "place")
+    x = scans.scanned(x, key, ["old"], sums={"rank": F.lit(1).cast("long")}, before={"_last": F.col("place")}).withColumn("rank", F.col("rank") - 1)
+    x = scans.scanned(x.select(*key, "old", "new", "place", "rank", F.when(F.col("place") == F.col("_last") + 1, 0).otherwise(1).alias("_new")), key, ["old"], sums={"run": F.col("_new")}).drop("_new")
     runs = x.groupBy(*key, "run").agg(F.min("place").alias("start"), F.min("rank").alias("rank"), F.count("*").alias("n"))
     total = runs.groupBy(*key).agg(F.count("*").alias("runs"), F.sum("n").alias("all"))
     # more runs than a task takes: only those that stand in the same part of both sides can stay
@@ -144,10 +149,10 @@ def _anchors(lines: DataFrame, width: int, most_runs: int) -> DataFrame:
 
 
 def _gaps(lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """lines that are no anchors, with the gap they are in: the old place of the anchor before it and one more, 0 before the first."""
+    """lines that are no anchors, with the gap they are in: the old place of the nearest anchor before, and one more, 0 before the first. lines have the gaps of earlier anchors."""
     both = anchors.select("object", F.lit(0).alias("side"), F.col("old").alias("i"), "old").unionByName(anchors.select("object", F.lit(1).alias("side"), F.col("new").alias("i"), "old"))
-    x = scans.scanned(lines.drop("gap").join(both, ["object", "side", "i"], "left"), ["object", "side"], ["i"], lasts={"_gap": F.col("old")})
-    return x.where("old IS NULL").select("object", "side", "i", "hash", (F.coalesce("_gap", F.lit(-1)) + 1).alias("gap"))
+    x = scans.scanned(lines.join(both, ["object", "side", "i"], "left"), ["object", "side"], ["i"], lasts={"_gap": F.col("old")})
+    return x.where("old IS NULL").select("object", "side", "i", "hash", F.greatest("gap", F.coalesce("_gap", F.lit(-1)) + 1).alias("gap"))
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,25 +178,26 @@ def _compared(lines: DataFrame, most: int) -> DataFrame:
 
 
 def _by_joins(current: DataFrame, wanted: DataFrame, most: int, most_runs: int) -> DataFrame:
-    """As _in_a_task, of lists of any size."""
-    old = scans.numbered(current, ["object"], ["pos"]).select("object", "i", "op", "value").checkpoint()
-    new = scans.numbered(wanted, ["object"], ["pos"]).select("object", "i", "value").checkpoint()
-    hashed = lambda x, side: x.select("object", F.lit(side).alias("side"), "i", F.sha2(F.coalesce(F.concat(F.lit("="), "value"), F.lit("")), 256).alias("hash"))
-    every = hashed(old, 0).unionByName(hashed(new, 1)).checkpoint()
-    lines, found = every.withColumn("gap", F.lit(0).cast("long")), None
+    """As _in_a_task, of lists of any size; values meet their places at the end, before that hashes stand for them."""
+    hash = _hash(F.coalesce(F.concat(F.lit("="), "value"), F.lit(""))).alias("hash")
+    old = kept(scans.numbered(current.select("object", "pos", "op", hash), ["object"], ["pos"]).select("object", "i", "op", "hash"))
+    new = kept(scans.numbered(wanted.select("object", "pos", hash), ["object"], ["pos"]).select("object", "i", "pos", "hash"))
+    side = lambda x, n: x.select("object", F.lit(n).alias("side"), "i", "hash", F.lit(0).cast("long").alias("gap"))
+    lines, found = side(old, 0).unionByName(side(new, 1)), None
     for width in WIDTHS:
-        more = _anchors(lines, width, most_runs).checkpoint()
+        more = kept(_anchors(lines, width, most_runs))
         if more.isEmpty():
             continue
         found = more if found is None else found.unionByName(more)
-        lines = _gaps(every, found).checkpoint()
+        lines = kept(_gaps(lines, more))
     rest = _compared(lines, most)
-    kept = (rest if found is None else found.unionByName(rest)).checkpoint()
-    gone = old.join(kept.select("object", F.col("old").alias("i")), ["object", "i"], "left_anti").select("object", F.lit(None).cast("long").alias("n"), F.col("op").alias("ref"), F.lit(None).cast("string").alias("value"))
-    named = kept.join(old.select("object", F.col("i").alias("old"), "op"), ["object", "old"]).select("object", F.col("new").alias("i"), "op")
-    x = scans.scanned(new.join(named, ["object", "i"], "left"), ["object"], ["i"], sums={"n": F.col("op").isNull().cast("long")}, before={"_last": F.struct("op")})
+    pairs = kept(rest if found is None else found.unionByName(rest))
+    gone = old.join(pairs.select("object", F.col("old").alias("i")), ["object", "i"], "left_anti").select("object", F.lit(None).cast("long").alias("n"), F.col("op").alias("ref"), F.lit(None).cast("string").alias("value"))
+    named = pairs.join(old.select("object", F.col("i").alias("old"), "op"), ["object", "old"]).select("object", F.col("new").alias("i"), "op")
+    x = scans.scanned(new.drop("hash").join(named, ["object", "i"], "left"), ["object"], ["i"], sums={"n": F.col("op").isNull().cast("long")}, before={"_last": F.struct("op")})
     ref = F.when(F.col("_last").isNull(), F.lit(0).cast("long")).otherwise(F.col("_last.op"))
-    return x.where("op IS NULL").select("object", "n", ref.alias("ref"), "value").unionByName(gone)
+    told = x.where("op IS NULL").select("object", "pos", "n", ref.alias("ref")).join(wanted.select("object", "pos", "value"), ["object", "pos"])
+    return told.select("object", "n", "ref", "value").unionByName(gone)
 
 
 def edited(current: DataFrame, wanted: DataFrame, base: Column, most: int = MOST, most_runs: int = MOST_RUNS) -> DataFrame:

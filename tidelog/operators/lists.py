@@ -124,6 +124,29 @@ def _joined(lists: DataFrame) -> DataFrame:
     return sequences._ranked(nodes.where("op <> parent")).withColumnRenamed("root", "ref")
 
 
+def payloads(lists: DataFrame) -> DataFrame:
+    """(object, op, payload): of repeated ids the longest payload."""
+    size = F.size("payload") if lists.schema["payload"].dataType.typeName() == "array" else F.length("payload")
+    return lists.groupBy("object", "op").agg(F.max_by("payload", size).alias("payload"))
+
+
+def placed(lists: DataFrame, removals: DataFrame, zero=ZERO, local: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """As reduced, without payloads."""
+    made = lists.groupBy("object", "op").agg(F.max("gone").alias("gone"))
+    gone = removals.groupBy("object", F.col("target").alias("op")).agg(F.max("tombstone").alias("tombstone"))
+    made = made.join(gone, ["object", "op"], "left").withColumn("gone", F.greatest("gone", F.coalesce("tombstone", F.lit(zero)))).drop("tombstone")
+    top = "" if isinstance(zero, str) else -(1 << 63)  # below every id, so that an op may have the zero id itself
+    bare = lists.drop("payload", "gone").withColumn("ref", F.when(F.col("ref") == zero, F.lit(top)).otherwise(F.col("ref")))
+    big = bare.groupBy("object").count().where(F.col("count") > local).select("object").persist()
+    if big.isEmpty():
+        order = _walked(bare)
+    else:
+        order = _walked(bare.join(big, "object", "left_anti")).unionByName(_joined(bare.join(big, "object", "left_semi")))
+    order = order.withColumn("ref", F.when(F.col("ref") == top, F.lit(zero)).otherwise(F.col("ref")))
+    waiting = removals.join(lists.select("object", F.col("op").alias("target")), ["object", "target"], "left_anti").groupBy("object", "target").agg(F.max("tombstone").alias("tombstone"))
+    return order.join(made, ["object", "op"]).select("object", "ref", "pos", "op", "gone"), waiting
+
+
 def reduced(lists: DataFrame, removals: DataFrame, zero=ZERO, local: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(object, ref, pos, op, gone, payload) with all that applies applied, and the removals whose target has not arrived.
 
@@ -141,16 +164,5 @@ def reduced(lists: DataFrame, removals: DataFrame, zero=ZERO, local: int = 100_0
     Objects of up to local ids are put in order in one task each, larger ones
     by joins, with the same result.
     """
-    made = lists.groupBy("object", "op").agg(F.max("gone").alias("gone"), F.max_by("payload", F.size("payload") if lists.schema["payload"].dataType.typeName() == "array" else F.length("payload")).alias("payload"))
-    gone = removals.groupBy("object", F.col("target").alias("op")).agg(F.max("tombstone").alias("tombstone"))
-    made = made.join(gone, ["object", "op"], "left").withColumn("gone", F.greatest("gone", F.coalesce("tombstone", F.lit(zero)))).drop("tombstone")
-    top = "" if isinstance(zero, str) else -(1 << 63)  # below every id, so that an op may have the zero id itself
-    bare = lists.drop("payload", "gone").withColumn("ref", F.when(F.col("ref") == zero, F.lit(top)).otherwise(F.col("ref")))
-    big = bare.groupBy("object").count().where(F.col("count") > local).select("object").persist()
-    if big.isEmpty():
-        order = _walked(bare)
-    else:
-        order = _walked(bare.join(big, "object", "left_anti")).unionByName(_joined(bare.join(big, "object", "left_semi")))
-    order = order.withColumn("ref", F.when(F.col("ref") == top, F.lit(zero)).otherwise(F.col("ref")))
-    waiting = removals.join(lists.select("object", F.col("op").alias("target")), ["object", "target"], "left_anti").groupBy("object", "target").agg(F.max("tombstone").alias("tombstone"))
-    return order.join(made, ["object", "op"]).select("object", "ref", "pos", "op", "gone", "payload"), waiting
+    order, waiting = placed(lists, removals, zero, local)
+    return order.join(payloads(lists), ["object", "op"]).select("object", "ref", "pos", "op", "gone", "payload"), waiting

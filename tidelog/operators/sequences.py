@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.shared import few, kept
@@ -56,36 +57,77 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("object"), pa.array(map(_walk, ops, parents), pa.list_(pa.int64()))], ["object", "ops"])
 
 
-def _ranked(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(object, root, op, pos) of trees of any size by list ranking: the tour of a tree, each step's distance to its end by pointer doubling.
-
-    A tour enters a node, goes to its greatest child or leaves it, and from
-    there to its next smaller sibling or leaves the parent. Every round is an
-    equi-join that halves what is left of the tours, so a tree with a third of
-    all rows is as spread as the others. root is the parent at the top that is
-    no node itself; places are counted for each root.
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each step's end and distance, of steps (at, to, n) that are all here, by pointer doubling."""
+    steps = pa.Table.from_batches([*batches], pa.schema([("at", pa.int64()), ("to", pa.int64()), ("n", pa.int64())]))
+    at, to, n = (steps.column(c).to_numpy() for c in ("at", "to", "n"))
+    order = np.argsort(at)
+    at, to, n = at[order], to[order], n[order].copy()
+    for _ in range(64):
+        if (to < 0).all():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, to, n)], ["at", "to", "n"])
+            return
+        here = np.flatnonzero(to >= 0)
+        ahead = np.searchsorted(at, to[here])
+        to[here], n[here] = to[ahead], n[here] + n[ahead]
+    raise ValueError("a tree has a cycle")
+
+
+def _distances(steps: DataFrame, local: int, most: int = 256) -> DataFrame:
+    """(at, to, n) of each step with to its end (less than zero) and n the distance to it.
+
+    Every round drops about a quarter of the steps, those after a step that is
+    not dropped by the same toss; the step before one takes over what it leads
+    to. The last local steps are done in one task, and then the rounds are gone
+    through backwards. So all rounds together move a few times the steps,
+    whatever the length of the tours.
     """
-    older = F.expr("lead(op) OVER (PARTITION BY object, parent ORDER BY op DESC)")
-    x = nodes.withColumn("sibling", older)
-    child = nodes.groupBy("object", F.col("parent").alias("op")).agg(F.max("op").alias("child"))
-    step = lambda op, leaves: F.struct(op.alias("op"), leaves.alias("leaves"))
-    no, yes = F.lit(False), F.lit(True)
-    enters = x.join(child, ["object", "op"], "left").select("object", step(F.col("op"), no).alias("at"), F.when(F.col("child").isNull(), step(F.col("op"), yes)).otherwise(step(F.col("child"), no)).alias("to"), F.lit(1).cast("long").alias("n"))
-    leaves = x.select("object", step(F.col("op"), yes).alias("at"), F.when(F.col("sibling").isNull(), step(F.col("parent"), yes)).otherwise(step(F.col("sibling"), no)).alias("to"), F.lit(0).cast("long").alias("n"))
-    x = enters.unionByName(leaves).withColumn("open", yes)
-    for _ in range(most):
-        x = kept(x)
-        if x.where("open").isEmpty():
+    x, gone = kept(steps), []
+    for k in range(most):
+        left = x.count()
+        if left <= local:
             break
-        ahead = x.select("object", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("open").alias("_open"))
-        moved = x.where("open").join(ahead, ["object", "to"], "left")
-        moved = moved.select("object", "at", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_open", no).alias("open"))
-        x = x.where("NOT open").unionByName(moved)
+        toss = lambda c: F.col(c).isNotNull() & (F.col(c) >= 0) & (F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 1)  # noqa: B023,E731
+        pair = (~toss("at")) & toss("to")
+        by = x.where(pair).select("at", F.col("to").alias("via"), "n")
+        ahead = x.where(toss("at")).select(F.col("at").alias("via"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        met = kept(by.join(ahead, "via", "full"))
+        gone.append(met.where("at IS NOT NULL").select(F.col("via").alias("at"), F.col("_to").alias("to"), F.col("_n").alias("n")))
+        after = met.where("at IS NOT NULL").select("at", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n"))
+        x = kept(x.where(~pair & ~toss("at")).unionByName(after).unionByName(met.where("at IS NULL").select(F.col("via").alias("at"), F.col("_to").alias("to"), F.col("_n").alias("n"))))
     else:
         raise ValueError("a tree has a cycle")
-    ends = x.where("NOT at.leaves").select("object", F.col("to.op").alias("root"), F.col("at.op").alias("op"), "n")
-    total = ends.groupBy("object", "root").agg(F.max("n").alias("total"))
-    return ends.join(total, ["object", "root"]).select("object", "root", "op", (F.col("total") - F.col("n")).alias("pos"))
+    found = kept(x.coalesce(1).mapInArrow(_ends, "at long, to long, n long"))
+    for x in gone[::-1]:
+        on = found.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        found = found.unionByName(kept(x.join(on, "to", "left").select("at", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))))
+    return found
+
+
+def _ranked(nodes: DataFrame, local: int = 500_000) -> DataFrame:
+    """(object, root, op, pos) of trees of any size by list ranking: the tour of a tree, and each step's distance to its end.
+
+    A tour enters a node, goes to its greatest child or leaves it, and from
+    there to its next smaller sibling or leaves the parent. Every round is an
+    equi-join, so a tree with a third of all rows is as spread as the others.
+    root is the parent at the top that is no node itself; places are counted
+    for each root. Nodes are numbered first, and steps are numbers alone.
+    """
+    x = kept(nodes.select("object", "op", "parent", F.monotonically_increasing_id().alias("id")))
+    among = Window.partitionBy("object", "parent").orderBy(F.desc("op"))
+    x = x.withColumn("sibling", F.lead("id").over(among)).withColumn("eldest", F.row_number().over(among) == 1)
+    x = x.join(x.select("object", F.col("op").alias("parent"), F.col("id").alias("up")), ["object", "parent"], "left")
+    x = kept(x.select("object", "op", "parent", "id", "sibling", "eldest", "up"))
+    enter, leave = (lambda c: 2 * F.col(c)), (lambda c: 2 * F.col(c) + 1)
+    child = x.where("eldest AND up IS NOT NULL").select(F.col("up").alias("id"), F.col("id").alias("child"))
+    after = F.when(F.col("sibling").isNotNull(), enter("sibling")).when(F.col("up").isNotNull(), leave("up")).otherwise(-1 - F.col("id"))
+    y = x.select("id", after.alias("after")).join(child, "id", "left")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = F.array(F.struct(enter("id").alias("at"), F.coalesce(enter("child"), F.col("after")).alias("to"), one.alias("n")), F.struct(F.when(F.col("child").isNotNull(), leave("id")).alias("at"), F.col("after").alias("to"), none.alias("n")))
+    steps = y.select(F.inline(both)).where("at IS NOT NULL")  # a node without children is left as it is entered
+    ends = kept(_distances(steps, local).where("at % 2 = 0").select(F.expr("at div 2").alias("id"), F.col("to").alias("end"), "n"))
+    total = ends.groupBy("end").agg(F.max("n").alias("total")).join(x.where("sibling IS NULL AND up IS NULL").select((-1 - F.col("id")).alias("end"), F.col("parent").alias("root")), "end")
+    return ends.join(total, "end").select("id", "root", (F.col("total") - F.col("n")).alias("pos")).join(x.select("object", "op", "id"), "id").select("object", "root", "op", "pos")
 
 
 def tree_order(log: DataFrame, object: str = "object", op: str = "op", parent: str = "parent", local: int = 100_000) -> DataFrame:

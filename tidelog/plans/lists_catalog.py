@@ -12,7 +12,7 @@ from tidelog.functions import ids, parsing
 from tidelog.operators import edits, exchange, frames as reduction, lists, reducers, stores
 from tidelog.plans.catalog import ORACLE_SQL, query
 from tidelog.plans.codecs_catalog import _event_ops
-from tidelog.shared import shared_dir
+from tidelog.shared import kept, shared_dir
 from tidelog.sources import adapters, folders, frames, text
 from tidelog.streaming import live, states
 
@@ -73,13 +73,14 @@ def corpus_edit(spark, sf_dir):
     lines = docs.selectExpr("CAST(ascii(lang) * 256 + ascii(substring(lang, 2)) AS BIGINT) AS object", "doc_id", "source", "posexplode(split(text, '\n')) AS (i, value)")
     current = lines.select("object", F.struct("doc_id", "i").alias("pos"), (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("op"), "value")
     wanted = lines.where("value <> ''").select("object", F.struct(F.coalesce(F.col("source") == "src3", F.lit(False)).alias("moved"), "doc_id", "i").alias("pos"), F.replace("value", F.lit("an"), F.lit("AN")).alias("value"))
-    ops = lists.edited(current, wanted, F.lit(1 << 50).cast("long")).checkpoint()
+    ops = kept(lists.edited(current, wanted, F.lit(1 << 50).cast("long")))
     zero = F.lit(0).cast("long")
     states = current.select("object", zero.alias("chunk"), zero.alias("ref"), (F.col("op") - 1).alias("pos"), "op", zero.alias("gone"), F.col("value").alias("payload"))
     inserts = ops.where("value IS NOT NULL").select("object", F.col("op").alias("chunk"), "ref", zero.alias("pos"), "op", zero.alias("gone"), F.col("value").alias("payload"))
-    rows, _ = lists.reduced(states.unionByName(inserts), ops.where("value IS NULL").selectExpr("object", "ref AS target", "op AS tombstone"), 0)
-    alive = rows.where("gone = 0").withColumn("place", F.col("pos"))
-    return stores.scans.numbered(alive, ["object"], ["place"], "n").select("object", F.col("n").alias("pos"), F.col("payload").alias("value"))
+    held = states.unionByName(inserts)
+    rows, _ = lists.placed(held, ops.where("value IS NULL").selectExpr("object", "ref AS target", "op AS tombstone"), 0)
+    alive = stores.scans.numbered(rows.where("gone = 0").select("object", "op", F.col("pos").alias("place")), ["object"], ["place"], "n")  # texts are moved once their places are known
+    return alive.join(lists.payloads(held), ["object", "op"]).select("object", F.col("n").alias("pos"), F.col("payload").alias("value"))
 
 
 @query("SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS line, user_id AS object, event_id AS op, event_type AS field FROM events")
