@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import contextlib
 import re
+import time
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 #: Folders that a task lists; tasks that share what is below few folders.
@@ -96,20 +97,41 @@ class FolderReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         at, base = opened(self.path)
+        for name in partition.names:
+            yield from _walk(at, f"{base}/{name}", (read_name(name),), self.names[1:], partition, 1)
 
-        def walk(path: str, told: tuple, left: list[str]) -> Iterator[tuple]:
-            if left[0] == "log":
-                yield from walk(f"{path}/log", told, left[1:])
-                return
-            for x in _below(at, path):
-                if len(told) == 1 and zlib.crc32(x.base_name.encode(errors="surrogateescape")) % partition.shares != partition.share:
-                    continue
-                if (x.type == fs.FileType.File) == (len(left) == 1):
-                    said = (*told, read_name(x.base_name))
-                    yield from [(*said, f"{path}/{x.base_name}")] if len(left) == 1 else walk(f"{path}/{x.base_name}", said, left[1:])
 
-        for name in partition.names:
-            yield from walk(f"{base}/{name}", (read_name(name),), self.names[1:])
+def _walk(at: fs.FileSystem, path: str, told: tuple, left: list[str], part: Folders, shared: int) -> Iterator[tuple]:
+    """Names and address of each file below a folder, whose own names are told; of the names after so many only a part's share."""
+    if left[0] == "log":
+        yield from _walk(at, f"{path}/log", told, left[1:], part, shared)
+        return
+    for x in _below(at, path):
+        if len(told) == shared and zlib.crc32(x.base_name.encode(errors="surrogateescape")) % part.shares != part.share:
+            continue
+        if (x.type == fs.FileType.File) == (len(left) == 1):
+            said = (*told, read_name(x.base_name))
+            yield from [(*said, f"{path}/{x.base_name}")] if len(left) == 1 else _walk(at, f"{path}/{x.base_name}", said, left[1:], part, shared)
+
+
+class FolderStream(DataSourceStreamReader):
+    """Every turn tells all files that are there; who reads it drops those of earlier turns. The driver knows a turn's time and shares alone, no name: tasks list the first folders, each for its share of them."""
+
+    def __init__(self, path: str, names: list[str], shares: int):
+        self.path, self.names, self.shares = path, names, shares
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:
+        return {"at": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Folders([], k, self.shares) for k in range(self.shares)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        at, base = opened(self.path)
+        return _walk(at, base, (), self.names, partition, 0)
 
 
 class FolderWriter(DataSourceWriter):
@@ -149,7 +171,7 @@ def place(at: fs.FileSystem, path: str, content: bytes) -> None:
 
 
 class FolderSource(DataSource):
-    """Options path and names, the folders' and the file's names parted by slashes; log is a folder of that name."""
+    """Options path and names, the folders' and the file's names parted by slashes; log is a folder of that name. shares: tasks of a stream's turn."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,6 +186,9 @@ class FolderSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return FolderReader(self.options["path"], self._names())
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return FolderStream(self.options["path"], self._names(), int(self.options.get("shares", SHARES)))
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return FolderWriter(self.options["path"], self._names())
 
@@ -174,6 +199,13 @@ def listed(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     return spark.read.format(FORMAT).options(path=path, names="/".join(names)).load()
 
 
+def arriving(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """A stream of (names) of the files at so many folders below path, each told once; the stream's state in its checkpoint holds which have been told."""
+    _register(spark)
+    x = spark.readStream.format(FORMAT).options(path=path, names="/".join(names), shares=str(2 * spark.sparkContext.defaultParallelism)).load()
+    return x.drop("file").dropDuplicates([n for n in names if n != "log"])
+
+
 def saved(texts: DataFrame, path: str, names: tuple[str, ...]) -> None:
     """Write each row's text as the file that its names say, whole or not at all; files of those names are replaced. Rows without a name or text have no file."""
     by = [n for n in names if n != "log"]

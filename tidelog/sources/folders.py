@@ -79,14 +79,7 @@ def collections(spark: SparkSession, path: str) -> DataFrame:
 def updates(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     """A stream of the names of files as they arrive; its checkpoint holds which have been told, so a restart tells the others. No file is opened.
 
-    Files are small and many: the stream looks each new one up again, which by
-    default is a task a file, up to 10,000, and takes 32 of them to a task. The
-    session's bound is lowered to a few tasks a core, and a task takes its share.
+    Tasks list the folders, and the names told before are state that is dealt
+    over the cluster: the driver holds no name, however many files there are.
     """
-    cores, bound = spark.sparkContext.defaultParallelism, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    spark.conf.set(bound, str(min(int(spark.conf.get(bound)), 4 * cores)))
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    x = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
-    pattern = "/".join("(log)" if n == "log" else "([^/]+)" for n in names) + "$"
-    told = lambda i: F.try_url_decode(F.regexp_extract("path", pattern, i + 1))
-    return x.where(F.col("path").rlike(pattern)).select(*[told(i).alias(n) for i, n in enumerate(names) if n != "log"]).coalesce(cores)
+    return filestore.arriving(spark, path, names)
