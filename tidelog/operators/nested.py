@@ -52,8 +52,8 @@ def read(log: DataFrame, roots: DataFrame, type: Object) -> DataFrame:
     field without a reference is null, of Objects an empty array. Repeated
     roots are read once.
 
-    Going down takes the references alone; the objects of all levels meet the
-    log once, and an object is reduced once, however many refer to it.
+    Going down takes the references alone; an object is reduced once, where
+    its ops are before they are dealt out, and then all levels meet the objects.
     """
     shared_dir(log.sparkSession)  # tables between the levels need one
     links = _links(type)
@@ -71,18 +71,20 @@ def read(log: DataFrame, roots: DataFrame, type: Object) -> DataFrame:
             if isinstance(kind, str):
                 continue
             own = refs.where(F.col("field") == f)
-            each = own.repartition("object").groupBy("object", "ref").agg(F.min("op").alias("_op")) if isinstance(kind, Objects) else own.groupBy("object").agg(F.max_by("ref", "op").alias("ref"), F.max("op").alias("_op"))
-            x = met.where(~F.col("_again")).select("object", F.col("_at").alias("_up"), "_path").join(each, "object").select(named, "_up", "_op", F.col("ref").alias("object"), F.array_contains("_path", F.col("ref")).alias("_again"), F.array_append("_path", F.col("ref")).alias("_path"))
-            below[f] = down(kept(x if _links(kind) else x.drop("_path")), kind)
+            each = own.repartition("object").groupBy("object", "ref").agg(F.min("op").alias("_op")) if isinstance(kind, Objects) else own.groupBy("object").agg(F.max_by("ref", "op").alias("ref"))
+            deep = bool(_links(kind))  # what refers to nothing needs no number, and no table that fixes it
+            order = F.col("_op") if isinstance(kind, Objects) else none.cast(log.schema["op"].dataType).alias("_op")
+            x = met.where(~F.col("_again")).select("object", F.col("_at").alias("_up"), "_path").join(each, "object").select(named if deep else none.cast("long").alias("_at"), "_up", order, F.col("ref").alias("object"), F.array_contains("_path", F.col("ref")).alias("_again"), F.array_append("_path", F.col("ref")).alias("_path"))
+            below[f] = down(kept(x) if deep else x.drop("_path"), kind)
         return number
 
     down(kept(top), type)
     met = reduce(DataFrame.unionByName, [x.select(F.lit(n).alias("_level"), "_at", "_up", "_op", "object", "_again") for n, (_, x, _) in enumerate(levels)])
-    first = met.where(~F.col("_again"))
     plain = {p: f"_v{i}" for i, p in enumerate(dict.fromkeys((f, how) for t, _, _ in levels for f, how in t.fields.items() if isinstance(how, str)))}
-    there = log.join(first.select("object").distinct(), "object", "left_semi").groupBy("object").agg(F.lit("ok").alias("status"), *[views.strategy(how, "value", "op", F.col("field") == f).alias(v) for (f, how), v in plain.items()])
-    got = first.join(there, "object", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    got = kept(got.unionByName(met.where("_again").withColumn("status", F.lit("cycle")), allowMissingColumns=True))
+    there = log.groupBy("object").agg(F.lit("ok").alias("status"), *[views.strategy(how, "value", "op", F.col("field") == f).alias(v) for (f, how), v in plain.items()])
+    again, value = F.col("_again"), lambda v: F.when(~F.col("_again"), F.col(v)).alias(v)
+    got = met.join(there, "object", "left").select("_level", "_at", "_up", "_op", "object", F.when(again, F.lit("cycle")).otherwise(F.coalesce("status", F.lit("missing"))).alias("status"), *map(value, plain.values()))
+    got = kept(got)
 
     def up(number: int) -> DataFrame:
         type, _, below = levels[number]
@@ -184,8 +186,8 @@ def written(rows: DataFrame, key: list[str], type: Object, base: int) -> tuple[D
     arrays of structs where these are objects. Null fields have no op. Events
     follow base in order of key (unique, not null) and nesting.
     """
-    x = rows.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], _texts(F.struct(*type.fields), type).alias("_value"))
+    x = rows.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.struct(*type.fields).alias("_value"))
     x = scans.summed(x, [f"_key{i}" for i in range(len(key))], lambda b: pa.array(_laid_out(b.column("_value"), type)[0]), "_before")
     x = x.select(*[F.col(f"_key{i}").alias(c) for i, c in enumerate(key)], "_value", (F.col("_before") + base + 1).alias("_first"))
-    ops = x.select("_first", "_value").mapInArrow(_ops(type), "object long, field string, op long, value string, ref long")
+    ops = x.select("_first", _texts(F.col("_value"), type).alias("_value")).mapInArrow(_ops(type), "object long, field string, op long, value string, ref long")
     return x.select(*key, F.col("_first").alias("object")), ops

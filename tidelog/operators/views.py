@@ -14,8 +14,9 @@ def strategy(name: str, value: str, op: str, where: Column | None = None) -> Col
     """The aggregate of a field's alive values: lww, max, min or set; merged() is the strategy of references to objects."""
     v = F.col(value) if where is None else F.when(where, F.col(value))
     o = F.col(op) if where is None else F.when(where, F.col(op))
+    both = F.struct(F.col(op).alias("o"), F.col(value).alias("v"))
     made = {
-        "lww": lambda: F.max(F.struct(o.alias("o"), v.alias("v")))["v"],
+        "lww": lambda: F.max(both if where is None else F.when(where, both))["v"],  # other fields' rows are null, which takes no room while objects are dealt out
         "max": lambda: F.max(v),
         "min": lambda: F.min(v),
         "set": lambda: F.transform(F.sort_array(F.collect_list(F.when(o.isNotNull(), F.struct(o.alias("o"), v.alias("v"))))), lambda s: s["v"]),
